@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import importance, minhash_dedup, suffix_dedup
+from . import decontaminate, importance, minhash_dedup, mixing, suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1,
+    "op2_cgk_decontamination": decontaminate.op2,
+    "op5_pareto_mixing": mixing.op5,
     "op7_minhash_dedup": minhash_dedup.op7,
     "op9_importance_classifier": importance.op9,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_pareto_mixing": mixing.OP5_SQL}
