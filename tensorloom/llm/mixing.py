@@ -39,7 +39,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     rows = named.withColumn("cap", most * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("w"))
     rows = rows.withColumn("full", F.sum("cap").over(order) - F.col("cap")).withColumn("rest", F.sum("w").over(W.partitionBy()) - F.sum("w").over(order) + F.col("w"))
     rows = rows.withColumn("level", (share * F.sum("source_size").over(W.partitionBy()) - F.col("full")) / F.col("rest"))
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(W.partitionBy())
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    level = F.first(F.when(F.col("level") <= F.col("ratio"), F.col("level")), ignorenulls=True).over(whole)
     return rows.withColumn("level", level).select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("w"), F.col("cap").cast("double"))).alias("target"))
 
 
@@ -47,7 +48,7 @@ def pareto_order(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     """Adds z in (0, 1), increasing in the Pareto rank of a row of inclusion probability p (0 < p < 1)."""
     hashed = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
     u = (F.conv(F.substring(hashed, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
-    return df.withColumn("u", u).withColumn("q", (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.col("p"))).withColumn("z", F.col("q") / (1 + F.col("q"))).drop("u", "q")
+    return df.withColumn("u", u).withColumn("q", (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.nullif("p", F.lit(0.0)))).withColumn("z", F.col("q") / (1 + F.col("q"))).drop("u", "q")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
@@ -98,7 +99,7 @@ WITH RECURSIVE d AS (
 ), l AS (
   SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM w)::DOUBLE - (sum(cap) OVER (ORDER BY ratio, i) - cap)::DOUBLE) / ((SELECT sum(w) FROM w) - sum(w) OVER (ORDER BY ratio, i) + w)::DOUBLE AS level FROM w
 ), t AS (
-  SELECT source, source_size, least(cap::DOUBLE, coalesce((SELECT min(level) FROM l WHERE level <= ratio) * w, cap::DOUBLE)) AS target FROM l
+  SELECT source, source_size, least(cap::DOUBLE, coalesce((SELECT arg_min(level, (ratio, i)) FROM l WHERE level <= ratio) * w, cap::DOUBLE)) AS target FROM l
 ), c AS (
   SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0::DOUBLE END AS r

@@ -526,8 +526,9 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A pipeline stage: repeated passages go; n_chars follows the text."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     got = dedup_substrings(docs, carry=others)
-    text = F.decode(F.col("kept"), "UTF-8")
-    return got.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(text)).select(*[(F.char_length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns])
+    text = F.col("kept").cast("string")  # a span may end within a character: what is left of it goes too
+    text = F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
+    return got.withColumn("text", text).select(*[(F.char_length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns])
 
 
 __all__ = ["NULL_ID", "RunLengthIndex", "dedup_stage", "dedup_substrings", "matches", "op1", "release"]
