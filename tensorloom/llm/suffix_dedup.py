@@ -36,6 +36,8 @@ MIN_LEN = 50
 GRAM = 24
 BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
+#: Buckets of the index to one of the contexts: an index takes about a hundred bytes of memory a byte of text.
+INDEX_BUCKETS = 6
 CHUNK = 1 << 17
 #: A minimiser with more different contexts than this is dealt by single windows.
 HOT_CONTEXTS = 2048
@@ -509,7 +511,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         told = parts.groupBy("batch").agg(F.collect_list(F.struct("kind", "bucket", "payload")).alias("parts"))
         return packed.select("batch", "lens", "text", *columns).join(told, "batch", "left")
 
-    texts = with_parts(codes, "ids").mapInArrow(_send(n_buckets, min_len, GRAM), _PART)
+    texts = with_parts(codes, "ids").mapInArrow(_send(INDEX_BUCKETS * n_buckets, min_len, GRAM), _PART)
     found = materialize(texts.groupBy("bucket").applyInArrow(_index(min_len), _PART), "found")
     fields = [df.schema[c] for c in kept]
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_bytes long", "spans array<struct<start:long,stop:long>>", "kept binary"])
