@@ -14,7 +14,7 @@ def histogram(cells: DataFrame, keys: list[str], value: str = "byte") -> DataFra
 def dense_histogram(cells: DataFrame, keys: list[str], value: str = "byte", bins: int = 256) -> DataFrame:
     """All bins, empty ones with 0.  The grid is as large as the number of keys times bins."""
     hist = histogram(cells, keys, value)
-    grid = hist.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long").alias(value))
+    grid = hist.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias(value))
     return grid.join(hist, [*keys, value], "left").select(*keys, value, F.coalesce("n", F.lit(0)).alias("n"))
 
 

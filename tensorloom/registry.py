@@ -1,6 +1,428 @@
-"""Queries over the test tables and the SQL that gives the same rows."""
+"""Queries over the test tables and the SQL that gives the same rows.
+
+The embeddings table stands in for a float32 tensor of 64 columns, lineitem and orders for integer and double tensors,
+documents for byte streams, part names for tensor names."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from .functions import bits, stats
+from .operators import cells, classify, codecs
+from .plans import chain, select
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    """(tensor_id = label, vec, pos, v): 64 values of each vector."""
+    e = _t(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    return cells.fp32_values(e, "label", "embedding", ("vec_id",))
+
+
+def _exponents(spark: SparkSession, d: str) -> DataFrame:
+    v = _values(spark, d)
+    return v.select("tensor_id", "vec_id", "pos", bits.byte_of(bits.reorder32(F.col("v")), 3).alias("byte"))
+
+
+BITS = """b AS (SELECT label AS tensor_id, vec_id, i - 1 AS pos, (embedding[i]::FLOAT::BIT::INTEGER)::BIGINT & 4294967295 AS v
+  FROM embeddings, range(1, 65) r(i))"""
+REORDERED = "((v << 1) & 4278190080) | ((v >> 8) & 8388608) | (v & 8388607)"
+EXPONENTS = BITS + f""", x AS (SELECT tensor_id, vec_id, pos, (({REORDERED}) >> 24) & 255 AS byte FROM b)"""
+ENTROPY = "round(log2(sum(n)::DOUBLE) - sum(n * log2(n::DOUBLE)) / sum(n)::DOUBLE, 6) AS entropy"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("entropy", F.round("entropy", 6))
+
+
+def _plane_entropy_sql(expr: str, planes: int, source: str = BITS) -> str:
+    return f"""WITH {source}, p AS (SELECT k AS plane, (({expr}) >> (8 * k)) & 255 AS byte FROM b, range(0, {planes}) t(k)),
+h AS (SELECT plane, byte, count(*) AS n FROM p GROUP BY ALL)
+SELECT plane::INT AS plane, sum(n)::BIGINT AS n, count(*) AS n_distinct, {ENTROPY} FROM h GROUP BY plane"""
+
+
+@query("q_fp32_plane_entropy", _plane_entropy_sql(REORDERED, 4))
+def _(spark, d):
+    return _rounded(stats.entropy(cells.split(_values(spark, d).select("v"), 4, bits.reorder32(F.col("v"))), ["plane"]))
+
+
+@query("q_fp32_split_noreorder", _plane_entropy_sql("v", 4))
+def _(spark, d):
+    return _rounded(stats.entropy(cells.split(_values(spark, d).select("v"), 4), ["plane"]))
+
+
+@query("q_bf16_planes", _plane_entropy_sql("(((v >> 16) << 1) & 65280) | (((v >> 16) >> 8) & 128) | ((v >> 16) & 127)", 2))
+def _(spark, d):
+    return _rounded(stats.entropy(cells.split(_values(spark, d).select("v"), 2, bits.reorder16(F.shiftright("v", 16))), ["plane"]))
+
+
+def _fp8_sql(expr: str) -> str:
+    return f"""WITH {BITS}, t AS (SELECT v >> 24 AS c FROM b), r AS (SELECT {expr} AS r FROM t),
+p AS (SELECT 0 AS half, r >> 4 AS nibble FROM r UNION ALL SELECT 1, r & 15 FROM r)
+SELECT half::INT AS half, nibble, count(*) AS n FROM p GROUP BY ALL"""
+
+
+def _fp8(spark, d, f):
+    v = _values(spark, d).select(f(F.shiftright("v", 24)).alias("r"))
+    return stats.histogram(v.select(F.explode(bits.nibbles_of(F.col("r"))).alias("p")).select("p.half", "p.nibble"), ["half"], "nibble")
+
+
+QUERIES["q_fp8_e4m3_nibbles"] = lambda spark, d: _fp8(spark, d, bits.reorder_e4m3)
+ORACLES["q_fp8_e4m3_nibbles"] = _fp8_sql("((c & 120) << 1) | ((c & 128) >> 4) | (c & 7)")
+QUERIES["q_fp8_e5m2_nibbles"] = lambda spark, d: _fp8(spark, d, bits.reorder_e5m2)
+ORACLES["q_fp8_e5m2_nibbles"] = _fp8_sql("((c & 124) << 1) | ((c & 128) >> 5) | (c & 3)")
+
+
+@query("q_reorder_roundtrip", f"WITH {BITS} SELECT count(*) AS n, count(*) AS same32, count(*) AS same16, count(*) AS same_e4m3, count(*) AS same_e5m2 FROM b")
+def _(spark, d):
+    v, h, c = F.col("v"), F.shiftright("v", 16), F.shiftright("v", 24)
+    same = lambda x, back, to: F.count_if(back(to(x)) == x)
+    return _values(spark, d).agg(
+        F.count("*").alias("n"), same(v, bits.restore32, bits.reorder32).alias("same32"), same(h, bits.restore16, bits.reorder16).alias("same16"), same(c, bits.restore_e4m3, bits.reorder_e4m3).alias("same_e4m3"), same(c, bits.restore_e5m2, bits.reorder_e5m2).alias("same_e5m2")
+    )
+
+
+@query("q_int64_split8", _plane_entropy_sql("v", 8, "b AS (SELECT l_partkey AS v FROM lineitem)"))
+def _(spark, d):
+    return _rounded(stats.entropy(cells.split(_t(spark, d, "lineitem").select(F.col("l_partkey").alias("v")), 8), ["plane"]))
+
+
+@query("q_int32_split4", _plane_entropy_sql("v", 4, "b AS (SELECT l_linenumber::BIGINT AS v FROM lineitem)"))
+def _(spark, d):
+    return _rounded(stats.entropy(cells.split(_t(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("v")), 4), ["plane"]))
+
+
+@query("q_byte_histogram_dense", f"""WITH {EXPONENTS}, h AS (SELECT tensor_id, byte, count(*) AS n FROM x GROUP BY ALL)
+SELECT t.tensor_id, g.byte, coalesce(h.n, 0) AS n FROM (SELECT DISTINCT tensor_id FROM x) t CROSS JOIN range(0, 256) g(byte) LEFT JOIN h ON h.tensor_id = t.tensor_id AND h.byte = g.byte""")
+def _(spark, d):
+    return stats.dense_histogram(_exponents(spark, d), ["tensor_id"])
+
+
+def _two_planes(spark, d):
+    v = _values(spark, d)
+    r = bits.reorder32(F.col("v"))
+    return (v.select("vec_id", "pos", bits.byte_of(r, k).alias("byte")) for k in (3, 2))
+
+
+JOINT = BITS + f""", j AS (SELECT (({REORDERED}) >> 24) & 255 AS a, (({REORDERED}) >> 16) & 255 AS b, count(*) AS n FROM b GROUP BY ALL)"""
+
+
+@query("q_joint_hist", f"WITH {JOINT} SELECT a, b, n FROM j")
+def _(spark, d):
+    return stats.joint_histogram(*_two_planes(spark, d), ["vec_id", "pos"])
+
+
+@query("q_mutual_information", f"""WITH {JOINT}, s AS (
+  SELECT 1 AS sign, sum(n) AS n FROM j GROUP BY a UNION ALL SELECT 2, sum(n) FROM j GROUP BY b UNION ALL SELECT 3, n FROM j),
+h AS (SELECT sign, log2(sum(n)::DOUBLE) - sum(n * log2(n::DOUBLE)) / sum(n)::DOUBLE AS h FROM s GROUP BY sign)
+SELECT round(sum(CASE WHEN sign = 3 THEN -h ELSE h END), 6) AS mi FROM h""")
+def _(spark, d):
+    return stats.mutual_information(stats.joint_histogram(*_two_planes(spark, d), ["vec_id", "pos"])).withColumn("mi", F.round("mi", 6))
+
+
+ORDER1 = EXPONENTS + """, l AS (SELECT byte, lag(byte) OVER (PARTITION BY vec_id ORDER BY pos) AS prev FROM x),
+c AS (SELECT prev, byte, count(*) AS n FROM l GROUP BY ALL)"""
+
+
+@query("q_order1_counts", f"WITH {ORDER1} SELECT prev, byte, n FROM c")
+def _(spark, d):
+    return stats.order1_counts(_exponents(spark, d), ["vec_id"])
+
+
+@query("q_cond_entropy", f"""WITH {ORDER1}, t AS (SELECT prev, sum(n) AS t, sum(n * log2(n::DOUBLE)) AS s FROM c WHERE prev IS NOT NULL GROUP BY prev)
+SELECT sum(t)::BIGINT AS n, count(*) AS contexts, round(sum(t * log2(t::DOUBLE) - s) / sum(t)::DOUBLE, 6) AS entropy FROM t""")
+def _(spark, d):
+    return _rounded(stats.conditional_entropy(stats.order1_counts(_exponents(spark, d), ["vec_id"])))
+
+
+@query("q_intdelta", f"WITH {EXPONENTS} SELECT vec_id, pos::INT AS pos, (byte - lag(byte, 1, 0) OVER (PARTITION BY vec_id ORDER BY pos)) & 255 AS d FROM x")
+def _(spark, d):
+    return cells.int_delta(_exponents(spark, d).withColumnRenamed("byte", "v"), ["vec_id"], 8).select("vec_id", "pos", "d")
+
+
+@query("q_intdelta_roundtrip", f"WITH {BITS} SELECT count(*) AS n, count(*) AS same FROM b")
+def _(spark, d):
+    back = cells.int_delta_inverse(cells.int_delta(_values(spark, d), ["vec_id"], 32), ["vec_id"], 32)
+    return back.agg(F.count("*").alias("n"), F.count_if(F.col("r") == F.col("v")).alias("same"))
+
+
+@query("q_predictor_xor", f"""WITH {EXPONENTS}, h AS (SELECT *, xor(xor(lag(byte, 1, 0) OVER w, (lag(byte, 2, 0) OVER w) << 6), (lag(byte, 3, 0) OVER w) << 12) & 65535 AS h FROM x WINDOW w AS (PARTITION BY vec_id ORDER BY pos))
+SELECT vec_id, pos::INT AS pos, xor(byte, lag(byte, 1, 0) OVER (PARTITION BY vec_id, h ORDER BY pos)) AS residual FROM h""")
+def _(spark, d):
+    return cells.predictor_xor(_exponents(spark, d), ["vec_id"]).select("vec_id", "pos", "residual")
+
+
+@query("q_block_repack", f"""WITH {EXPONENTS}, s AS (SELECT vec_id, pos, byte, max(byte) OVER (PARTITION BY vec_id, pos // 32) AS scale FROM x)
+SELECT vec_id, pos::INT AS pos, scale, scale - byte AS lack FROM s""")
+def _(spark, d):
+    return cells.block_repack(_exponents(spark, d), ["vec_id"], 32).select("vec_id", "pos", "scale", "lack")
+
+
+@query("q_mzs_eligibility", """WITH b AS (SELECT l_linenumber AS tensor_id, (l_quantity::BIGINT * 16) & 255 AS byte FROM lineitem), u AS (SELECT tensor_id, bit_or(byte) AS used FROM b GROUP BY 1)
+SELECT tensor_id, used, CASE WHEN used & 1 <> 0 THEN 0 WHEN used & 3 <> 0 THEN 1 WHEN used & 7 <> 0 THEN 2 WHEN used & 15 <> 0 THEN 3 WHEN used & 31 <> 0 THEN 4 WHEN used & 63 <> 0 THEN 5 WHEN used & 127 <> 0 THEN 6 ELSE 7 END AS k FROM u""")
+def _(spark, d):
+    b = _t(spark, d, "lineitem").select(F.col("l_linenumber").alias("tensor_id"), (F.col("l_quantity").cast("long") * 16).bitwiseAND(F.lit(255)).alias("byte"))
+    return cells.zero_strip_bits(b, ["tensor_id"])
+
+
+MX = """m AS (SELECT l_linenumber AS tensor_id, l_orderkey * 17 + (l_suppkey % 17) AS pos, l_partkey % 256 AS byte FROM lineitem)"""
+
+
+def _mx(spark, d):
+    m = _t(spark, d, "lineitem").select(F.col("l_linenumber").alias("tensor_id"), (F.col("l_orderkey") * 17 + F.col("l_suppkey") % 17).alias("pos"), (F.col("l_partkey") % 256).alias("byte"))
+    return cells.mxfp4_deinterleave(m, ["tensor_id"])
+
+
+@query("q_mxfp4_values", f"""WITH {MX}, v AS (SELECT tensor_id, (pos // 17) * 32 + (pos % 17) * 2 AS p, byte FROM m WHERE pos % 17 < 16)
+SELECT tensor_id, p AS pos, byte & 15 AS nibble FROM v UNION ALL SELECT tensor_id, p + 1, byte >> 4 FROM v""")
+def _(spark, d):
+    return _mx(spark, d)[0]
+
+
+@query("q_mxfp4_scales", f"WITH {MX} SELECT tensor_id, pos // 17 AS pos, byte AS scale FROM m WHERE pos % 17 = 16")
+def _(spark, d):
+    return _mx(spark, d)[1]
+
+
+@query("q_group_hist16", f"WITH {EXPONENTS} SELECT vec_id, (pos // 32)::BIGINT AS grp, byte & 15 AS nibble, count(*) AS n FROM x GROUP BY ALL")
+def _(spark, d):
+    n = _exponents(spark, d).withColumn("nibble", F.col("byte").bitwiseAND(F.lit(15)))
+    return cells.group_histograms(n, ["vec_id"])
+
+
+@query("q_alpha_stable_fit", """WITH v AS (SELECT vec_id, list_sort(list_transform(embedding, lambda x: x::DOUBLE)) AS a FROM embeddings), m AS (SELECT vec_id, a, a[len(a) // 2 + 1] AS delta FROM v),
+g AS (SELECT vec_id, delta, list_sort(list_transform(a, lambda x: abs(x - delta)))[len(a) // 2 + 1] AS mad FROM m)
+SELECT vec_id, round(CASE WHEN mad > 0 THEN delta ELSE 0 END, 6) AS delta, round(CASE WHEN mad > 0 THEN mad ELSE 1 END, 6) AS gamma FROM g""")
+def _(spark, d):
+    v = _t(spark, d, "embeddings").select("vec_id", F.explode(F.col("embedding").cast("array<double>")).alias("x"))
+    return cells.location_scale(v, ["vec_id"]).select("vec_id", F.round("delta", 6).alias("delta"), F.round("gamma", 6).alias("gamma"))
+
+
+@query("q_radius", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS radius FROM embeddings")
+def _(spark, d):
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return _t(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(square), 5).alias("radius"))
+
+
+@query("q_xor_delta", """SELECT o_orderkey, xor(o_custkey, o_custkey + o_orderkey % 7) AS x FROM orders""")
+def _(spark, d):
+    a = _t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("v"))
+    b = _t(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") + F.col("o_orderkey") % 7).alias("v"))
+    return cells.xor_delta(a, b, ["o_orderkey"]).select("o_orderkey", "x")
+
+
+@query("q_float_delta", "SELECT o_orderkey, round((o_totalprice - o_totalprice * 0.5)::DOUBLE, 4) AS delta FROM orders")
+def _(spark, d):
+    a = _t(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    b = a.select("o_orderkey", (F.col("o_totalprice") * 0.5).alias("ref"))
+    return a.join(b, "o_orderkey").select("o_orderkey", F.round(F.col("o_totalprice") - F.col("ref"), 4).alias("delta"))
+
+
+@query("q_signature_bucket", f"""WITH {EXPONENTS}, h AS (SELECT tensor_id, byte, count(*) AS n FROM x GROUP BY ALL), e AS (SELECT tensor_id, log2(sum(n)::DOUBLE) - sum(n * log2(n::DOUBLE)) / sum(n)::DOUBLE AS h FROM h GROUP BY 1)
+SELECT tensor_id, least(floor(greatest(least(h, 8.0), 0.0) / 0.5), 16)::INT AS bucket FROM e""")
+def _(spark, d):
+    return stats.entropy(_exponents(spark, d), ["tensor_id"]).select("tensor_id", stats.entropy_bucket(F.col("entropy")).alias("bucket"))
+
+
+NAMES = """n AS (SELECT p_partkey AS tensor_id, CASE p_partkey % 5 WHEN 0 THEN 'blk.' || (p_partkey // 5) || '.w_blocks' WHEN 1 THEN 'blk.' || (p_partkey // 5) || '.w_scales' WHEN 2 THEN 'mod.' || p_partkey || '.weight_scale'
+  WHEN 3 THEN CASE WHEN p_size % 2 = 0 THEN 'mod.' || (p_partkey - 1) || '.weight' ELSE 'mod.' || p_partkey || '.bias' END ELSE 'mod.' || p_partkey || '.input_scale' END AS name,
+  CASE WHEN p_partkey % 5 = 4 THEN 'float32' WHEN p_size % 9 = 0 THEN 'bfloat16' ELSE 'uint8' END AS dtype FROM part)"""
+
+
+def _names(spark, d):
+    k, five = F.col("p_partkey"), F.floor(F.col("p_partkey") / 5)
+    name = F.when(k % 5 == 0, F.concat(F.lit("blk."), five, F.lit(".w_blocks"))).when(k % 5 == 1, F.concat(F.lit("blk."), five, F.lit(".w_scales"))).when(k % 5 == 2, F.concat(F.lit("mod."), k, F.lit(".weight_scale")))
+    name = name.when((k % 5 == 3) & (F.col("p_size") % 2 == 0), F.concat(F.lit("mod."), k - 1, F.lit(".weight"))).when(k % 5 == 3, F.concat(F.lit("mod."), k, F.lit(".bias"))).otherwise(F.concat(F.lit("mod."), k, F.lit(".input_scale")))
+    kind = F.when(k % 5 == 4, "float32").when(F.col("p_size") % 9 == 0, "bfloat16").otherwise("uint8")
+    return _t(spark, d, "part").select(k.alias("tensor_id"), name.alias("name"), kind.alias("dtype"))
+
+
+@query("q_classify", f"""WITH {NAMES} SELECT name, CASE
+  WHEN (name LIKE '%\\_scales' ESCAPE '\\' AND replace(name, '_scales', '_blocks') IN (SELECT name FROM n) OR name LIKE '%.weight\\_scale' ESCAPE '\\' AND replace(name, '_scale', '') IN (SELECT name FROM n)) AND dtype IN ('uint8', 'float8_e4m3fn') THEN 'SCALE_BLOCK'
+  WHEN name LIKE '%input\\_scale' ESCAPE '\\' AND dtype = 'float32' THEN 'SCALE_GLOBAL'
+  WHEN name LIKE '%\\_blocks' ESCAPE '\\' AND replace(name, '_blocks', '_scales') IN (SELECT name FROM n) AND dtype = 'uint8' THEN 'PACKED_VALUES' ELSE 'STANDARD' END AS role FROM n""")
+def _(spark, d):
+    return classify.classify(_names(spark, d)).select("name", "role")
+
+
+MENU = """m AS (SELECT * FROM (VALUES ('identity', 0, 0, 0), ('huffman', 1, 1, 0), ('zstd', 2, 1, 0), ('order1', 3, 10, 4096), ('sparse', 4, 0, 0)) v(codec, menu_pos, priority, least))"""
+
+
+def _menu(spark):
+    return spark.createDataFrame([("identity", 0, 0, 0), ("huffman", 1, 1, 0), ("zstd", 2, 1, 0), ("order1", 3, 10, 4096), ("sparse", 4, 0, 0)], "codec string, menu_pos int, priority int, least int")
+
+
+@query("q_codec_menu", f"""WITH {MENU}, d AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents)
+SELECT doc_id, codec, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, menu_pos)::INT AS rank FROM d JOIN m ON n >= least""")
+def _(spark, d):
+    p = _t(spark, d, "documents").select("doc_id", F.octet_length("text").alias("n"))
+    got = p.join(F.broadcast(_menu(spark)), F.col("n") >= F.col("least"))  # a menu has constant size
+    return got.select("doc_id", "codec", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("priority"), "menu_pos")).alias("rank"))
+
+
+MODEL = """t AS (SELECT l_orderkey AS tensor_id, l_linenumber AS chain_id, (l_partkey % 3)::INT AS plane, codec, menu_pos, (l_suppkey * 7 + l_partkey * (menu_pos + 1)) % 50 AS size FROM lineitem,
+  (VALUES ('identity', 0), ('huffman', 1), ('zstd', 2)) v(codec, menu_pos)),
+u AS (SELECT tensor_id, chain_id, plane, codec, menu_pos, min(size) AS size FROM t GROUP BY ALL)"""
+
+
+def _model(spark, d):
+    li = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("tensor_id"), F.col("l_linenumber").alias("chain_id"), (F.col("l_partkey") % 3).cast("int").alias("plane"), "l_suppkey", "l_partkey")
+    menu = F.array(*(F.struct(F.lit(c).alias("codec"), F.lit(i).alias("menu_pos")) for i, c in enumerate(("identity", "huffman", "zstd"))))
+    t = li.withColumn("m", F.explode(menu)).select("tensor_id", "chain_id", "plane", "m.codec", "m.menu_pos", ((F.col("l_suppkey") * 7 + F.col("l_partkey") * (F.col("m.menu_pos") + 1)) % 50).alias("size"))
+    return t.groupBy("tensor_id", "chain_id", "plane", "codec", "menu_pos").agg(F.min("size").alias("size")).withColumn("error", F.lit(None).cast("string"))
+
+
+BEST = MODEL + """, b AS (SELECT tensor_id, chain_id, plane, arg_min(codec, (size, menu_pos)) AS codec, min(size) AS size FROM u GROUP BY ALL)"""
+
+
+@query("q_trial_argmin", f"WITH {BEST} SELECT tensor_id, chain_id, plane, codec, size FROM b")
+def _(spark, d):
+    return select.best_trials(_model(spark, d)).select("tensor_id", "chain_id", "plane", "codec", "size")
+
+
+@query("q_chain_argmin", f"""WITH {BEST}, c AS (SELECT tensor_id, chain_id, sum(size)::BIGINT AS total FROM b GROUP BY ALL)
+SELECT tensor_id, arg_min(chain_id, (total, chain_id)) AS chain_id, min(total) AS total FROM c GROUP BY 1""")
+def _(spark, d):
+    return select.best_chains(select.best_trials(_model(spark, d)))
+
+
+@query("q_leave_one_out", f"""WITH {MODEL}, k AS (SELECT DISTINCT codec FROM u), f AS (SELECT sum(s) AS best FROM (SELECT min(size) AS s FROM u GROUP BY tensor_id, chain_id, plane)),
+o AS (SELECT k.codec, tensor_id, chain_id, plane, min(size) AS s FROM u JOIN k ON u.codec <> k.codec GROUP BY ALL)
+SELECT codec, (sum(s) - (SELECT best FROM f))::BIGINT AS delta FROM o GROUP BY codec""")
+def _(spark, d):
+    return select.leave_one_out(_model(spark, d))
+
+
+@query("q_registry_dedup", "WITH r AS (SELECT p_type AS chain, min(p_partkey) AS first FROM part GROUP BY 1) SELECT chain, (row_number() OVER (ORDER BY first) - 1)::INT AS chain_id FROM r")
+def _(spark, d):
+    first = _t(spark, d, "part").groupBy(F.col("p_type").alias("chain")).agg(F.min("p_partkey").alias("first"))
+    return first.select("chain", (F.row_number().over(W.orderBy("first")) - 1).alias("chain_id"))  # distinct chains alone: few
+
+
+@query("q_allow_list", "SELECT p_partkey, p_brand FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 1)")
+def _(spark, d):
+    p = _t(spark, d, "part")
+    return p.join(p.where("p_size = 1").select("p_brand"), "p_brand", "left_semi").select("p_partkey", "p_brand")
+
+
+@query("q_policy_sets", "SELECT n_nationkey AS k FROM nation WHERE n_nationkey % 2 = 0 UNION SELECT n_nationkey FROM nation WHERE n_nationkey % 3 = 0 EXCEPT SELECT n_nationkey FROM nation WHERE n_nationkey % 5 = 0")
+def _(spark, d):
+    n = _t(spark, d, "nation").select(F.col("n_nationkey").alias("k"))
+    return classify.policy(n.where("k % 2 = 0"), n.where("k % 3 = 0"), n.where("k % 5 = 0"))
+
+
+@query("q_ext_diff", """SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'only_a' WHEN a.k IS NULL THEN 'only_b' ELSE 'common' END AS side
+FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O') a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') b ON a.k = b.k""")
+def _(spark, d):
+    o = _t(spark, d, "orders").withColumnRenamed("o_custkey", "k")
+    return classify.compare(o.where("o_orderstatus = 'O'"), o.where("o_orderstatus = 'F'"), "k")
+
+
+@query("q_index_offsets", "SELECT doc_id, source, (sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - octet_length(encode(text)))::BIGINT AS start FROM documents")
+def _(spark, d):
+    n = F.octet_length("text").cast("long")
+    w = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)
+    return _t(spark, d, "documents").select("doc_id", "source", (F.sum(n).over(w) - n).alias("start"))
+
+
+@query("q_lookup", "SELECT doc_id, source, n_chars FROM documents WHERE doc_id IN (7, 42, 199)")
+def _(spark, d):
+    return _t(spark, d, "documents").where(F.col("doc_id").isin(7, 42, 199)).select("doc_id", "source", "n_chars")
+
+
+@query("q_index_order", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id)::INT AS place FROM documents")
+def _(spark, d):
+    w = W.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
+    return _t(spark, d, "documents").select("doc_id", F.row_number().over(w).alias("place"))
+
+
+@query("q_size_totals", "SELECT source, sum(octet_length(encode(text)))::BIGINT AS nbytes, count(*) AS n, round(sum(n_chars)::DOUBLE / sum(octet_length(encode(text)))::DOUBLE, 6) AS ratio FROM documents GROUP BY source")
+def _(spark, d):
+    n = F.sum(F.octet_length("text").cast("long"))
+    return _t(spark, d, "documents").groupBy("source").agg(n.alias("nbytes"), F.count("*").alias("n"), F.round(F.sum("n_chars") / n, 6).alias("ratio"))
+
+
+@query("q_missing_extensions", "SELECT s_nationkey FROM (SELECT DISTINCT s_nationkey FROM supplier) s WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal < 0)")
+def _(spark, d):
+    c = _t(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("s_nationkey"))
+    return _t(spark, d, "supplier").select("s_nationkey").distinct().join(c, "s_nationkey", "left_anti")
+
+
+@query("q_stride_sample", "WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT doc_id FROM r WHERE i % CAST(ceil(n / 10.0) AS BIGINT) = 0")
+def _(spark, d):
+    w = W.partitionBy("source")
+    r = _t(spark, d, "documents").select("doc_id", (F.row_number().over(w.orderBy("doc_id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    return r.where(F.col("i") % F.ceil(F.col("n") / 10) == 0).select("doc_id")
+
+
+@query("q_chunk_table", "SELECT doc_id, i::INT AS chunk_idx, least(1000, octet_length(encode(text)) - i * 1000)::BIGINT AS nbytes FROM documents, range(0, 200) r(i) WHERE i * 1000 < greatest(octet_length(encode(text)), 1)")
+def _(spark, d):
+    from .sources.tensors import chunk
+
+    t = _t(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
+    return chunk(t, 1000).select("doc_id", "chunk_idx", F.octet_length("raw").cast("long").alias("nbytes"))
+
+
+def _tensors(spark, d):
+    """One float32 tensor for each label: its vectors in order of vec_id."""
+    rows = _t(spark, d, "embeddings").groupBy(F.col("label").cast("long").alias("tensor_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
+    raw = rows.select("tensor_id", F.transform("v", lambda x: x.embedding).alias("v"))
+
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            out = [np.concatenate([np.asarray(x, "<f4") for x in r]).tobytes() for r in b.column("v").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("tensor_id"), pa.array(out, pa.binary())], names=["tensor_id", "raw"])
+
+    return raw.mapInArrow(pack, "tensor_id long, raw binary").withColumn("name", F.concat(F.lit("layer."), "tensor_id")).withColumn("dtype", F.lit("float32"))
+
+
+@query("q_roundtrip_store", "SELECT label::BIGINT AS tensor_id, true AS ok FROM embeddings GROUP BY 1")
+def _(spark, d):
+    t = _tensors(spark, d)
+    back = select.decode(select.encode(t)).select("tensor_id", F.col("raw").alias("back"))
+    return t.join(back, "tensor_id").select("tensor_id", (F.col("raw") == F.col("back")).alias("ok"))
+
+
+def _codec_roundtrip(name: str):
+    def f(spark, d):
+        docs = _t(spark, d, "embeddings").select(F.col("vec_id").alias("tensor_id"), F.concat_ws(",", F.transform("embedding", lambda x: x.cast("string"))).cast("binary").alias("bytes")).withColumn("chain_id", F.lit(0)).withColumn("plane", F.lit(0))
+        back = codecs.decode(codecs.evaluate(docs, (name,)).where("size is not null")).select("tensor_id", F.col("bytes").alias("back"))
+        return docs.join(back, "tensor_id").select(F.col("tensor_id").alias("vec_id"), (F.col("bytes") == F.col("back")).alias("ok"))
+
+    return f
+
+
+for _name in ("identity", "huffman", "rans", "zstd", "sparse", "adaptive0"):
+    QUERIES[f"q_roundtrip_{_name}"] = _codec_roundtrip(_name)
+    ORACLES[f"q_roundtrip_{_name}"] = "SELECT vec_id, true AS ok FROM embeddings"
+
+
+@query("q_crc32")
+def _(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"))
+
+
+@query("q_chain_trials")
+def _(spark, d):
+    return select.best_trials(codecs.evaluate(chain.run_chains(_tensors(spark, d)))).select("tensor_id", "chain_id", "plane", "codec", "size")
