@@ -8,8 +8,8 @@ probability 0.5625 agree).
 Candidates: in each table the members of a key are held against the key's smallest member, never all against all.
 Every candidate pair is confirmed on full sets.  Keys of three or more members that this leaves in two or more
 components are finished by an exact way: their members' shingles are counted, and two members can only be linked if
-they share one of the n - ceil(0.75 n) + 1 rarest shingles of each (prefix filter); such pairs of different components
-are confirmed too, so nothing that shares a key is lost, however large the key.  Links become components over all.
+they share one of the n - ceil(0.75 n) + 1 rarest shingles of each (prefix filter), early enough that what is left of
+both sets can still make up the overlap (position filter); such pairs of different components are confirmed too, so nothing that shares a key is lost, however large the key.  Links become components over all.
 
 Null, empty or blank texts: an empty set, linked with nothing.  Fewer than five words: the sequence as one shingle.
 Null ids: after all others (component null if reached by nothing smaller).  Repeated ids with equal sets: one node.
@@ -177,12 +177,22 @@ def _rest(open_ids: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
     shared = tokens.join(count, "t")
     alone = shared.groupBy("id").agg(F.count("*").alias("m"), F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
     need = F.col("n") - F.ceil(F.col("n") * PER_CENT / 100) + 1 - (F.col("n") - F.col("m"))
-    rare = alone.where(need > 0).select("id", "n", F.explode(F.slice("s", 1, need.cast("int"))).alias("x")).select("id", "n", F.col("x.t").alias("t"))
-    rare = rare.join(comp, "id", "left").select("id", "n", "t", F.coalesce("component", "id").alias("c"))
-    mixed = rare.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
-    rare = materialize(rare.join(mixed, "t"), "rare")
-    x, y = (rare.select("t", *(F.col(c).alias(f"{s}{c}") for c in ("id", "n", "c"))) for s in "xy")
-    near = x.join(y, "t").where((F.col("xc") < F.col("yc")) & (100 * F.least("xn", "yn") >= PER_CENT * F.greatest("xn", "yn")))
+    rare = alone.where(need > 0).select("id", "n", (F.col("n") - F.col("m")).alias("own"), F.posexplode(F.slice("s", 1, need.cast("int"))).alias("i", "x"))
+    # the first shingle that two sets share leaves each at most n - p more: p is its place among all of the set
+    rare = rare.select("id", "n", (F.col("n") - F.col("own") - F.col("i")).alias("left"), F.col("x.t").alias("t"))
+    rare = rare.join(comp, "id", "left").select("id", "n", "left", "t", F.coalesce("component", "id").alias("c"))
+
+    def enough(left, n, other):
+        return (100 + PER_CENT) * left >= PER_CENT * (n + other)
+
+    rare = materialize(rare, "rare")
+    for _ in range(2):  # drop what no set of its shingle and of another component can be linked with
+        least = rare.groupBy("t").agg(F.min("n").alias("least"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t", "least")
+        rare = rare.join(least, "t").where(enough(F.col("left"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * PER_CENT / 100)))).drop("least")
+    rare = materialize(rare, "rare")
+    x, y = (rare.select("t", *(F.col(c).alias(f"{s}{c}") for c in ("id", "n", "left", "c"))) for s in "xy")
+    linkable = enough(F.least("xleft", "yleft"), F.col("xn"), F.col("yn"))
+    near = x.join(y, "t").where((F.col("xc") < F.col("yc")) & (100 * F.least("xn", "yn") >= PER_CENT * F.greatest("xn", "yn")) & linkable)
     return near.select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")).distinct()
 
 
