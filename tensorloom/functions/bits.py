@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 
@@ -20,7 +21,7 @@ def _or(*cs: Column) -> Column:
     return out
 
 
-@arrow_udf("array<long>")
+@arrow_udf(T.ArrayType(T.LongType()))
 def float_bits(v: pa.Array) -> pa.Array:
     """IEEE bits of each element of an array<float>, unsigned.  NaN payloads are kept; null elements stay null."""
     flat = v.flatten().cast(pa.float32())
