@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -76,6 +78,13 @@ def ids_of(arr: pa.Array) -> np.ndarray:
     return np.asarray(arr.cast(pa.int64()).fill_null(NULL_ID))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers are kept between tasks, and share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries keep no such heap
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the column's bytes come to about `most` at a time (a longer row stands alone)."""
     for b in batches:
@@ -87,6 +96,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
             j = max(i + 1, int(np.searchsorted(o, o[i] + most, side="right")) - 1)
             yield b.slice(i, j - i)
             i = j
+    trim()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -107,7 +117,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        m = 1 << (n - 1).bit_length()
+        m = (n + (1 << 18) - 1) >> 18 << 18
         for k, base in enumerate((_BASE, _BASE_INV)):
             p = np.full(m, np.uint64(base), np.uint64)
             p[0] = 1

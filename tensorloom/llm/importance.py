@@ -64,12 +64,23 @@ def _z(a: np.ndarray) -> bytes:
 def _count(text_col: str):
     def run(batches):
         raw, target = np.zeros(TOTAL, np.int64), np.zeros(TOTAL, np.int64)
-        for b in slices(batches, text_col, 4 * SLICE):
+        held, size = [], 0
+
+        def add():
+            for total, some in ((raw, [f for f, _ in held]), (target, [f[:, fit] for f, fit in held if fit.any()])):
+                if some:
+                    total += np.bincount(np.concatenate([f.ravel() for f in some]), minlength=TOTAL)
+            held.clear()
+
+        for b in slices(batches, text_col, SLICE):
             f, wo = features(b.column(text_col))
-            raw += np.bincount(f.ravel(), minlength=TOTAL)
             fit = np.repeat(np.asarray(b.column("_fit").fill_null(False).cast(pa.int8())).astype(bool), np.diff(wo))
-            if fit.any():
-                target += np.bincount(f[:, fit].ravel(), minlength=TOTAL)
+            held.append((f.astype(np.int32), fit))
+            size += f.size
+            if size > 4_000_000:
+                add()
+                size = 0
+        add()
         for c in range(0, TOTAL, CHUNK):
             if raw[c : c + CHUNK].any():
                 both = np.stack((raw[c : c + CHUNK], target[c : c + CHUNK]))

@@ -17,16 +17,14 @@ Null ids: after all others (component null if reached by nothing smaller).  Repe
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, components, distinct_sets, ids_of, materialize, partitions, release, shingle_hashes, slices, table, text_bytes, word_hashes
+from .common import NULL_ID, components, distinct_sets, ids_of, materialize, partitions, release, shingle_hashes, slices, table, text_bytes, trim, word_hashes
 
 COLLECTIONS, WIDTH, SHINGLE = 16, 2, 5
 PER_CENT = 75
@@ -93,6 +91,7 @@ def _keys(n_buckets: int):
                 cuts = np.searchsorted(bucket[o], np.arange(n_buckets + 1))
                 at = np.flatnonzero(np.diff(cuts))
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([k[o[cuts[x] : cuts[x + 1]]].tobytes() + who[o[cuts[x] : cuts[x + 1]]].tobytes() for x in at], pa.binary())], names=["bucket", "payload"])
+        trim()
 
     return run
 
@@ -126,6 +125,7 @@ def _stars(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
     for lo in range(0, int(m.sum()), 100_000):
         s = np.flatnonzero(m)[lo : lo + 100_000]
         yield pa.RecordBatch.from_arrays([pa.array(lead[s]), pa.array(d[s]), pa.array(k[s].view(np.int64)), pa.array(size[g[s]].astype(np.int64))], names=["a", "b", "k", "size"])
+    trim()
 
 
 def _sets(id_col: str, text_col: str):
@@ -241,4 +241,4 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
-__all__ = ["near_duplicates", "near_dedup_stage", "op7", "struct"]
+__all__ = ["near_duplicates", "near_dedup_stage", "op7"]

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Rolling, ids_of, materialize, mix, partitions, release, slices, table, text_bytes
+from .common import NULL_ID, Rolling, ids_of, materialize, mix, partitions, release, slices, table, text_bytes, trim
 
 MIN_LEN = 50
 GRAM = 24
@@ -163,6 +163,7 @@ def _anchor(n_buckets: int, min_len: int, k: int):
                         made = []
                 if made:
                     yield _rows(made)
+        trim()
 
     return run
 
@@ -212,6 +213,8 @@ def _settle(hot: int):
         for batch, bucket, n in src:
             yield _rows([{"batch": batch, "kind": 1, "bucket": bucket, "payload": _z(code[at : at + n].tobytes())}])
             at += n
+        del K, R, D, code, o
+        trim()
 
     return run
 
@@ -291,6 +294,7 @@ def _send(n_buckets: int, min_len: int, k: int):
                     src = np.repeat(start[q] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                     head = struct.pack("<i", len(q)) + ids[doc[q]].tobytes() + ordinal[q].astype("<i4").tobytes() + off[q].astype(np.uint8).tobytes() + n.astype(np.uint8).tobytes()
                     yield _rows([{"batch": row["batch"], "kind": 2, "bucket": int(x), "payload": _z(head + buf[src].tobytes())}])
+        trim()
 
     return run
 
@@ -423,6 +427,7 @@ def _index(min_len: int):
         owner, ordinal, off, lens, buf = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         hit = matches(buf, lens, owner, min_len)
+        trim()
         begin = np.cumsum(lens) - lens
         mask = np.zeros(len(lens), np.uint32)
         for j in range(32):
@@ -487,6 +492,7 @@ def _mark(min_len: int, schema: pa.Schema):
                 carry = pa.ipc.open_stream(_unz(row["carry"])).read_all()
                 cols = [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in carry.columns]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(lens, pa.int64()), pa.array(spans, schema.field("spans").type), pa.array(kept, pa.binary())], names=[*carry.schema.names, "n_bytes", "spans", "kept"])
+        trim()
 
     return run
 

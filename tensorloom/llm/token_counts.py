@@ -24,7 +24,7 @@ END = 256
 SYMBOLS = 257
 VOCABULARY = "word_bpe_49k.json"
 SUFFIX = "</w>"
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
