@@ -5,10 +5,12 @@ each pair of blocks is one group, and each query's best of all groups are put to
 blocks get a cover tree: a node has a centre and a covering radius, its children's centres are apart by a part of the
 radius and cover it.  A pair of nodes is skipped when
 
-    cq . cx + |cq| rx + |cx| rq + rq rx < the worst k-th score in the query node
+    cq . cx + |cq| rx + |cx| rq + rq rx < the least that the worst k-th score in the query node can be
 
-since no score in it can then enter any of the node's lists; equal bounds are not skipped, because ties go to the
-smaller id.  All that is left is scored exactly in integers, so the result is exact whatever the trees look like.
+since no score in it can then enter any of the node's lists.  That least is first taken from the lower bounds of data
+nodes that hold k rows together, and handed down to the query node's children; at a leaf it is the worst k-th score
+found so far.  Equal bounds are not skipped, because ties go to the smaller id.  All that is left is scored exactly in
+integers, so the result is exact whatever the trees look like.
 
 Vectors that are null, empty of numbers, or hold null or non-finite components take no part, nor do null ids.  Shorter vectors
 count as padded with zeros.  A row of a repeated id is a candidate of its own, but never one of its own id.  No queries
@@ -69,6 +71,16 @@ class Tree:
         self._add(np.arange(len(x)), 0)
         c = self.x[self.centre]
         self.c, self.norm, self.r = c, np.sqrt((c * c).sum(axis=1)), np.array(self.radius)
+        self.count = np.array([0 if r is None else len(r) for r in self.rows], np.int64)
+        for n in range(len(self.kids) - 1, -1, -1):  # children come after their parents
+            self.count[n] += sum(int(self.count[k]) for k in self.kids[n])
+
+    def bounds(self, nodes: np.ndarray, centre: np.ndarray, norm: float, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """No score between a row of these nodes and one within radius of the centre is above the first or below the second."""
+        mid = self.c[nodes] @ centre
+        off = norm * self.r[nodes] + self.norm[nodes] * radius + radius * self.r[nodes]
+        off += 1e-9 * (np.abs(mid) + off + norm * self.norm[nodes]) + 1e-6
+        return mid + off, mid - off
 
     def _add(self, rows: np.ndarray, centre: int) -> int:
         todo, first = [(rows, centre, -1)], 0
@@ -112,45 +124,45 @@ def dual_top_k(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarra
     xf = x.astype(np.float64) if exact else x
     qf = q.astype(np.float64) if exact else q
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(len(q))]
-    for node in range(len(tq.centre)):
-        rows = tq.rows[node]
-        if rows is None:
+    times = int(np.unique(x_ids, return_counts=True)[1].max(initial=0))
+    todo = [(0, np.array([0]), -np.inf)]
+    while todo:  # pairs of a query node and the data nodes that may still hold one of its best
+        node, front, floor = todo.pop()
+        upper, lower = tx.bounds(front, tq.c[node], tq.norm[node], tq.r[node])
+        # data nodes of k rows of other ids, together, score at least this much with each query of the node
+        best = np.argsort(-lower, kind="stable")
+        enough = int(np.searchsorted(np.cumsum(tx.count[front[best]]), k + times))
+        if enough < len(best):
+            floor = max(floor, float(lower[best[enough]]))
+        front = front[upper >= floor]
+        if tq.rows[node] is None:
+            wide = tx.r[front] > tq.r[node]  # the wider side is opened first
+            front = np.array([c for n, w in zip(front.tolist(), wide.tolist(), strict=True) for c in (tx.kids[n] if w and tx.kids[n] else [n])], np.int64)
+            todo += [(child, front, floor) for child in tq.kids[node]]
             continue
-        cq, rq, nq = tq.c[node], tq.r[node], tq.norm[node]
-
-        def bound(nodes: np.ndarray, cq=cq, rq=rq, nq=nq) -> np.ndarray:
-            b = tx.c[nodes] @ cq + nq * tx.r[nodes] + tx.norm[nodes] * rq + rq * tx.r[nodes]
-            return b + 1e-9 * (np.abs(b) + nq * tx.norm[nodes]) + 1e-6
-
-        ids, scores = np.full((len(rows), 0), 0, np.int64), np.zeros((len(rows), 0), np.int64)
-        worst = -np.inf
-        front = np.array([0])
-        leaves, values = [], []
-        while len(front):  # open the tree from the top: what is below the worst k-th score is never opened
-            b = bound(front)
-            inner = [(n, v) for n, v in zip(front.tolist(), b.tolist(), strict=True) if tx.rows[n] is None]
-            leaf = [(n, v) for n, v in zip(front.tolist(), b.tolist(), strict=True) if tx.rows[n] is not None]
-            leaves += [n for n, _ in leaf]
-            values += [v for _, v in leaf]
-            front = np.array([c for n, _ in inner for c in tx.kids[n]], np.int64)
-        order = np.argsort(-np.array(values), kind="stable")
-        at = 0
-        while at < len(order):
-            if values[order[at]] < worst:
-                break
-            some = order[at : at + 32]
-            at += 32
-            cand = np.concatenate([tx.rows[leaves[i]] for i in some if values[i] >= worst])
+        rows = tq.rows[node]
+        ids, scores = np.zeros((len(rows), 0), np.int64), np.zeros((len(rows), 0), np.int64)
+        bound = tx.bounds(front, tq.c[node], tq.norm[node], tq.r[node])[0]
+        while len(front):  # the best bounds first: inner nodes give way to their children, leaves are scored
+            order = np.argsort(-bound, kind="stable")
+            front, bound = front[order], bound[order]
+            alive = int(np.searchsorted(-bound, -floor, side="right"))
+            now, front, bound = front[: min(alive, 32)], front[32:alive], bound[32:alive]
+            inner = np.array([c for n in now.tolist() for c in tx.kids[n]], np.int64)
+            if len(inner):
+                front, bound = np.append(front, inner), np.append(bound, tx.bounds(inner, tq.c[node], tq.norm[node], tq.r[node])[0])
+            leaves = [tx.rows[n] for n in now.tolist() if tx.rows[n] is not None]
+            if not leaves:
+                continue
+            cand = np.concatenate(leaves)
             s = (qf[rows] @ xf[cand].T).astype(np.int64)
             ci = np.broadcast_to(x_ids[cand], s.shape)
             s = np.where(ci == q_ids[rows][:, None], np.iinfo(np.int64).min, s)
             ids, scores = np.concatenate((ids, ci), axis=1), np.concatenate((scores, s), axis=1)
             best = np.lexsort((ids, -scores.astype(np.float64) if exact else np.invert(scores)), axis=1)[:, :k]
             ids, scores = np.take_along_axis(ids, best, axis=1), np.take_along_axis(scores, best, axis=1)
-            if scores.shape[1] == k:
-                worst = float(scores[:, -1].min())
-                if worst <= np.iinfo(np.int64).min:
-                    worst = -np.inf
+            if scores.shape[1] == k and (worst := int(scores[:, -1].min())) > np.iinfo(np.int64).min:
+                floor = max(floor, float(worst))
         for i, r in enumerate(rows):
             ok = scores[i] > np.iinfo(np.int64).min
             out[r] = (ids[i][ok], scores[i][ok])
