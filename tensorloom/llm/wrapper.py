@@ -216,6 +216,14 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return out
 
 
+def match_by_path(a: list[Node], b: list[Node]) -> list[tuple[Node, Node]]:
+    """Pairs of nodes of one path, in page order: in linear time, for pages too large for tree matching."""
+    of = defaultdict(list)
+    for x in reversed(a):
+        of[x.path].append(x)
+    return [(of[y.path].pop(), y) for y in b if of.get(y.path)]
+
+
 def host_of(url: str | None) -> str:
     m = re.match(r"(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
     return m[1].lower() if m else ""
@@ -233,7 +241,7 @@ def _induce(url_col: str, html_col: str):
     """Counts of each host's node paths; one reference for each host and task."""
 
     def run(batches):
-        reference: dict[str, tuple[Node, int]] = {}
+        reference: dict[str, tuple[Node, int, list[Node]]] = {}
         counts: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
 
         def flush():
@@ -246,12 +254,12 @@ def _induce(url_col: str, html_col: str):
                 host, root = host_of(url), parse(html or "")
                 nodes = label(root)
                 if host not in reference:
-                    reference[host] = (root, _size(root))
+                    reference[host] = (root, _size(root), nodes)
                     for p in {x.path for x in nodes if x.text}:
                         counts[host, p, ""][0] += 1
                     continue
-                ref, n = reference[host]
-                pairs = match(ref, root) if n * _size(root) <= MATCH_PAIRS else []
+                ref, n, ref_nodes = reference[host]
+                pairs = match(ref, root) if n * _size(root) <= MATCH_PAIRS else match_by_path(ref_nodes, nodes)
                 told = set()
                 for x, y in pairs:
                     if not y.text:
