@@ -180,6 +180,23 @@ def test_cover_tree():
             assert list(zip((-s).tolist(), i.tolist(), strict=True)) == want
 
 
+def test_cover_tree_repeated_ids():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 5)) * 4
+    for spread in (0, 0.05, 1):  # tight clusters prune pairs of inner nodes
+        x = np.floor(1024 * (centres[rng.integers(0, 6, 700)] + spread * rng.normal(size=(700, 5)))).astype(np.int64)
+        ids = rng.integers(0, 400, 700)
+        got = cover_tree.dual_top_k(x[:90], ids[:90], x, ids, 10)
+        for q, own, (i, s) in zip(x[:90], ids[:90], got, strict=True):
+            want = sorted((-int(q @ v), int(j)) for v, j in zip(x, ids, strict=True) if j != own)[:10]
+            assert list(zip((-s).tolist(), i.tolist(), strict=True)) == want
+
+
+def test_match_by_path():
+    a, b = (wrapper.label(wrapper.parse(h)) for h in ("<div><p>x<p>y</div><ul><li>z</ul>", "<div><p>x<p>w<p>v</div><ol><li>z</ol>"))
+    assert [(x.text, y.text) for x, y in wrapper.match_by_path(a, b) if x.text] == [("x", "x"), ("y", "w")]
+
+
 def test_search_edges(spark):
     rows = [(0, [1.0, 0.5]), (100, [0.1]), (1, [float("nan"), 1.0]), (2, None), (3, [1.0, None]), (4, [2.0, 2.0]), (4, [2.0, 2.0]), (None, [1.0, 1.0]), (5, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
