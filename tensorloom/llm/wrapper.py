@@ -260,15 +260,18 @@ def _induce(url_col: str, html_col: str):
                     continue
                 ref, n, ref_nodes = reference[host]
                 pairs = match(ref, root) if n * _size(root) <= MATCH_PAIRS else match_by_path(ref_nodes, nodes)
-                told = set()
+                told, alike = set(), set()
                 for x, y in pairs:
                     if not y.text:
                         continue
                     told.add(id(y))
-                    c = counts[host, y.path, x.hash if x.hash == y.hash else ""]
-                    c[1] += 1
-                    c[2] += x.hash == y.hash
-                    c[3] += 0 if x.hash == y.hash else len(y.text)
+                    counts[host, y.path, ""][1] += 1
+                    if x.hash == y.hash:
+                        alike.add((y.path, y.hash))
+                    else:
+                        counts[host, y.path, ""][3] += len(y.text)
+                for p, t in alike:  # once a page, however often it repeats
+                    counts[host, p, t][2] += 1
                 for y in nodes:  # nodes that match nothing vary by being there
                     if y.text and id(y) not in told:
                         counts[host, y.path, ""][3] += len(y.text)
@@ -371,9 +374,11 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
     """(host, template json): the content region's path, and paths and text hashes of template nodes."""
     counts = pages.select(url_col, html_col).mapInArrow(_induce(url_col, html_col), "host string, path string, seen long, matched long, same long, varying long, text string")
     by_text = counts.groupBy("host", "path", "text").agg(*(F.sum(c).alias(c) for c in ("seen", "matched", "same", "varying")))
-    by_path = by_text.groupBy("host", "path").agg(F.sum("seen").alias("seen"), F.sum("varying").alias("varying"), F.max_by(F.struct("text", "same"), F.struct("same", "text")).alias("top"))
-    constant = (F.col("top.text") != "") & (F.col("top.same") + 1 >= LEAST) & (F.col("top.same") + 1 >= SHARE * F.col("seen"))
-    rows = by_path.groupBy("host").agg(F.collect_list(F.when(F.col("varying") > 0, F.struct("path", "varying"))).alias("varying"), F.collect_list(F.when(constant, F.struct("path", F.col("top.text").alias("text")))).alias("template"))
+    # each text of a path is judged by its own count of pages; "" holds the path's
+    texts = F.collect_list(F.when(F.col("text") != "", F.struct("text", "same")))
+    by_path = by_text.groupBy("host", "path").agg(F.sum("seen").alias("seen"), F.sum("varying").alias("varying"), texts.alias("texts"))
+    constant = F.filter("texts", lambda t: (t.same + 1 >= LEAST) & (t.same + 1 >= SHARE * F.col("seen")))
+    rows = by_path.groupBy("host").agg(F.collect_list(F.when(F.col("varying") > 0, F.struct("path", "varying"))).alias("varying"), F.flatten(F.collect_list(F.transform(constant, lambda t: F.struct(F.col("path").alias("path"), t.text.alias("text"))))).alias("template"))
 
     def finish(batches):
         for b in batches:

@@ -215,6 +215,13 @@ def test_wrapper(spark):
     assert {k for k in got if k[0] < 9} <= set(want) | {(i, f"Head {i} &amp; more\nOne{i} two bold é\nThree{i}.") for i in range(9)}
 
 
+def test_wrapper_constants_of_one_path(spark):
+    page = '<html><body><div class="main"><h1>Head {0}</h1><p>Body of page number {0}.<p>Share this story<p>Subscribe now<p>More on page {0}.</div>'
+    rows = [(i, "http://h.example/x", page.replace("{0}", str(i))) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    assert {(r.page_id, r.text) for r in wrapper.extract_text(df).collect()} == {(i, f"Head {i}\nBody of page number {i}.\nMore on page {i}.") for i in range(12)}
+
+
 def test_warc(spark):
     rows = [(1, "u", "x" * 2000), (5, "u\r\nv", "x" * 2000), (3, None, "x" * 2000), (4, "u", "small"), (6, "u", "small"), (7, "u", None), (None, "u", "y" * 1500), (None, "u", "x" * 2000), (8, "u", "é" * 40_000)]
     bundles = warc.write_bundles(spark.createDataFrame(rows, "page_id long, url string, html string"))
