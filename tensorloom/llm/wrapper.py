@@ -1,13 +1,14 @@
 """HTML extraction by wrapper induction.
 
-Pages of a host share a template.  Each page's DOM tree is aligned with a reference tree of its host by simple tree
+Pages of a host share a template.  Each page's DOM tree is aligned with reference trees of its host by simple tree
 matching (the largest order-preserving match of equally labelled nodes).  Matched nodes that hold the same text on both
 pages are constant, those that hold different texts vary.  What is counted of a host's template nodes, over all its
-pages, says which are template (constant on SHARE of at least LEAST pages that have them) and where the varying text is:
+pages, says which are template (constant on SHARE of at least LEAST compared pages that have them) and where the varying text is:
 the content region is the deepest node that holds HOLD of it.
 
-A task takes as a host's reference the first page it meets, and counts in tables of node paths, so counts of different
-tasks add up; paths name tag, class and id, and repeated siblings share one.  Within the region a page's blocks are its
+References are chosen for each host before counting, up to REFERENCES pages, so the result doesn't depend on how pages
+are dealt; pages that equal a reference aren't compared with it.  Tasks count in tables of node paths, so counts of
+different tasks add up; paths name tag, class and id, and repeated siblings share one.  Within the region a page's blocks are its
 text, without template nodes and without what markup or naming declares to be no content: scripts, styles, menus,
 headers, footers, sidebars, forms, notices, adverts and reader comments.  Hosts of one page go by the latter alone.
 
@@ -21,19 +22,22 @@ import hashlib
 import html as htmllib
 import json
 import re
+import zlib
 from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import materialize, slices, table
 
 LEAST, SHARE, HOLD = 5, 0.8, 0.9
 #: Tree matching compares at most this many pairs of nodes of a page; larger pages are matched by path alone.
 MATCH_PAIRS = 40_000
 #: Hosts whose templates are broadcast; more are joined.
 BROADCAST_HOSTS = 5_000
+#: A host's reference pages; they are broadcast up to so many characters, and joined beyond.  A task keeps some parsed.
+REFERENCES, BROADCAST_CHARS, REFERENCE_BYTES = 3, 32 << 20, 2 << 20
 SLICE = 4 << 20
 
 #: Tags by role, as HTML defines them.
@@ -234,49 +238,64 @@ def _size(root: Node) -> int:
     return sum(n)
 
 
-_COUNTS = pa.schema([("host", pa.string()), ("path", pa.string()), ("seen", pa.int64()), ("matched", pa.int64()), ("same", pa.int64()), ("varying", pa.int64()), ("text", pa.string())])
+_COUNTS = pa.schema([("host", pa.string()), ("path", pa.string()), ("text", pa.string()), ("seen", pa.int64()), ("same", pa.int64()), ("varying", pa.int64()), ("alone", pa.int64())])
+_COUNTED = "host string, path string, text string, seen long, same long, varying long, alone long"
 
 
-def _induce(url_col: str, html_col: str):
-    """Counts of each host's node paths; one reference for each host and task."""
+def host_column(url: str):
+    """What host_of gives."""
+    return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+
+
+def references(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(host, html): of each of REFERENCES classes of a host's pages, by hash of html, the page of smallest id."""
+    rows = pages.where(F.length(html_col) > 0).select(host_column(url_col).alias("host"), F.col(id_col).alias("id"), F.md5(F.col(html_col).cast("binary")).alias("md5"), F.col(html_col).alias("html"))
+    least = rows.groupBy("host", F.pmod(F.xxhash64("md5"), F.lit(REFERENCES)).alias("class")).agg(F.min(F.struct("id", "md5")).alias("least")).select("host", F.col("least.md5").alias("md5"))
+    return rows.join(least, ["host", "md5"]).groupBy("host", "md5").agg(F.first("html").alias("html")).select("host", "html")
+
+
+def _induce(url_col: str, html_col: str, known: dict[str, list[bytes]] | None):
+    """Counts of each host's node paths, against its references: `known`, or those of the rows."""
 
     def run(batches):
-        reference: dict[str, tuple[Node, int, list[Node]]] = {}
+        parsed: dict[str, list] = {}
+        held = 0
         counts: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
 
         def flush():
-            rows = [{"host": h, "path": p, "text": t, "seen": c[0], "matched": c[1], "same": c[2], "varying": c[3]} for (h, p, t), c in counts.items()]
+            rows = [{"host": h, "path": p, "text": t, "seen": c[0], "same": c[1], "varying": c[2], "alone": c[3]} for (h, p, t), c in counts.items()]
             counts.clear()
             return pa.RecordBatch.from_pylist(rows, schema=_COUNTS)
 
         for b in slices(batches, html_col, SLICE):
-            for url, html in zip(b.column(url_col).to_pylist(), b.column(html_col).to_pylist(), strict=True):
-                host, root = host_of(url), parse(html or "")
-                nodes = label(root)
-                if host not in reference:
-                    reference[host] = (root, _size(root), nodes)
-                    for p in {x.path for x in nodes if x.text}:
-                        counts[host, p, ""][0] += 1
+            own = b.column("_references") if known is None else None
+            for i, (url, html) in enumerate(zip(b.column(url_col).to_pylist(), b.column(html_col).to_pylist(), strict=True)):
+                host = host_of(url)
+                if host not in parsed:
+                    texts = [zlib.decompress(x).decode() for x in known.get(host, ())] if known is not None else own[i].as_py() or []
+                    if held > REFERENCE_BYTES:
+                        parsed, held = {}, 0
+                    held += sum(map(len, texts))
+                    parsed[host] = [(t, x := parse(t), label(x), _size(x)) for t in texts]
+                others = [r for r in parsed[host] if r[0] != html]
+                if not others:
                     continue
-                ref, n, ref_nodes = reference[host]
-                pairs = match(ref, root) if n * _size(root) <= MATCH_PAIRS else match_by_path(ref_nodes, nodes)
-                told, alike = set(), set()
-                for x, y in pairs:
-                    if not y.text:
-                        continue
-                    told.add(id(y))
-                    counts[host, y.path, ""][1] += 1
-                    if x.hash == y.hash:
-                        alike.add((y.path, y.hash))
-                    else:
-                        counts[host, y.path, ""][3] += len(y.text)
-                for p, t in alike:  # once a page, however often it repeats
-                    counts[host, p, t][2] += 1
-                for y in nodes:  # nodes that match nothing vary by being there
-                    if y.text and id(y) not in told:
-                        counts[host, y.path, ""][3] += len(y.text)
+                root = parse(html or "")
+                nodes = label(root)
+                n, same = _size(root), set()
+                for _, ref, ref_nodes, size in others:
+                    pairs = match(ref, root) if n * size <= MATCH_PAIRS else match_by_path(ref_nodes, nodes)
+                    same |= {id(y) for x, y in pairs if y.text and x.hash == y.hash}
+                alone = int(len(parsed[host]) == 1)
                 for p in {x.path for x in nodes if x.text}:
-                    counts[host, p, ""][0] += 1
+                    c = counts[host, p, ""]
+                    c[0] += 1
+                    c[3] = alone
+                for p, t in {(x.path, x.hash) for x in nodes if id(x) in same}:
+                    counts[host, p, t][1] += 1
+                for x in nodes:  # nodes that no reference holds alike vary
+                    if x.text and id(x) not in same:
+                        counts[host, x.path, ""][2] += len(x.text)
             if len(counts) > 50_000:
                 yield flush()
         if counts:
@@ -370,14 +389,26 @@ def _extract(keep: list[str], url_col: str, html_col: str, templates: dict[str,
     return run
 
 
-def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
     """(host, template json): the content region's path, and paths and text hashes of template nodes."""
-    counts = pages.select(url_col, html_col).mapInArrow(_induce(url_col, html_col), "host string, path string, seen long, matched long, same long, varying long, text string")
-    by_text = counts.groupBy("host", "path", "text").agg(*(F.sum(c).alias(c) for c in ("seen", "matched", "same", "varying")))
+    refs = materialize(references(pages, id_col, url_col, html_col), "references")
+    size = refs.agg(F.countDistinct("host").alias("hosts"), F.sum(F.length("html")).alias("chars")).first()
+    rows, known = pages.select(url_col, html_col), None
+    if size.hosts <= BROADCAST_HOSTS and (size.chars or 0) <= BROADCAST_CHARS:
+        known = defaultdict(list)
+        for r in refs.orderBy("host", "html").toLocalIterator():
+            known[r.host].append(zlib.compress(r.html.encode()))
+        known = dict(known)
+    else:
+        of = refs.groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_list("html")).alias("_references"))
+        rows = rows.withColumn("_host", host_column(url_col)).join(of, "_host", "left").select(url_col, html_col, "_references")
+    counts = rows.mapInArrow(_induce(url_col, html_col, known), _COUNTED)
+    by_text = counts.groupBy("host", "path", "text").agg(*(F.sum(c).alias(c) for c in ("seen", "same", "varying")), F.max("alone").alias("alone"))
     # each text of a path is judged by its own count of pages; "" holds the path's
     texts = F.collect_list(F.when(F.col("text") != "", F.struct("text", "same")))
-    by_path = by_text.groupBy("host", "path").agg(F.sum("seen").alias("seen"), F.sum("varying").alias("varying"), texts.alias("texts"))
-    constant = F.filter("texts", lambda t: (t.same + 1 >= LEAST) & (t.same + 1 >= SHARE * F.col("seen")))
+    by_path = by_text.groupBy("host", "path").agg(F.sum("seen").alias("seen"), F.sum("varying").alias("varying"), F.max("alone").alias("alone"), texts.alias("texts"))
+    # a host's only reference is compared with none, and agrees with itself
+    constant = F.filter("texts", lambda t: (t.same + F.col("alone") >= LEAST) & (t.same + F.col("alone") >= SHARE * (F.col("seen") + F.col("alone"))))
     rows = by_path.groupBy("host").agg(F.collect_list(F.when(F.col("varying") > 0, F.struct("path", "varying"))).alias("varying"), F.flatten(F.collect_list(F.transform(constant, lambda t: F.struct(F.col("path").alias("path"), t.text.alias("text"))))).alias("template"))
 
     def finish(batches):
@@ -390,17 +421,14 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text: a row per row."""
-    from .common import materialize
-
-    templates = materialize(induce(pages, url_col, html_col), "templates")
+    templates = materialize(induce(pages, url_col, html_col, id_col), "templates")
     out = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (id_col, url_col)), "text string"])
     few = templates.limit(BROADCAST_HOSTS + 1).collect()
     rows = pages.select(id_col, url_col, html_col)
     if len(few) <= BROADCAST_HOSTS and sum(len(r.template) for r in few) <= 64 << 20:
         known = {r.host: r.template for r in few}
         return rows.mapInArrow(_extract([id_col, url_col], url_col, html_col, known), out)
-    host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    told = rows.withColumn("_host", host).join(templates.select(F.col("host").alias("_host"), F.col("template").alias("_template")), "_host", "left")
+    told = rows.withColumn("_host", host_column(url_col)).join(templates.select(F.col("host").alias("_host"), F.col("template").alias("_template")), "_host", "left")
     return told.select(id_col, url_col, html_col, "_template").mapInArrow(_extract([id_col, url_col], url_col, html_col, None), out)
 
 

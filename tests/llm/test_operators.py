@@ -222,6 +222,15 @@ def test_wrapper_constants_of_one_path(spark):
     assert {(r.page_id, r.text) for r in wrapper.extract_text(df).collect()} == {(i, f"Head {i}\nBody of page number {i}.\nMore on page {i}.") for i in range(12)}
 
 
+def test_wrapper_references(spark):
+    page = '<html><body><div class="main"><p class="teaser">Share this story<h1>Head {0}</h1><p>Body of page number {0}.</div>'
+    rows = [(i, "http://h.example/x", page.replace("{0}", str(i))) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {(i, f"Head {i}\nBody of page number {i}.") for i in range(40)}
+    for n in (1, 40):  # pages of a host in one task, and each in its own
+        assert {(r.page_id, r.text) for r in wrapper.extract_text(df.repartition(n)).collect()} == want
+
+
 def test_warc(spark):
     rows = [(1, "u", "x" * 2000), (5, "u\r\nv", "x" * 2000), (3, None, "x" * 2000), (4, "u", "small"), (6, "u", "small"), (7, "u", None), (None, "u", "y" * 1500), (None, "u", "x" * 2000), (8, "u", "é" * 40_000)]
     bundles = warc.write_bundles(spark.createDataFrame(rows, "page_id long, url string, html string"))
