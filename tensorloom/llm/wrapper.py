@@ -25,6 +25,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,6 @@ from pyspark.sql import functions as F
 from .common import materialize, slices, table
 
 LEAST, SHARE, HOLD = 5, 0.8, 0.9
-#: Tree matching compares at most this many pairs of nodes of a page; larger pages are matched by path alone.
-MATCH_PAIRS = 40_000
 #: Hosts whose templates are broadcast; more are joined.
 BROADCAST_HOSTS = 5_000
 #: A host's reference pages; they are broadcast up to so many characters, and joined beyond.  A task keeps some parsed.
@@ -60,12 +59,12 @@ ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 
 
 class Node:
-    __slots__ = ("tag", "name", "noise", "kids", "text", "path", "hash", "parent")
+    __slots__ = ("tag", "name", "noise", "kids", "text", "path", "hash", "parent", "shape", "whole")
 
     def __init__(self, tag: str, name: str, noise: bool, parent):
         self.tag, self.name, self.noise, self.parent = tag, name, noise, parent
         self.kids: list = []  # nodes and strings, in order
-        self.path = self.text = self.hash = None
+        self.path = self.text = self.hash = self.shape = self.whole = None
 
 
 def _declared(tag: str, attrs: str, within_content: bool) -> tuple[str, bool]:
@@ -179,49 +178,155 @@ def label(root: Node) -> list[Node]:
     return out
 
 
-def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Simple tree matching: pairs of nodes of a largest match that keeps order and labels."""
-    kids = lambda x: [k for k in x.kids if isinstance(k, Node) and not k.noise]
-    memo: dict[tuple[int, int], tuple] = {}
-    stack = [(a, b, False)]
+def _kids(x: Node) -> list[Node]:
+    return [k for k in x.kids if isinstance(k, Node) and not k.noise]
+
+
+def _heaviest(n: int, m: int, row, pairs: bool = True) -> tuple[int, list[tuple[int, int]]]:
+    """The weight of a heaviest order-preserving match of n and m things, and its pairs; row(i): i's weight with each of the m."""
+    if n * m <= 256:
+        w = [[0] * (m + 1)]
+        for i in range(n):
+            last, now = w[-1], [0]
+            for j, x in enumerate(row(i)):
+                now.append(max(last[j + 1], now[j], last[j] + x))
+            w.append(now)
+        total, up, left = w[-1][-1], lambda i, j: w[i][j] == w[i - 1][j], lambda i, j: w[i][j] == w[i][j - 1]
+    else:
+        last, ups, lefts = np.zeros(m + 1, np.int64), [], []
+        for i in range(n):
+            now = last.copy()
+            np.maximum(now[1:], last[:-1] + np.asarray(row(i), np.int64), out=now[1:])
+            np.maximum.accumulate(now, out=now)
+            if pairs:  # a bit a cell
+                ups.append(np.packbits(now == last))
+                lefts.append(np.packbits(now[1:] == now[:-1]))
+            last = now
+        bit = lambda bits, k: bool(bits[k >> 3] >> (7 - (k & 7)) & 1)
+        total, up, left = int(last[-1]), lambda i, j: bit(ups[i - 1], j), lambda i, j: bit(lefts[i - 1], j - 1)
+    got = []
+    i, j = (n, m) if pairs else (0, 0)
+    while i and j:
+        if up(i, j):
+            i -= 1
+        elif left(i, j):
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            got.append((i, j))
+    return total, got
+
+
+class Shapes:
+    """Subtrees by their labels alone.  What simple tree matching finds depends on them only, so it is found once for each
+    pair of shapes, and subtrees of one shape match whole: pages of any size are matched."""
+
+    MOST = 200_000
+
+    def __init__(self):
+        self.ids: dict[tuple, int] = {}
+        self.names: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.sizes: list[int] = []
+        self.found: dict[tuple[int, int], int] = {}
+
+    def full(self) -> bool:
+        return len(self.ids) + len(self.found) > self.MOST
+
+    def add(self, root: Node) -> None:
+        """Give each node its shape, and a hash of its labels and texts."""
+        for x in reversed(list(_walk(root))):
+            if x.noise and x is not root:
+                continue
+            kids = _kids(x)
+            key = (x.name, *(k.shape for k in kids))
+            if key not in self.ids:
+                self.ids[key] = len(self.ids)
+                self.names.append(x.name)
+                self.kids.append(key[1:])
+                self.sizes.append(1 + sum(self.sizes[k] for k in key[1:]))
+            x.shape, x.whole = self.ids[key], hash((x.name, x.hash, *(k.whole for k in kids)))
+
+    def most(self, a: int, b: int) -> int:
+        """Nodes of a largest match of two shapes."""
+        if a == b:
+            return self.sizes[a]
+        if self.names[a] != self.names[b]:
+            return 0
+        stack = [(a, b)]
+        while stack:
+            p = stack[-1]
+            if p in self.found:
+                stack.pop()
+                continue
+            x, y = self.kids[p[0]], self.kids[p[1]]
+            i, k = _ends(x, y)
+            same = sum(self.sizes[z] for z in (*x[:i], *x[len(x) - k :]))
+            x, y = x[i : len(x) - k], y[i : len(y) - k]
+            more = [(u, v) for u in set(x) for v in set(y) if u != v and self.names[u] == self.names[v] and (u, v) not in self.found]
+            if more:
+                stack += more
+                continue
+            self.found[p] = 1 + same + _heaviest(len(x), len(y), self._rows(x, y), False)[0]
+            stack.pop()
+        return self.found[a, b]
+
+    def _rows(self, x, y):
+        known: dict[int, list[int]] = {}
+
+        def row(i):
+            u = x[i]
+            if u not in known:
+                of = {v: self.most(u, v) for v in set(y)}
+                known[u] = [of[v] for v in y]
+            return known[u]
+
+        return row
+
+
+def _ends(x, y) -> tuple[int, int]:
+    """How many things at the start, and at the end of the rest, two sequences share."""
+    n = min(len(x), len(y))
+    i = next((i for i in range(n) if x[i] != y[i]), n)
+    return i, next((k for k in range(n - i) if x[-1 - k] != y[-1 - k]), n - i)
+
+
+def match(a: Node, b: Node, shapes: Shapes | None = None) -> list[tuple[Node, Node]]:
+    """Simple tree matching: pairs of nodes of a largest match that keeps order and labels.
+
+    Of the largest matches of two lists of children, one with the most equal subtrees."""
+    if shapes is None:
+        shapes = Shapes()
+        shapes.add(a)
+        shapes.add(b)
+    if a.name != b.name:
+        return []
+    out, stack = [], [(a, b)]
     while stack:
-        x, y, ready = stack.pop()
-        key = (id(x), id(y))
-        if key in memo:
+        x, y = stack.pop()
+        out.append((x, y))
+        cx, cy = _kids(x), _kids(y)
+        if x.shape == y.shape:
+            stack += zip(cx, cy, strict=True)
             continue
-        if x.name != y.name:
-            memo[key] = (0, ())
+        whole = [k.whole for k in cx], [k.whole for k in cy]
+        i, k = _ends(*whole)
+        if not set(whole[0][i : len(cx) - k]) & set(whole[1][i : len(cy) - k]):  # no texts to prefer: shapes will do
+            p, q = _ends([z.shape for z in cx[i : len(cx) - k]], [z.shape for z in cy[i : len(cy) - k]])
+            i, k = i + p, k + q
+        stack += zip(cx[:i], cy[:i], strict=True)
+        stack += zip(cx[len(cx) - k :], cy[len(cy) - k :], strict=True)
+        cx, cy = cx[i : len(cx) - k], cy[i : len(cy) - k]
+        if not cx or not cy:
             continue
-        cx, cy = kids(x), kids(y)
-        if not ready:
-            stack.append((x, y, True))
-            stack += [(p, q, False) for p in cx for q in cy if (id(p), id(q)) not in memo]
-            continue
-        w = [[0] * (len(cy) + 1) for _ in range(len(cx) + 1)]
-        for i, p in enumerate(cx):
-            for j, q in enumerate(cy):
-                w[i + 1][j + 1] = max(w[i][j + 1], w[i + 1][j], w[i][j] + memo[id(p), id(q)][0])
-        i, j, pairs = len(cx), len(cy), []
-        while i and j:
-            if w[i][j] == w[i - 1][j]:
-                i -= 1
-            elif w[i][j] == w[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((cx[i], cy[j]))
-        memo[key] = (w[-1][-1] + 1, tuple(pairs))
-    out, stack2 = [], [(a, b)]
-    while stack2:
-        x, y = stack2.pop()
-        if memo[id(x), id(y)][0]:
-            out.append((x, y))
-            stack2 += memo[id(x), id(y)][1]
+        rows, most = shapes._rows([z.shape for z in cx], [z.shape for z in cy]), min(len(cx), len(cy)) + 1
+        pairs = _heaviest(len(cx), len(cy), lambda i, cx=cx, cy=cy, rows=rows, most=most: [w * most + (cx[i].whole == z.whole) for w, z in zip(rows(i), cy, strict=True)])[1]
+        stack += ((cx[i], cy[j]) for i, j in pairs)
     return out
 
 
 def match_by_path(a: list[Node], b: list[Node]) -> list[tuple[Node, Node]]:
-    """Pairs of nodes of one path, in page order: in linear time, for pages too large for tree matching."""
+    """Pairs of nodes of one path, in page order: a cruder match, which induction doesn't use."""
     of = defaultdict(list)
     for x in reversed(a):
         of[x.path].append(x)
@@ -233,11 +338,6 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _size(root: Node) -> int:
-    n = [sum(isinstance(k, Node) for k in x.kids) for x in _walk(root)]
-    return sum(n)
-
-
 _COUNTS = pa.schema([("host", pa.string()), ("path", pa.string()), ("text", pa.string()), ("seen", pa.int64()), ("same", pa.int64()), ("varying", pa.int64()), ("alone", pa.int64())])
 _COUNTED = "host string, path string, text string, seen long, same long, varying long, alone long"
 
@@ -259,7 +359,7 @@ def _induce(url_col: str, html_col: str, known: dict[str, list[bytes]] | None):
 
     def run(batches):
         parsed: dict[str, list] = {}
-        held = 0
+        held, shapes = 0, Shapes()
         counts: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
 
         def flush():
@@ -274,18 +374,19 @@ def _induce(url_col: str, html_col: str, known: dict[str, list[bytes]] | None):
                 if host not in parsed:
                     texts = [zlib.decompress(x).decode() for x in known.get(host, ())] if known is not None else own[i].as_py() or []
                     if held > REFERENCE_BYTES:
-                        parsed, held = {}, 0
+                        parsed, held, shapes = {}, 0, Shapes()
                     held += sum(map(len, texts))
-                    parsed[host] = [(t, x := parse(t), label(x), _size(x)) for t in texts]
+                    parsed[host] = [(t, parse(t)) for t in texts]
+                    for _, ref in parsed[host]:
+                        label(ref)
+                        shapes.add(ref)
                 others = [r for r in parsed[host] if r[0] != html]
                 if not others:
                     continue
                 root = parse(html or "")
                 nodes = label(root)
-                n, same = _size(root), set()
-                for _, ref, ref_nodes, size in others:
-                    pairs = match(ref, root) if n * size <= MATCH_PAIRS else match_by_path(ref_nodes, nodes)
-                    same |= {id(y) for x, y in pairs if y.text and x.hash == y.hash}
+                shapes.add(root)
+                same = {id(y) for _, ref in others for x, y in match(ref, root, shapes) if y.text and x.hash == y.hash}
                 alone = int(len(parsed[host]) == 1)
                 for p in {x.path for x in nodes if x.text}:
                     c = counts[host, p, ""]
@@ -296,6 +397,8 @@ def _induce(url_col: str, html_col: str, known: dict[str, list[bytes]] | None):
                 for x in nodes:  # nodes that no reference holds alike vary
                     if x.text and id(x) not in same:
                         counts[host, x.path, ""][2] += len(x.text)
+                if shapes.full():
+                    parsed, held, shapes = {}, 0, Shapes()
             if len(counts) > 50_000:
                 yield flush()
         if counts:

@@ -231,6 +231,41 @@ def test_wrapper_references(spark):
         assert {(r.page_id, r.text) for r in wrapper.extract_text(df.repartition(n)).collect()} == want
 
 
+def test_tree_matching():
+    def brute(x, y):
+        if x.name != y.name:
+            return 0
+        p, q = wrapper._kids(x), wrapper._kids(y)
+        w = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i, j in itertools.product(range(len(p)), range(len(q))):
+            w[i + 1][j + 1] = max(w[i][j + 1], w[i + 1][j], w[i][j] + brute(p[i], q[j]))
+        return w[-1][-1] + 1
+
+    def tree(rng, depth):
+        return "".join(f"<{t}>{rng.choice('xyz')}{tree(rng, depth - 1) if depth else ''}</{t}>" for t in rng.choices(("div", "section", "ul"), k=rng.randrange(1, 5)))
+
+    rng = random.Random(8)
+    for i in range(40):
+        a, b = wrapper.parse(tree(rng, 2 + i % 2)), wrapper.parse(tree(rng, 2 + i % 2))
+        wrapper.label(a), wrapper.label(b)
+        got = wrapper.match(a, b)
+        assert len(got) == brute(a, b) == len({id(x) for x, _ in got}) == len({id(y) for _, y in got})
+        assert all(x.name == y.name and (x is a or (id(x.parent), id(y.parent)) in {(id(p), id(q)) for p, q in got}) for x, y in got)
+
+
+def test_wrapper_large_pages(spark):
+    # an additional item in an earlier section, on pages of some 400 nodes
+    page = '<html><body><div class="main">{1}<section><p>Share this story<h1>Head {0}</h1><p>Body of page number {0}.<p>Subscribe now</section></div>'
+    item = "<section><p>Item {0} of page {1}</section>"
+    rows = [(i, "http://h.example/x", page.replace("{1}", "".join(item.format(k, i) for k in range(190 + i % 7))).replace("{0}", str(i))) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in wrapper.extract_text(df).collect()}
+    assert got == {i: [*(f"Item {k} of page {i}" for k in range(190 + i % 7)), f"Head {i}", f"Body of page number {i}."] for i in range(30)}
+    big = [wrapper.parse("<ul>" + "".join(f"<li>{k * m}<div><p>a</div>" if k % 3 else f"<li>{k}" for k in range(3000)) + "<li>end</ul>") for m in (1, 2)]
+    [wrapper.label(x) for x in big]
+    assert len(wrapper.match(*big)) == len(list(wrapper._walk(big[0])))
+
+
 def test_warc(spark):
     rows = [(1, "u", "x" * 2000), (5, "u\r\nv", "x" * 2000), (3, None, "x" * 2000), (4, "u", "small"), (6, "u", "small"), (7, "u", None), (None, "u", "y" * 1500), (None, "u", "x" * 2000), (8, "u", "é" * 40_000)]
     bundles = warc.write_bundles(spark.createDataFrame(rows, "page_id long, url string, html string"))
