@@ -10,7 +10,9 @@ References are chosen for each host before counting, up to REFERENCES pages, so
 are dealt; pages that equal a reference aren't compared with it.  Tasks count in tables of node paths, so counts of
 different tasks add up; paths name tag, class and id, and repeated siblings share one.  Within the region a page's blocks are its
 text, without template nodes and without what markup or naming declares to be no content: scripts, styles, menus,
-headers, footers, sidebars, forms, notices, adverts and reader comments.  Hosts of one page go by the latter alone.
+headers, footers, sidebars, forms, notices, adverts and reader comments.  A name declares by its whole or by its first or
+last part, not by what it tells of its surroundings (has-sidebar) or of content (entry-header); no node counts as
+declared that holds the page's main or article, or (but for adverts, comments and hidden parts) the content region.  Hosts of one page go by the latter alone.
 
 Null or empty html: empty text.  Null urls are one host.  Repeated rows each give a row.  Deep or broken markup is read
 without recursion; unclosed blocks end where the next begins, tags cut off at the end are dropped.
@@ -24,6 +26,7 @@ import json
 import re
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,15 @@ NOISE_NAMES = {
     "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay", "pager", "pagination", "popup", "promo", "related", "reply", "respond", "share", "sharing",
     "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget",
 }
+#: Of these, declarations that a host's varying text overrules where it is within; as tags and roles, too.
+SOFT_NAMES = {"banner", "footer", "header", "login", "masthead", "menu", "modal", "notice", "notices", "overlay", "popup", "promo", "related", "share", "sharing", "sidebar", "skip", "social", "subscribe", "subscription", "toolbar", "topbar", "widget"}
+SOFT_TAGS = {"header", "footer", "aside", "form", "dialog", "menu", "fieldset", "label"}
+SOFT_ROLES = {"banner", "contentinfo", "complementary", "dialog", "form", "menu"}
+HEADER_NAMES = {"header", "banner", "masthead"}
+#: Parts of names that tell what a node has beside it, or of what it is a header.
+BESIDE = {"has", "have", "no", "not", "non", "with", "without", "hide", "show", "is", "after", "before"}
+OF_CONTENT = {"article", "blog", "chapter", "content", "entry", "post", "recipe", "review", "section", "single", "story"}
+SOFT, HARD = 1, 2
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
@@ -61,30 +73,81 @@ ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 class Node:
     __slots__ = ("tag", "name", "noise", "kids", "text", "path", "hash", "parent", "shape", "whole")
 
-    def __init__(self, tag: str, name: str, noise: bool, parent):
+    def __init__(self, tag: str, name: str, noise: int, parent):
         self.tag, self.name, self.noise, self.parent = tag, name, noise, parent
         self.kids: list = []  # nodes and strings, in order
         self.path = self.text = self.hash = self.shape = self.whole = None
 
 
-def _declared(tag: str, attrs: str, within_content: bool) -> tuple[str, bool]:
-    """A node's label, and whether it is declared to be no content."""
+@lru_cache(1 << 16)
+def _named(name: str, within_content: bool) -> int:
+    """Whether a class or id name declares no content: the whole name, or its first or last part."""
+    low = name.lower()
+    parts = [w.lower() for w in re.split(r"[-_:]+|(?<=[a-z])(?=[A-Z])", name) if w]
+    if low in NOISE_NAMES:
+        said = {low}
+    elif not parts or BESIDE & set(parts):
+        return 0
+    else:
+        said = {parts[0], parts[-1]} & NOISE_NAMES
+        if OF_CONTENT & set(parts):
+            said -= HEADER_NAMES
+    if within_content:
+        said -= HEADER_NAMES
+    return (HARD if said - SOFT_NAMES else SOFT) if said else 0
+
+
+def _declared(tag: str, attrs: str, within_content: bool) -> tuple[str, int]:
+    """A node's label, and whether it is declared to be no content: SOFT where a host's varying text may overrule that."""
+    noise = 0
+    if tag in NOISE_TAGS or (tag == "header" and not within_content):
+        noise = SOFT if tag in SOFT_TAGS else HARD
     if not attrs or attrs.isspace() or attrs == "/":
-        return tag, tag in NOISE_TAGS or (tag == "header" and not within_content)
+        return tag, noise
     got = {}
     for k, a, b, c in ATTR.findall(attrs):
         got.setdefault(k.lower(), a or b or c)
     names = f"{got.get('class', '')} {got.get('id', '')}".split()
-    words = {w for n in names for w in (n.lower(), *re.split(r"[-_:]|(?<=[a-z])(?=[A-Z])", n))}
-    noise = tag in NOISE_TAGS or (tag == "header" and not within_content) or bool({w.lower() for w in words} & NOISE_NAMES) and tag not in ("html", "body", "main", "article")
-    noise |= got.get("role", "").lower() in ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", got.get("style", ""), re.I))
+    if tag not in ("html", "body", "main", "article"):
+        noise = max(noise, *(_named(n, within_content) for n in names), 0)
+    role = got.get("role", "").lower()
+    if role in ROLES and not (role == "banner" and within_content):
+        noise = max(noise, SOFT if role in SOFT_ROLES else HARD)
+    if "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", got.get("style", ""), re.I):
+        noise = HARD
+    if tag in ("html", "body"):
+        noise = 0
     return tag + "".join(f".{n}" for n in names[:3] if not re.search(r"\d", n)), noise
 
 
+def _lift(contents: list[tuple[Node, bool]]) -> None:
+    """No node is noise that holds the page's main or, where none is outside of noise, its articles; but articles named as
+    comments or the like, or among what is named so, are none of the page's."""
+
+    def above(x):
+        while x.parent is not None:
+            x = x.parent
+            yield x
+
+    for tag in ("main", "article"):
+        of = [x for x, named in contents if x.tag == tag and not named]
+        if not of:
+            continue
+        if all(x.noise or any(y.noise for y in above(x)) for x in of):
+            for x in of:
+                up = [x, *above(x)]
+                if tag == "main" or not any(y.noise == HARD and y.name != y.tag and any(_named(n, False) == HARD for n in y.name.split(".")[1:]) for y in up):
+                    for y in up:
+                        y.noise = 0
+        if any(not x.noise and not any(y.noise for y in above(x)) for x in of):
+            return
+
+
 def parse(html: str) -> Node:
     """A tree of blocks and of inline parts that carry a name; other inline tags are transparent."""
-    root = Node("#", "#", False, None)
+    root = Node("#", "#", 0, None)
     at, pos, content = root, 0, 0
+    contents: list[tuple[Node, bool]] = []  # each main and article, and whether its own name declares it to be none
     n = len(html)
     while pos < n:
         m = TOKEN.search(html, pos)
@@ -124,7 +187,7 @@ def parse(html: str) -> Node:
             continue
         if tag in VOID:
             if tag == "hr":
-                at.kids.append(Node("hr", "hr", True, at))
+                at.kids.append(Node("hr", "hr", HARD, at))
             continue
         if tag in BLOCK or tag in CLOSES:
             shut = {"p"} | CLOSES.get(tag, set()) if tag in BLOCK or tag in ("td", "th") else CLOSES[tag]
@@ -144,9 +207,12 @@ def parse(html: str) -> Node:
             continue
         node = Node(tag, name, noise, at)
         at.kids.append(node)
+        if tag in ("main", "article"):
+            contents.append((node, any(_named(n, True) == HARD for n in name.split(".")[1:])))
         if not m[3].rstrip().endswith("/") or tag in BLOCK:
             at = node
             content += tag in ("article", "main")
+    _lift(contents)
     return root
 
 
@@ -163,7 +229,7 @@ def squeeze(text: str) -> str:
 
 
 def label(root: Node) -> list[Node]:
-    """Paths and own texts of all nodes outside declared noise."""
+    """Paths and own texts of all nodes outside hard noise; in paths, nodes of soft noise end in "!"."""
     root.path = ""
     out, stack = [], [root]
     while stack:
@@ -172,14 +238,14 @@ def label(root: Node) -> list[Node]:
         x.text, x.hash = own, hashlib.md5(own.encode()).hexdigest()[:12] if own else ""
         out.append(x)
         for k in reversed(x.kids):
-            if isinstance(k, Node) and not k.noise:
-                k.path = f"{x.path}/{k.name}"
+            if isinstance(k, Node) and k.noise != HARD:
+                k.path = f"{x.path}/{k.name}{'!' if k.noise else ''}"
                 stack.append(k)
     return out
 
 
 def _kids(x: Node) -> list[Node]:
-    return [k for k in x.kids if isinstance(k, Node) and not k.noise]
+    return [k for k in x.kids if isinstance(k, Node) and k.noise != HARD]
 
 
 def _heaviest(n: int, m: int, row, pairs: bool = True) -> tuple[int, list[tuple[int, int]]]:
@@ -236,7 +302,7 @@ class Shapes:
     def add(self, root: Node) -> None:
         """Give each node its shape, and a hash of its labels and texts."""
         for x in reversed(list(_walk(root))):
-            if x.noise and x is not root:
+            if x.noise == HARD:
                 continue
             kids = _kids(x)
             key = (x.name, *(k.shape for k in kids))
@@ -408,21 +474,34 @@ def _induce(url_col: str, html_col: str, known: dict[str, list[bytes]] | None):
 
 
 def region_of(varying: dict[str, int]) -> str:
-    """The deepest path that holds HOLD of the varying text."""
-    total = sum(varying.values())
-    if not total:
-        return ""
-    held: dict[str, int] = defaultdict(int)
-    for p, n in varying.items():
-        parts = p.split("/")
-        for i in range(1, len(parts) + 1):
-            held["/".join(parts[:i])] += n
-    return max((p for p, n in held.items() if n >= HOLD * total), key=lambda p: (p.count("/"), p))
+    """The deepest path that holds HOLD of the varying text; outside of declared noise, unless that text is within it."""
+
+    def deepest(of: dict[str, int]) -> str:
+        total = sum(of.values())
+        held: dict[str, int] = defaultdict(int)
+        for p, n in of.items():
+            parts = p.split("/")
+            for i in range(1, len(parts) + 1):
+                held["/".join(parts[:i])] += n
+        return max((p for p, n in held.items() if n >= HOLD * total), key=lambda p: (p.count("/"), p)) if total else ""
+
+    every = deepest(varying)
+    return every if "!" in every else deepest({p: n for p, n in varying.items() if "!" not in p})
 
 
 def blocks_of(root: Node, region: str, template: set[tuple[str, str]]) -> list[str]:
     """Texts of the blocks under the region, in page order."""
     nodes = label(root)
+    if "!" in region:  # the host's varying text is within declared noise, which therefore is none
+        lifted = [x for x in nodes if x.noise and (region + "/").startswith(x.path + "/")]
+        for x in lifted:
+            x.noise = 0
+    # what is left of declared noise is none of the page's blocks
+    hidden = {id(x) for x in nodes if x.noise}
+    for x in nodes:
+        if x.parent is not None and id(x.parent) in hidden:
+            hidden.add(id(x))
+    nodes = [x for x in nodes if id(x) not in hidden]
     main = [x for x in nodes if x.tag in ("article", "main")]
     paths = {x.path for x in nodes}
     while region and region not in paths:  # a page that lacks the region: the nearest node above that it has

@@ -266,6 +266,27 @@ def test_wrapper_large_pages(spark):
     assert len(wrapper.match(*big)) == len(list(wrapper._walk(big[0])))
 
 
+def test_wrapper_declared(spark):
+    def text(html):
+        return wrapper.blocks_of(wrapper.parse(html), "", set())
+
+    for name in ("content has-sidebar", "no-sidebar", "page-with-comments", "content sidebar", "widget"):
+        assert text(f'<body><div class="{name}"><div><article><h1>Head</h1><p>Text</article></div><div class="sidebar">s</div></div>') == ["Head", "Text"]
+    assert text("<body><form><main><p>Text</main><button>b</button></form>") == ["Text"]
+    assert text('<body><p>Text<div class="comments"><article>c</article></div><aside>s</aside>') == ["Text"]
+    assert text('<body><article><p>Text</article><aside class="related"><article>r</article></aside>') == ["Text"]
+    for name in ("entry-header", "post-header", "header", "articleHeader"):
+        assert text(f'<body><article><div class="{name}"><h1>Head</h1></div><p>Text</article>') == ["Head", "Text"]
+    assert text('<body><div class="entry-header"><h1>Head</h1></div><p>Text') == ["Head", "Text"]
+    for name in ("cookie-notice", "site-header", "left-sidebar", "nav_main", "mainNav", "share", "comments-area"):
+        assert text(f'<body><div class="{name}">n</div><p>Text') == ["Text"]
+    # the region of what varies overrules a name
+    page = '<html><body><div id="page-widget"><div class="x"><p>Body of page number {0}.<p>More on {0}</div></div><div class="widget">w</div><p>Same</p>'
+    rows = [(i, "http://h.example/x", page.replace("{0}", str(i))) for i in range(12)]
+    got = wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.text) for r in got} == {(i, f"Body of page number {i}.\nMore on {i}") for i in range(12)}
+
+
 def test_warc(spark):
     rows = [(1, "u", "x" * 2000), (5, "u\r\nv", "x" * 2000), (3, None, "x" * 2000), (4, "u", "small"), (6, "u", "small"), (7, "u", None), (None, "u", "y" * 1500), (None, "u", "x" * 2000), (8, "u", "é" * 40_000)]
     bundles = warc.write_bundles(spark.createDataFrame(rows, "page_id long, url string, html string"))
