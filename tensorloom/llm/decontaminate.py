@@ -3,15 +3,17 @@
 `find_leaks` looks in every whole text for windows within MAX_EDITS of an item's length of a benchmark item, in edit
 distance, after lower-casing A-Z and turning white space into one space.
 
-1. Seeds: 12-byte strings (all of a shorter item) that text and item share, found through a bitmap.  Where several fall
-   on one diagonal, an item-sized window is set there.
+1. Seeds: an item that may have k edits is cut into k + 1 pieces (of nine bytes in a long item), of which one at least is
+   left whole.  Texts are searched for the pieces through a bitmap, and an item-sized window is set where a piece points.
+   Of an item of m bytes, m - 3 - 4 k of the 4-byte strings are left whole too: windows that hold fewer of the item's
+   strings go.  Neither step loses a window within MAX_EDITS.
 2. CGK: window and item take the same random walk (each symbol is written, and a random bit of place and symbol says
    whether to move on), which turns a small edit distance into a small Hamming distance.  LSH: tables of SAMPLED random
-   places of the embedding; a window that agrees with its item on all places of some table is a candidate.  Four walks
-   of 48 tables: a window whose embedding keeps half of its symbols is missed with probability (7/8)^192 = 7e-12; for a
-   walk that drifts off, the other three walks stand in.  Measured on items with random edits: all found up to 8 per cent, nine
-   in ten at 10 per cent.  Edits set less than 13 bytes apart through a whole item leave no seed and are missed.
-3. Candidates are verified by the exact edit distance between the item and any part of the window with some slack.
+   places of the embedding; a window that agrees with its item on all places of some table is verified first.  Four
+   walks of 48 tables: a window whose embedding keeps half of its symbols is missed with probability (7/8)^192 = 7e-12;
+   for a walk that drifts off, the other three walks stand in.  Windows that meet in no table are verified after the
+   others, unless an exact copy of their item is found already, so that no recall is left to chance.
+3. Windows are verified by the exact edit distance between the item and any part of the window with some slack.
 
 Items are a benchmark: they go to every task, in blocks of at most BLOCK_BYTES of text, whatever their number.
 Null or empty texts and items match nothing; null ids are handed through; repeated rows each give their own rows.
@@ -26,11 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, Rolling, mix, slices, table, text_bytes
 
-SEED_BYTES = 12
 MAX_EDITS = 0.10
 WALKS, TABLES, SAMPLED = 4, 48, 3
 BLOCK_BYTES = 4 << 20
 BITS = 22
+#: The count filter: grams of so many bytes, in a table of so many bits of place.
+GRAM, GRAM_BITS = 4, 24
 SLICE = 1 << 19
 
 
@@ -87,6 +90,15 @@ def embed(texts: np.ndarray, walk: int, length: int) -> np.ndarray:
     return out
 
 
+def _grams(buf: np.ndarray) -> np.ndarray:
+    """All strings of GRAM bytes, as numbers."""
+    n = max(0, len(buf) - GRAM + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(GRAM):
+        out = out << np.uint64(8) | buf[i : i + n]
+    return out
+
+
 class Items:
     """A block of items, as tasks need them."""
 
@@ -99,23 +111,33 @@ class Items:
                 texts.append((i, x))
         self.ids, self.texts = [i for i, _ in texts], [t for _, t in texts]
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.most = np.array([int(len(t) * MAX_EDITS) for t in self.texts], np.int64)
         self.grams = {}
-        for q in sorted({min(SEED_BYTES, len(t)) for t in self.texts}):
-            mine = [k for k, t in enumerate(self.texts) if min(SEED_BYTES, len(t)) == q]
+        least = [len(t) // (k + 1) for t, k in zip(self.texts, self.most.tolist(), strict=True)]  # bytes of a piece
+        for q in sorted(set(least)):
             h, item, off = [], [], []
-            for k in mine:
-                r = Rolling(np.frombuffer(self.texts[k], np.uint8))
-                g = r.grams(q)
-                h.append(g)
-                item.append(np.full(len(g), k))
-                off.append(np.arange(len(g)))
+            for k in (k for k, x in enumerate(least) if x == q):
+                n = int(self.most[k]) + 1
+                at = np.arange(n) * len(self.texts[k]) // n
+                h.append(Rolling(np.frombuffer(self.texts[k], np.uint8)).grams(q)[at])
+                item.append(np.full(n, k))
+                off.append(at)
             h, item, off = np.concatenate(h), np.concatenate(item), np.concatenate(off)
             o = np.argsort(h, kind="stable")
             bitmap = np.zeros(1 << BITS, bool)
             bitmap[(h >> np.uint64(64 - BITS)).astype(np.int64)] = True
             self.grams[q] = (h[o], item[o], off[o], bitmap)
+        self.held = np.zeros(1 << GRAM_BITS, bool)
+        for k, t in enumerate(self.texts):
+            self.held[self._place(_grams(np.frombuffer(t, np.uint8)), k)] = True
         self.samples = [np.random.Generator(np.random.PCG64(77 + w)).random((TABLES, SAMPLED)) for w in range(WALKS)]
 
+    @staticmethod
+    def _place(grams: np.ndarray, item) -> np.ndarray:
+        x = (grams + np.asarray(item).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        return ((x * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
+
     def seeds(self, buf: np.ndarray, offs: np.ndarray):
         """(item, text, diagonal) of each shared seed."""
         r = Rolling(buf)
@@ -134,31 +156,31 @@ class Items:
         return (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
     def windows(self, buf: np.ndarray, offs: np.ndarray):
-        """(item, text, start) of windows that seeds point to: the commonest start of neighbouring diagonals."""
+        """(item, text, start) of windows that seeds point to and that hold as many of the item's grams as its edits leave."""
         item, doc, diag = self.seeds(buf, offs)
         if not len(item):
             return item, doc, diag
         o = np.lexsort((diag, item, doc))
         item, doc, diag = item[o], doc[o], diag[o]
-        slack = np.maximum((self.sizes[item] * MAX_EDITS).astype(np.int64), 1)
         new = np.ones(len(o), bool)
-        new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (diag[1:] - diag[:-1] > slack[1:])
-        group = np.cumsum(new) - 1
-        hits = np.bincount(group)
-        need = np.minimum(3, 1 + np.maximum(self.sizes[item] - SEED_BYTES, 0) // 32)
-        run = new.copy()
-        run[1:] |= diag[1:] != diag[:-1]
-        at = np.flatnonzero(run)
-        count = np.diff(np.append(at, len(run)))
-        best = at[np.lexsort((-count, group[at]))]
-        keep = np.ones(len(best), bool)
-        keep[1:] = group[best][1:] != group[best][:-1]
-        best = best[keep]
-        # a chain of diagonals longer than an item's slack may hold several windows: take each well-hit one
-        extra = at[(count >= 3)]
-        best = np.unique(np.concatenate((best, extra)))
-        best = best[hits[group[best]] >= need[best]]
-        return item[best], doc[best], diag[best]
+        new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (diag[1:] != diag[:-1])
+        item, doc, diag = item[new], doc[new], diag[new]
+        grams = _grams(buf)
+        need = self.sizes[item] - GRAM + 1 - GRAM * self.most[item]  # an edit breaks GRAM grams at most
+        lo = np.maximum(diag - self.most[item], offs[doc])
+        hi = np.minimum(diag + self.sizes[item] + self.most[item], offs[doc + 1]) - GRAM + 1
+        keep = need <= 0
+        todo = np.flatnonzero(~keep & (hi - lo >= need))
+        todo = todo[np.argsort((hi - lo)[todo], kind="stable")]
+        at = 0
+        while at < len(todo):
+            k = todo[at : at + max(1, (1 << 19) // int((hi - lo)[todo[min(at + 4096, len(todo) - 1)]]))][:4096]
+            at += len(k)
+            n = (hi - lo)[k]
+            x = np.repeat(lo[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            got = self.held[self._place(grams[x], np.repeat(item[k], n))]
+            keep[k] = np.add.reduceat(got, np.cumsum(n) - n, dtype=np.int64) >= need[k]
+        return item[keep], doc[keep], diag[keep]
 
     def similar(self, buf: np.ndarray, item: np.ndarray, start: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Bit-sampling LSH on embeddings: which windows meet their item in some table."""
@@ -197,8 +219,10 @@ class Items:
         ok = self.similar(buf, item, start, begin, end)
         seen = {}
         data = buf.tobytes()
-        for k in np.flatnonzero(ok):
+        for k in (*np.flatnonzero(ok), *np.flatnonzero(~ok)):
             i, d = int(item[k]), int(doc[k])
+            if (d, i) in seen and not seen[d, i][0]:
+                continue
             size = int(self.sizes[i])
             most = int(size * MAX_EDITS)
             lo, hi = max(int(begin[k]), int(start[k]) - most), min(int(end[k]), int(start[k]) + size + most)

@@ -8,6 +8,7 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tensorloom.llm import cover_tree, decontaminate, importance, licences, minhash_dedup, mixing, suffix_dedup, token_counts, warc, wrapper
@@ -147,6 +148,30 @@ def test_decontamination(spark):
     assert decontaminate.edit_distance_within(b"kitten", b"xx sitting xx", 3)[0] == 2
 
 
+def test_decontamination_spread_edits(spark):
+    rng = random.Random(9)
+    items = [(i, words(rng, n, 5000)) for i, n in enumerate((4, 8, 15, 30, 60))]
+    rows = []
+    for i, t in items:
+        edited = list(t)
+        for p in range(11, len(t), 12):  # 8.3 per cent: runs of 11 bytes are left
+            edited[p] = "q"
+        rows.append((i, words(rng, 50) + " " + "".join(edited) + " " + words(rng, 50)))
+    got = {r.doc_id: [x.item_id for x in r.leaks] for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {i: [i] for i, _ in items}
+    # every item within the edits is found, whatever the edits
+    block = decontaminate.Items([(i, t.encode()) for i, t in items])
+    for k, t in enumerate(block.texts):
+        for _ in range(60):
+            e = list(t)
+            for _ in range(int(len(t) * decontaminate.MAX_EDITS)):
+                p = rng.randrange(len(e))
+                e[p : p + rng.randrange(2)] = rng.choice(([], [ord("q")], [ord("z")]))
+            text = b"some text before " + bytes(e) + b" and after"
+            if decontaminate.edit_distance_within(t, text, int(len(t) * decontaminate.MAX_EDITS)):
+                assert k in [x[1] for x in block.leaks(pa.array([text.decode()]))]
+
+
 def test_token_counts(spark):
     vocab = [b"a", b"b", b"ab", b"abc", b"c", b"bcd", b"d"]
     pieces = {tuple(v) for v in vocab} | {(*v, 256) for v in vocab} | {(*b"abcd", *b"x")}
