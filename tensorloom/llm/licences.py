@@ -40,6 +40,30 @@ KNOWN = {
     "CC0-1.0": ("Released under CC0 1.0.", "This work is released under CC0 1.0."),
 }
 
+#: Canonical digests of whole licence texts, with and without what follows the terms, by licence.
+WHOLE = {
+    "Apache-2.0": ("b27c759862531cc87d642844b66233c5", "140fc7dd3fe13f9e3a727dc78d989884", "e6c7b7269497451001d75f3de65b402f", "09aa5ff2cdfd26b058df3b4bc7f0032f", "c5a1fc6488e58a5e875d957a11a838eb", "3e1f4d6717dd94f6954649aeed45d811",),
+    "Artistic-1.0-Perl": ("7fcf35f5ad3314fa9254c4e56baaceb8",),
+    "BSD-2-Clause": ("b0538ec125cafeeb58bf11083985630b", "7156097767f5afef1724228b3dfb48fe", "86f56c47a776acba8d7b43470d449555", "51d69cd7c240263ba1b74d5fd087cc2d",),
+    "BSD-3-Clause": ("6989781d8e3e31bf06f590dd203d4e65", "35949a337d62edf6d4a7546132b54bb9", "313f76a76676f32d87dd2e2289f00188", "45de459068d4830f24138a97cbdec14b", "3f2317126997645362b9b82a8595ac4e",),
+    "CC-BY-SA-4.0": ("b15619507300fe9fd598091d007cca1c",),
+    "CC0-1.0": ("93a180096f6cfcf2c0dd24f75c2eec48",),
+    "GFDL-1.2": ("6fae616a2084258d6f1635920433f2e2",),
+    "GFDL-1.3": ("9715992e76e496f0c0d0a6fcfb268fed",),
+    "GPL-1.0": ("738cc3b112640d95d4cd79a58967ecea", "dbf3c47f5a8f127e58d08cabc1ebb916", "21fa8693acc5194a648fe02e11f65a72",),
+    "GPL-2.0": ("e374d0b43c25aed1a2b28951fe92a546", "cbb3451938de95cbb302d3c10690ede8", "95f8e6eea7034bb28698597e2a21390c", "e0b7635c5df0abca544f6e8bbe326fde",),
+    "GPL-3.0": ("057f186a69ca5796ed5fd60ffc00e686", "9622e348e3655fc913d2a9a03f2362b1", "d7b2d50fa70d40ab725f812119aa2d3d", "5eaa767cc0a56c87c3852144458a3bf1",),
+    "ISC": ("d4ab7844672554d3dacb33435e62566b",),
+    "LGPL-2.0": ("63ac11b5b2fcfe811ff161b9e5def0c5", "1389f4e6c9257fffaaa58a4ba72e4209", "67adee7de2991bbdb3346ca63ffc6b75",),
+    "LGPL-2.1": ("b0e44c745072418c0ff11407a0bc4ffc", "ea4739ccf5314c5f636f979cc03259e2", "8bafa4c612887b0b12bf68d7e5fe0527",),
+    "LGPL-3.0": ("b31b7335bc37919e8cdd79154e04d88d",),
+    "MPL-1.1": ("b7edc06df79bc44a04f12befb8111960",),
+    "MPL-2.0": ("a27e119cd87d765a971af4667b2bf9b1",),
+    "NCSA": ("a0da08a3467e8127a21d756a5ed37ea9",),
+    "OFL-1.1": ("c57b0806c384ec4783e36a1f9411c8b7",),
+    "Unicode-3.0": ("d326f8dc2f927ff26ec5b185e795fda5",),
+}
+
 
 def canonical(text: str) -> str:
     """What canonical_column gives, in Python."""
@@ -62,9 +86,13 @@ def known_digests() -> dict[str, str]:
     return {hashlib.md5(canonical(t).encode()).hexdigest(): name for name, texts in KNOWN.items() for t in texts}
 
 
+def whole_digests() -> dict[str, str]:
+    return {digest: name for name, digests in WHOLE.items() for digest in digests}
+
+
 def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] | None = None) -> DataFrame:
     """id, licence string (of the whole text, or null), line_licences array<string> (distinct, in order of name)."""
-    got = known or known_digests()
+    got = known or known_digests() | whole_digests()
     by_digest = F.create_map(*[F.lit(x) for kv in sorted(got.items()) for x in kv])
 
     def look(text: Column) -> Column:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 import struct
@@ -358,6 +359,18 @@ def test_licences(spark):
     assert got == collections.Counter([(1, "MIT", ()), (1, "MIT", ()), (2, None, ("MIT",)), (3, None, ()), (4, None, ()), (5, None, ())])
 
 
+def test_licences_whole_texts(spark):
+    folder = "/usr/share/common-licenses"
+    want = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    have = [n for n in want if os.path.exists(f"{folder}/{n}")]
+    if not have:
+        pytest.skip("no licence texts here")
+    texts = {n: open(f"{folder}/{n}").read() for n in have}
+    rows = [(n, t) for n, t in texts.items()] + [(n, " ".join(t.split("END OF TERMS AND CONDITIONS")[0].upper().split(" ")) + "\n\n") for n, t in texts.items()] + [("cut", texts[have[0]][:-300])]
+    got = collections.Counter((r.doc_id, r.licence) for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == {**{(n, want[n]): 2 for n in have}, ("cut", None): 1}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
