@@ -173,6 +173,75 @@ def test_decontamination_spread_edits(spark):
                 assert k in [x[1] for x in block.leaks(pa.array([text.decode()]))]
 
 
+def _edited(rng, t, rate, how):
+    """t with so many edits of its length: at random, evenly spaced of all kinds, or evenly spaced substitutions."""
+    e, n = list(t), int(len(t) * rate)
+    if how == "substituted":
+        for p in range(rng.randrange(len(t) // n), len(t), -(-len(t) // n)):
+            e[p] = "q"
+        return "".join(e)
+    for p in sorted((int((k + 0.5) * len(t) / n) for k in range(n)) if how == "even" else rng.sample(range(len(t)), n), reverse=True):
+        kind = rng.randrange(3)
+        e[p : p + (kind < 2)] = [] if kind == 1 else [rng.choice("etaoinshr")]
+    return "".join(e)
+
+
+@pytest.mark.parametrize("rate", [0.06, 0.08, 0.09, 0.099])
+@pytest.mark.parametrize("how", ["random", "even", "substituted"])
+def test_decontamination_recall(rate, how):
+    """The index finds nine of ten windows within the edits and more, held against the distance itself."""
+    rng = random.Random(3)
+    items = [" ".join(rng.choice(("the", "tion", "on", "ered", "thand", "inge", "st", "reou", "wh")) + rng.choice(("", "er", "ly", "n")) for _ in range(rng.randrange(18, 70))) for _ in range(60)]
+    block = decontaminate.Items([(i, t.encode()) for i, t in enumerate(items)])
+    assert len(block.texts) == 60 and min(block.sizes) >= decontaminate.SHORT
+    texts, want = [], []
+    for i, t in enumerate(items):
+        x = f"some thand before {_edited(rng, t, rate, how)} and after reou"
+        if decontaminate.edit_distance_within(t.encode(), x.encode(), int(len(t) * decontaminate.MAX_EDITS)):
+            texts.append(x)
+            want.append(i)
+    found = {(d, i) for d, i, *_ in block.leaks(pa.array(texts))}
+    assert len(want) >= 40 and sum((d, i) in found for d, i in enumerate(want)) >= 0.95 * len(want)
+    # one window a text or many texts at once, the same leaks
+    assert {(d, i) for d, t in enumerate(texts) for _, i, *_ in block.leaks(pa.array([t]))} == found
+
+
+def test_decontamination_needs_the_index(monkeypatch):
+    text = " ".join(f"word{i * i}" for i in range(30))
+    assert [x[1] for x in decontaminate.Items([(7, text.encode())]).leaks(pa.array([f"before {text} after"]))] == [7]
+    monkeypatch.setattr(decontaminate, "embed", lambda buf, start, walk: np.random.default_rng(len(start)).integers(0, 256, (decontaminate.STEPS, len(start)), np.uint8))
+    assert not list(decontaminate.Items([(7, text.encode())]).leaks(pa.array([f"before {text} after"])))
+
+
+def test_decontamination_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    syllables = ("the", "tion", "on", "ered", "thand", "inge", "st", "reou", "wh")
+    prose = lambda n: " ".join(rng.choice(syllables) + rng.choice(syllables) for _ in range(n))
+    items = [(i, prose(rng.randrange(1, 40))) for i in range(25)] + [(9, prose(30)), (None, prose(30)), (40, None), (41, " ")]
+    rows = [(i, prose(rng.randrange(0, 60)) + " " + _edited(rng, t, 0.05, "random") + "\n" + prose(20), "x") for i, t in enumerate(t for _, t in items if t and len(t) > 40)]
+    rows += [(None, items[3][1], "y"), (3, items[3][1], None), (3, items[3][1], None), (5, None, "x"), (6, "", "x"), (7, prose(20_000) + items[5][1].upper(), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, leaks string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def clean(t):
+        return " ".join("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split())
+
+    def brute(text):
+        short = [(i, clean(t)) for i, t in items if clean(t)]
+        return sorted({str(i) for i, t in short if decontaminate.edit_distance_within(t.encode(), clean(text).encode(), int(len(t.encode()) * decontaminate.MAX_EDITS))})
+
+    want = sorted((str(i), tuple(brute(t))) for i, t, _ in rows)
+    for size in (1 << 20, 500):  # one block of items, and several
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        got = decontaminate.find_leaks(docs, bench).collect()
+        assert sorted((str(r.doc_id), tuple(sorted({str(x.item_id) for x in r.leaks}))) for r in got) == want
+        kept = decontaminate.decontaminate_stage  # its own table of items
+        monkeypatch.setattr(decontaminate, "table", lambda *_: bench)
+        assert sorted(map(str, kept(spark, docs, "").collect())) == sorted(map(str, (r for r in docs.collect() if not brute(r.text))))
+    assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0
+    assert all(not r.leaks for r in decontaminate.find_leaks(docs, bench.limit(0)).collect())
+
+
 def test_token_counts(spark):
     vocab = [b"a", b"b", b"ab", b"abc", b"c", b"bcd", b"d"]
     pieces = {tuple(v) for v in vocab} | {(*v, 256) for v in vocab} | {(*b"abcd", *b"x")}
