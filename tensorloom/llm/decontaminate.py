@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, Rolling, materialize, slices, table, text_bytes
+from .common import LOWER, SPACE, Rolling, materialize, new_name, slices, table, text_bytes
 
 MAX_EDITS = 0.10
 STRIDE, STEPS = 8, 40
@@ -349,12 +349,6 @@ def _with_leaks(df: DataFrame, items: DataFrame, text_col: str, item_id: str, it
     return out
 
 
-def _new_name(df: DataFrame, name: str) -> str:
-    while name in df.columns:
-        name = f"_{name}"
-    return name
-
-
 def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """id and leaks array<struct<item_id, edits, start, stop>> (best window of each item, places in UTF-8 bytes), a row per row."""
     return _with_leaks(df.select(id_col, text_col), items, text_col, item_id, item_text, "leaks").select(id_col, "leaks")
@@ -367,6 +361,6 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A pipeline stage: documents that hold a benchmark item go.  Nulls, repeated rows and extra columns stay as they are."""
-    leaks = _new_name(docs, "leaks")
+    leaks = new_name(docs, "leaks")
     got = _with_leaks(docs, table(spark, sf_dir, "benchmark"), "text", "item_id", "text", leaks)
     return got.where(F.size(leaks) == 0).select(*docs.columns)

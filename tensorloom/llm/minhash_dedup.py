@@ -11,8 +11,11 @@ components are finished by an exact way: their members' shingles are counted, an
 they share one of the n - ceil(0.75 n) + 1 rarest shingles of each (prefix filter), early enough that what is left of
 both sets can still make up the overlap (position filter); such pairs of different components are confirmed too, so nothing that shares a key is lost, however large the key.  Links become components over all.
 
+A node is a set, whatever the ids of its documents: it has a number of its own, and a component's id is the least of its
+documents'.  Rows of one id and different sets are nodes of their own, each with its own component.
+
 Null, empty or blank texts: an empty set, linked with nothing.  Fewer than five words: the sequence as one shingle.
-Null ids: after all others (component null if reached by nothing smaller).  Repeated ids with equal sets: one node.
+Null ids: after all others (component null if it has no other id).  Repeated rows: the same node, a row each.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, components, distinct_sets, ids_of, materialize, partitions, release, shingle_hashes, slices, table, text_bytes, trim, word_hashes
+from .common import NULL_ID, components, distinct_sets, ids_of, materialize, new_name, partitions, release, shingle_hashes, slices, table, text_bytes, trim, word_hashes
 
 COLLECTIONS, WIDTH, SHINGLE = 16, 2, 5
 PER_CENT = 75
@@ -60,19 +63,17 @@ def collections_of(sh: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _signatures(id_col: str, text_col: str):
-    def run(batches):
-        for b in slices(batches, text_col, SLICE):
-            sh, offs = sets_of(b.column(text_col))
-            n = np.diff(offs)
-            s1 = np.add.reduceat(np.append(_finish(sh * np.uint64(0x2545F4914F6CDD1D)), np.uint64(0)), np.minimum(offs[:-1], len(sh))) if len(n) else n
-            s2 = np.bitwise_xor.reduceat(np.append(_finish(sh * np.uint64(0xC2B2AE3D27D4EB4F)), np.uint64(0)), np.minimum(offs[:-1], len(sh))) if len(n) else n
-            sig = collections_of(sh, offs)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids_of(b.column(id_col))), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([r.tobytes() for r in sig], pa.binary())], names=["id", "n", "h1", "h2", "sig"]
-            )
-
-    return run
+def _signatures(batches):
+    """Of rows (id, text, th)."""
+    for b in slices(batches, "text", SLICE):
+        sh, offs = sets_of(b.column("text"))
+        n = np.diff(offs)
+        s1 = np.add.reduceat(np.append(_finish(sh * np.uint64(0x2545F4914F6CDD1D)), np.uint64(0)), np.minimum(offs[:-1], len(sh))) if len(n) else n
+        s2 = np.bitwise_xor.reduceat(np.append(_finish(sh * np.uint64(0xC2B2AE3D27D4EB4F)), np.uint64(0)), np.minimum(offs[:-1], len(sh))) if len(n) else n
+        sig = collections_of(sh, offs)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids_of(b.column("id"))), b.column("th"), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([r.tobytes() for r in sig], pa.binary())], names=["id", "th", "n", "h1", "h2", "sig"]
+        )
 
 
 def _keys(n_buckets: int):
@@ -80,7 +81,7 @@ def _keys(n_buckets: int):
 
     def run(batches):
         for b in batches:
-            ids = np.asarray(b.column("id"))
+            ids = np.asarray(b.column("node"))
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u8").reshape(-1, COLLECTIONS)
             for lo in range(0, len(ids), 4096):
                 d, s = ids[lo : lo + 4096], sig[lo : lo + 4096]
@@ -97,7 +98,7 @@ def _keys(n_buckets: int):
 
 
 def _stars(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, key, size): b held against a, the smallest id of the key."""
+    """(a, b, key, size): b held against a, the smallest node of the key."""
     K, D = [], []
     for b in batches:
         for p in b.column("payload").to_pylist():
@@ -128,13 +129,10 @@ def _stars(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
     trim()
 
 
-def _sets(id_col: str, text_col: str):
-    def run(batches):
-        for b in slices(batches, text_col, SLICE):
-            sh, offs = sets_of(b.column(text_col))
-            yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), pa.array([sh[x:y].tobytes() for x, y in zip(offs[:-1], offs[1:], strict=True)], pa.binary())], names=["id", "sh"])
-
-    return run
+def _sets(batches):
+    for b in slices(batches, "text", SLICE):
+        sh, offs = sets_of(b.column("text"))
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([sh[x:y].tobytes() for x, y in zip(offs[:-1], offs[1:], strict=True)], pa.binary())], names=["id", "sh"])
 
 
 def linked(x: bytes, y: bytes) -> bool:
@@ -168,10 +166,11 @@ def _prefix(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo : lo + 512], n)), pa.array(np.concatenate(sh) if len(sh) else np.zeros(0, np.int64)), pa.array(np.repeat(n, n).astype(np.int64))], names=["id", "t", "n"])
 
 
-def _rest(open_ids: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different components among open_ids that can be linked, by the prefix filter."""
+def _rest(open_ids: DataFrame, comp: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of different components among open_ids that can be linked, by the prefix filter; and the tables they need."""
     tokens = sets.join(open_ids, "id").mapInArrow(_prefix, "id long, t long, n long")
     tokens = materialize(tokens, "tokens")
+    made = [tokens]
     count = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     # rank of a shingle within its set, rarest first; those that stand alone come before all that are kept
     shared = tokens.join(count, "t")
@@ -186,30 +185,40 @@ def _rest(open_ids: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
         return (100 + PER_CENT) * left >= PER_CENT * (n + other)
 
     rare = materialize(rare, "rare")
+    made.append(rare)
     for _ in range(2):  # drop what no set of its shingle and of another component can be linked with
         least = rare.groupBy("t").agg(F.min("n").alias("least"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t", "least")
         rare = rare.join(least, "t").where(enough(F.col("left"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * PER_CENT / 100)))).drop("least")
     rare = materialize(rare, "rare")
+    made.append(rare)
     x, y = (rare.select("t", *(F.col(c).alias(f"{s}{c}") for c in ("id", "n", "left", "c"))) for s in "xy")
     linkable = enough(F.least("xleft", "yleft"), F.col("xn"), F.col("yn"))
     near = x.join(y, "t").where((F.col("xc") < F.col("yc")) & (100 * F.least("xn", "yn") >= PER_CENT * F.greatest("xn", "yn")) & linkable)
-    return near.select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")).distinct()
+    return near.select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")).distinct(), made
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: id, n_shingles, component_id (smallest id reachable), kept (id is its component)."""
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, th): th tells texts of one id from each other."""
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, n, node, component): a row per row of df; component is the least id of the class; node is null for empty sets."""
     spark = df.sparkSession
-    sigs = materialize(df.select(id_col, text_col).mapInArrow(_signatures(id_col, text_col), "id long, n long, h1 long, h2 long, sig binary"), "sigs")
-    nodes = materialize(sigs.where("n > 0").groupBy("n", "h1", "h2").agg(F.min(F.struct("id", "sig")).alias("m")).select("n", "h1", "h2", "m.id", "m.sig"), "nodes")
+    rows = _rows(df, id_col, text_col)
+    sigs = materialize(rows.mapInArrow(_signatures, "id long, th long, n long, h1 long, h2 long, sig binary"), "sigs")
+    least = sigs.where("n > 0").groupBy("n", "h1", "h2").agg(F.min(F.struct("id", "th", "sig")).alias("m"))
+    # numbered once, in a written table: a lost executor doesn't number anew
+    nodes = materialize(least.select("n", "h1", "h2", "m.*", F.monotonically_increasing_id().alias("node")), "nodes")
     count = nodes.count()
     n_buckets = max(partitions(spark), -(-count * len(_PAIR) // BUCKET_ROWS))
-    dealt = nodes.select("id", "sig").mapInArrow(_keys(n_buckets), "bucket int, payload binary")
+    dealt = nodes.select("node", "sig").mapInArrow(_keys(n_buckets), "bucket int, payload binary")
     stars = materialize(dealt.groupBy("bucket").applyInArrow(_stars, "a long, b long, k long, size long"), "stars")
     pairs = stars.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
-    used = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    of = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    texts = of.join(used, "id")
-    sets = materialize(texts.mapInArrow(_sets("id", "text"), "id long, sh binary").where("octet_length(sh) > 0").dropDuplicates(["id"]), "sets")
+    used = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # the text of a node's least row; rows that repeat it give the same set
+    of = nodes.join(used, "node").select("node", "id", "th")
+    sets = materialize(rows.join(of, ["id", "th"]).select("node", "text").mapInArrow(_sets, "id long, sh binary").dropDuplicates(["id"]), "sets")
     judged = materialize(confirm(pairs, sets), "judged")
     links = judged.where("ok").select("a", "b")
     comp = components(links)
@@ -218,17 +227,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wide = wide.select("k", "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
     split = wide.where("ca <> cb").select("k").distinct()
     open_ids = wide.join(split, "k").select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rest = _rest(open_ids, comp, sets)
-    rest = rest.join(pairs, ["a", "b"], "left_anti")
-    more = materialize(confirm(rest, sets).where("ok").select("a", "b"), "more")
+    rest, made = _rest(open_ids, comp, sets)
+    more = materialize(confirm(rest.join(pairs, ["a", "b"], "left_anti"), sets).where("ok").select("a", "b"), "more")
     if more.limit(1).count():
         old = comp
         comp = components(links.unionByName(more))
         release(old)
-    label = nodes.join(comp, "id", "left").select("n", "h1", "h2", F.coalesce("component", "id").alias("component"))
-    got = sigs.select("id", "n", "h1", "h2").join(label, ["n", "h1", "h2"], "left")
-    component = F.nullif(F.coalesce("component", "id"), F.lit(NULL_ID))
-    return got.select(F.nullif("id", F.lit(NULL_ID)).alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == F.coalesce("component", "id")).alias("kept"))
+    release(stars, sets, judged, more, *made)
+    named = nodes.join(comp.withColumnRenamed("id", "node"), "node", "left").select("n", "h1", "h2", "node", "id", F.coalesce("component", "node").alias("root"))
+    label = named.join(named.groupBy("root").agg(F.min("id").alias("component")), "root").select("n", "h1", "h2", "node", "component")
+    got = sigs.select("id", "th", "n", "h1", "h2").join(label, ["n", "h1", "h2"], "left")
+    return got.select("id", "th", "n", "node", F.coalesce("component", "id").alias("component"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: id, n_shingles, component_id (smallest id reachable), kept (id is its component)."""
+    null = lambda c: F.nullif(c, F.lit(NULL_ID))
+    return _classes(df, id_col, text_col).select(null("id").alias(id_col), F.col("n").alias("n_shingles"), null("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,9 +251,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A pipeline stage: one document of each component stays, that of the smallest id."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti").select(*docs.columns)
+    """A pipeline stage: one row of each class stays, the one of the smallest id (ties by a hash of the text, and one row
+    of those that repeat id and text).  Empty texts all stay."""
+    got = _classes(docs, "doc_id", "text").where("node is not null")
+    rows = materialize(got.groupBy("id", "th").agg(F.count("*").alias("n"), F.min("component").alias("component"), F.min("node").alias("node")), "classes")
+    # classes of null ids alone have no id to tell them apart: their nodes do
+    label = F.when(F.col("component") == NULL_ID, F.col("node"))
+    first = rows.groupBy("component", label.alias("l")).agg(F.min(F.struct("id", "th")).alias("m")).select("m.id", "m.th")
+    gone = rows.join(first, ["id", "th"], "left_anti").select(F.col("id").alias("_i"), F.col("th").alias("_h"))
+    again = rows.where("n > 1").join(first, ["id", "th"], "left_semi").select(F.col("id").alias("_i"), F.col("th").alias("_h"))
+    i, h = new_name(docs, "_id"), new_name(docs, "_hash")
+    own = docs.withColumn(i, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn(h, F.xxhash64("text"))
+    same = (F.col(i) == F.col("_i")) & (F.col(h) == F.col("_h"))
+    own = own.join(gone, same, "left_anti")
+    one = own.join(again, same, "left_semi").dropDuplicates([i, h])
+    return own.join(again, same, "left_anti").unionByName(one).select(*docs.columns)
 
 
 __all__ = ["near_duplicates", "near_dedup_stage", "op7"]

@@ -101,6 +101,22 @@ def test_near_duplicates(spark, docs):
     assert minhash_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_near_duplicates_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    almost = lambda t: t + " more"
+    rows = [(1, a), (2, b), (None, almost(a)), (None, almost(b)), (5, a), (5, b), (5, c), (6, almost(c)), (None, "null alone is here now"), (None, "null alone is here now"), (None, None), (7, None), (7, None), (2, b)]
+    df = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], "doc_id long, text string, th string, node int, _id string")
+    got = collections.Counter((r.doc_id, r.component_id, r.n_shingles > 0, r.kept) for r in minhash_dedup.near_duplicates(df).collect())
+    want = [(1, 1, True, True), (2, 2, True, True), (2, 2, True, True), (None, 1, True, False), (None, 2, True, False), (5, 1, True, False), (5, 2, True, False), (5, 5, True, True), (6, 5, True, False)]
+    want += [(None, None, True, True)] * 2 + [(None, None, False, True), (7, 7, False, True), (7, 7, False, True)]
+    assert got == collections.Counter(want)
+    out = minhash_dedup.near_dedup_stage(spark, df, "")
+    assert out.columns == df.columns
+    assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == collections.Counter([(1, a), (2, b), (5, c), (None, "null alone is here now"), (None, None), (7, None), (7, None)])
+    assert minhash_dedup.near_dedup_stage(spark, df.limit(0), "").count() == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
