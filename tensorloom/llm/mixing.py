@@ -1,12 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions alone.
 
 A source's target comes from its weight, up to `most` times its size; what is beyond is dealt anew by weight until no
-target is above.  Each document of a source is to be taken target / size times: the whole part is a certain number of
-copies, the rest an inclusion probability p.  Documents are ranked by random odds over inclusion odds,
-(u / (1 - u)) / (p / (1 - p)), u from a hash of id and seed, and taken in that order up to the source's words.
+target is above.  Within a source, documents are taken with unequal probabilities: a document of n words has the weight w
+of n's number of bits, and is to be taken c = min(most, level * w) times, the level being that at which the source's c
+times words come to its target.  The whole part of c is a certain number of copies, the rest an inclusion probability p.
+Documents are ranked by random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), u from a hash of id and seed, and
+taken in that order up to the source's words: a sample of fixed size in words.
 
-The rank is cut without sorting a source: words are summed in 4,096 bins of rank / (1 + rank), and only the bin in which
-the target is reached is ordered, its documents being taken while the middle of their words lies within the target.
+A source has at most 64 weights, so levels come from a small table of classes (source, w).  The rank is cut without
+sorting a source: words are summed in 4,096 bins of rank / (1 + rank), and only the bin in which the target is reached is
+ordered, its documents being taken while the middle of their words lies within the target.
 
 Null texts: size 0, taken 0.  Null sources: a source of their own, last.  Null ids: hashed as empty.  Ties of rank go
 by id and size.  Sources without words and empty tables take nothing.
@@ -14,7 +17,7 @@ by id and size.  Sources without words and empty tables take nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -25,8 +28,8 @@ SHARE = 1.5
 MOST = 2
 SEED = 5
 BINS = 4096
-#: Sources up to this number are broadcast (under 100 bytes each); more are joined by shuffling.
-BROADCAST_SOURCES = 50_000
+#: Classes (source and weight) up to this number are broadcast (under 100 bytes each); more are joined by shuffling.
+BROADCAST_CLASSES = 100_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -44,6 +47,28 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return rows.withColumn("level", level).select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("w"), F.col("cap").cast("double"))).alias("target"))
 
 
+def bits(size: Column) -> Column:
+    """The weight of a document: how many bits its number of words has."""
+    return F.length(F.bin(size)).cast("long")
+
+
+def copies(classes: DataFrame, wanted: DataFrame, most: int = MOST) -> DataFrame:
+    """(source, w, source_size, target, whole, p, left) from (source, w, words) and targets: how often documents of a class
+    are taken for certain, with what probability once more, and the words of a source that these are to come to."""
+    named = wanted.withColumnRenamed("source", "s")
+    rows = classes.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    above, rest = W.partitionBy("source").orderBy(F.desc("w")), W.partitionBy("source").orderBy("w")
+    # classes are full in order of weight: the level is the first, from above, at which the class isn't
+    level = (F.col("target") - most * (F.sum("words").over(above) - F.col("words"))) / F.nullif(F.sum(F.col("w") * F.col("words")).over(rest).cast("double"), F.lit(0.0))
+    rows = rows.withColumn("level", level)
+    whole = above.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    first = F.first(F.when(F.col("level") * F.col("w") <= most, F.col("level")), ignorenulls=True).over(whole)
+    c = F.when(F.col("source_size") > 0, F.least(F.coalesce(first * F.col("w"), F.lit(float(most))), F.lit(float(most)))).otherwise(0.0)
+    rows = rows.withColumn("c", c).withColumn("whole", F.floor("c")).withColumn("p", F.col("c") - F.col("whole"))
+    left = F.col("target") - F.sum(F.col("whole") * F.col("words")).over(W.partitionBy("source"))
+    return rows.withColumn("left", left).select("source", "w", "source_size", "target", "whole", "p", "left")
+
+
 def pareto_order(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     """Adds z in (0, 1), increasing in the Pareto rank of a row of inclusion probability p (0 < p < 1)."""
     hashed = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
@@ -53,25 +78,25 @@ def pareto_order(df: DataFrame, id_col: str, seed: int) -> DataFrame:
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """id, size, source_size, target, taken: a row per row of df."""
-    spark = df.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = materialize(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sized")
-    src = materialize(targets(sized), "sources")
-    few = src.count() <= BROADCAST_SOURCES
-
-    def with_source(x: DataFrame, y: DataFrame) -> DataFrame:
-        y = y.withColumnRenamed("source", "s")
-        return x.join(F.broadcast(y) if few else y, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-
-    copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    docs = with_source(sized, src).withColumn("whole", F.floor(copies)).withColumn("p", copies - F.floor(copies))
-    docs = docs.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
-    ranked = pareto_order(docs, "id", seed).withColumn("bin", F.when(F.col("p") > 0, F.least(F.floor(F.col("z") * BINS), F.lit(BINS - 1))))
+    sized = materialize(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("w", bits(F.col("size"))), "sized")
+    classes = materialize(sized.groupBy("source", "w").agg(F.sum("size").alias("words")), "classes")
+    told = materialize(copies(classes, targets(classes.withColumnRenamed("words", "size"))), "copies")
+    few = told.count() <= BROADCAST_CLASSES
+
+    def joined(x: DataFrame, y: DataFrame, *on: str) -> DataFrame:
+        y = y.select(*(F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in y.columns))
+        same = F.lit(True)
+        for c in on:
+            same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+        return x.join(F.broadcast(y) if few else y, same, "left").drop(*(f"_{c}" for c in on))
+
+    ranked = pareto_order(joined(sized, told, "source", "w"), "id", seed).withColumn("bin", F.when(F.col("p") > 0, F.least(F.floor(F.col("z") * BINS), F.lit(BINS - 1))))
     bins = ranked.where("p > 0").groupBy("source", "bin", "left").agg(F.sum("size").alias("n"))
     by_bin = bins.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("bin")) - F.col("n"))
     cut = materialize(by_bin.where("before <= left and before + n > left").select("source", F.col("bin").alias("cut"), "before"), "cuts")
     cut = cut.groupBy("source").agg(F.min_by(F.struct("cut", "before"), "cut").alias("c")).select("source", "c.cut", "c.before")
-    ranked = with_source(ranked, cut)
+    ranked = joined(ranked, cut, "source")
     at_cut = ranked.where("bin = cut").withColumn("mid", F.sum("size").over(W.partitionBy("source").orderBy("z", "id", "size").rowsBetween(W.unboundedPreceding, 0)) + F.col("before") - F.col("size") / 2)
     at_cut = at_cut.withColumn("more", (F.col("mid") <= F.col("left")).cast("long"))
     others = ranked.where("bin is null or cut is null or bin <> cut").withColumn("more", F.when(F.col("bin").isNull(), 0).otherwise((F.col("cut").isNull() | (F.col("bin") < F.col("cut"))).cast("long")))
@@ -100,18 +125,29 @@ WITH RECURSIVE d AS (
   SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM w)::DOUBLE - (sum(cap) OVER (ORDER BY ratio, i) - cap)::DOUBLE) / ((SELECT sum(w) FROM w) - sum(w) OVER (ORDER BY ratio, i) + w)::DOUBLE AS level FROM w
 ), t AS (
   SELECT source, source_size, least(cap::DOUBLE, coalesce((SELECT arg_min(level, (ratio, i)) FROM l WHERE level <= ratio) * w, cap::DOUBLE)) AS target FROM l
+), k AS (
+  SELECT source, length(bin(size)) AS w, sum(size)::BIGINT AS words FROM d GROUP BY ALL
+), v AS (
+  SELECT k.source, k.w, k.words, t.source_size, t.target,
+    (t.target - (2 * (sum(words) OVER (PARTITION BY k.source ORDER BY k.w DESC) - words))::DOUBLE) / nullif((sum(k.w * words) OVER (PARTITION BY k.source ORDER BY k.w))::DOUBLE, 0) AS level
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
+), f AS (
+  SELECT source, arg_max(level, w) AS level FROM v WHERE level * w <= 2 GROUP BY source
 ), c AS (
-  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
-    CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0::DOUBLE END AS r
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT d.doc_id, d.source, d.size, v.source_size, v.target, v.w, v.words,
+    CASE WHEN v.source_size > 0 THEN least(coalesce(f.level * v.w, 2.0::DOUBLE), 2.0::DOUBLE) ELSE 0.0::DOUBLE END AS r
+  FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source AND length(bin(d.size)) = v.w LEFT JOIN f ON d.source IS NOT DISTINCT FROM f.source
+), x AS (
+  SELECT source, any_value(target) - sum(size * floor(r))::DOUBLE AS rest FROM c GROUP BY source
 ), u AS (
-  SELECT *, floor(r) AS whole, r - floor(r) AS p, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':5'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM c
+  SELECT c.*, x.rest, floor(r) AS whole, r - floor(r) AS p, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':5'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM c JOIN x ON c.source IS NOT DISTINCT FROM x.source
 ), q AS (
   SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) * ((1 - p) / p) END AS q FROM u
 ), m AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q / (1 + q), doc_id, size ROWS UNBOUNDED PRECEDING)::DOUBLE - size / 2.0::DOUBLE AS mid FROM q
 )
 SELECT doc_id, size, source_size, target,
-  (size * (whole + CASE WHEN p > 0 AND mid <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+  (size * (whole + CASE WHEN p > 0 AND mid <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM m
 """

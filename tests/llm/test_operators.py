@@ -11,6 +11,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tensorloom.llm import cover_tree, decontaminate, importance, licences, minhash_dedup, mixing, suffix_dedup, token_counts, warc, wrapper
 from tensorloom.llm.common import components
@@ -189,6 +190,32 @@ def test_decontamination_spread_edits(spark):
                 assert k in [x[1] for x in block.leaks(pa.array([text.decode()]))]
 
 
+def test_mixing_probabilities(spark):
+    """Over many seeds, documents are in the sample as often as their class says, and more often the longer they are."""
+    rows = [(i, " ".join(["w"] * (3 if i % 2 else 40)), "ab"[i % 3 == 0]) for i in range(240)] + [(900, None, None), (901, "", None)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, source string, size int, w string")
+    size = df.select("source", F.size(F.split(F.coalesce("text", F.lit("")), " ")).alias("n")).withColumn("size", F.when(F.col("n") > 1, F.col("n")).otherwise(0).cast("long"))
+    classes = size.groupBy("source", mixing.bits(F.col("size")).alias("w")).agg(F.sum("size").alias("words"))
+    told = {(r.source, r.w): r.whole + r.p for r in mixing.copies(classes, mixing.targets(classes.withColumnRenamed("words", "size"))).collect()}
+    assert told["a", 2] < told["a", 6] <= 2 and all(0 <= c <= 2 for c in told.values())
+    taken = collections.Counter()
+    for seed in range(12):
+        for r in mixing.mix(df, seed=seed).collect():
+            if r.size:
+                taken["ab"[r.doc_id % 3 == 0], r.size.bit_length()] += r.taken / r.size
+    for (s, w), n in taken.items():
+        docs = sum(("ab"[i % 3 == 0], (3 if i % 2 else 40).bit_length()) == (s, w) for i in range(240))
+        assert n / docs / 12 == pytest.approx(told[s, w], abs=0.12)
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    rows = [(i, "one two three " * (i % 7), f"s{i % 5}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(str, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_CLASSES", 0)
+    assert sorted(map(str, mixing.mix(df).collect())) == want
+
+
 def _edited(rng, t, rate, how):
     """t with so many edits of its length: at random, evenly spaced of all kinds, or evenly spaced substitutions."""
     e, n = list(t), int(len(t) * rate)
