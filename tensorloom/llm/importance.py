@@ -1,19 +1,22 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams, of the target (labelled good and not toxic) and of the raw corpus (every
-document), give each feature a log ratio.  Features of a word: itself, its first five and four bytes, its last two
-bytes, and whether it repeats the word before (a bigram).  A feature's ratio is drawn towards 0 by PRIOR pseudo-counts
-of its expected number, so that what is rare in both says little.
-
-A document's log weight is the sum over its words; that of its worst word bounds it from below, as a text is as good
-as its worst passage.  Each statistic gets a cut from labelled documents that the target model hasn't seen; the margin
-is the smaller distance to the cuts, in units of the labelled documents' spread.  k is the number of documents of
-positive margin, and the k documents of the largest margin / TEMPERATURE + Gumbel noise are kept (Gumbel top-k); the
-noise comes from id and seed, so reruns agree, and at this temperature it only moves documents next to the cut.
-
-Labels: at most LABELS rows are used (those of the smallest hashes); two thirds fit the target, the rest the cuts.
-Corpus counts cover every document.  Null text: no words, weight 0.  Null ids and repeated ids are scored as they are.
-No labels of a class, or an empty table: that cut rejects nothing.
+document), give each feature a log ratio.  Features of a word: itself, its first five and four bytes, its last two bytes
+(n-grams of characters), the pair that it makes with the word before, the pair of their last two bytes, and whether that
+pair is one word twice.  A feature's ratio is drawn towards 0 by PRIOR pseudo-counts of its expected number, so that what
+is rare in both says little.
+
+A text is as good as its worst passage: a document's log importance weight is the least sum over PASSAGE words in a row (all
+words of a shorter text).  The k documents of the largest log weight + Gumbel noise are kept, which draws k documents
+without replacement in proportion to their weights (Gumbel top-k).  k is a parameter; if it isn't given, it is the number of
+documents whose log weight is above the cut of fewest errors between labelled documents that the target model hasn't
+seen.  The noise is from a hash of id, text and seed, so reruns agree; its spread is 1.3 and the weights of good and bad
+documents lie tens apart, so it decides among documents near the k-th and seldom elsewhere.
+
+Labels: at most LABELS rows are used (those of the smallest hashes); two thirds fit the target, the rest the cut.
+Corpus counts cover every document.  Null, empty or blank text: no words, weight 0.  Null and repeated ids are scored as
+they are, repeated rows alike; of equal keys at the k-th place all are kept.  No labels of a class: nothing is rejected.
+An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,14 +29,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, ids_of, materialize, mix, slices, table, text_bytes, word_spans
+from .common import LOWER, Rolling, ids_of, materialize, mix, slices, table, text_bytes, trim, word_spans
 
 LABELS = 100_000
-PRIOR = 2.0
-TEMPERATURE = 0.01
+PRIOR = 1.0
+PASSAGE = 4
 SEED = 9
 BIG, SMALL = 1 << 20, 1 << 12
-SLOTS = (BIG, BIG, BIG, SMALL, 2)
+#: Slots of each feature: word, first five and four bytes, last two, pair of words, pair of last two, one word twice.
+SLOTS = (BIG, BIG, BIG, SMALL, BIG, BIG, 2)
 STARTS = np.concatenate(([0], np.cumsum(SLOTS)))
 TOTAL = int(STARTS[-1])
 CHUNK = 1 << 14
@@ -41,19 +45,28 @@ SLICE = 1 << 20
 
 
 def features(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of each word's features (5 x words) and offsets of each text's words."""
+    """Slots of each word's features (a row a feature) and offsets of each text's words."""
     buf, offs = text_bytes(arr)
     s, e, wo = word_spans(buf, offs)
     low, own = Rolling(LOWER[buf]), Rolling(buf)
-    word = low.raw(s, e)
-    out = np.empty((5, len(s)), np.int64)
-    for k, (h, salt) in enumerate(((word, 1), (low.raw(s, np.minimum(s + 5, e)), 2), (low.raw(s, np.minimum(s + 4, e)), 5), (own.raw(np.maximum(e - 2, s), e), 3))):
+    word, tail = low.raw(s, e), own.raw(np.maximum(e - 2, s), e)
+    out = np.empty((len(SLOTS), len(s)), np.int32)
+    first = wo[:-1][np.diff(wo) > 0]
+
+    def before(h: np.ndarray) -> np.ndarray:
+        """Each word's h and that of the word before (none before a text's first)."""
+        prev = np.zeros_like(h)
+        prev[1:] = h[:-1]
+        prev[first] = 0
+        return mix(h * np.uint64(3) + prev * np.uint64(0x9E3779B97F4A7C15))
+
+    grams = (word, low.raw(s, np.minimum(s + 5, e)), low.raw(s, np.minimum(s + 4, e)), tail, before(word), before(tail))
+    for k, (h, salt) in enumerate(zip(grams, (1, 2, 5, 3, 7, 9), strict=True)):
         out[k] = ((mix(h + np.uint64(salt)) >> np.uint64(20)) % np.uint64(SLOTS[k])).astype(np.int64) + STARTS[k]
-    again = np.zeros(len(s), np.int64)
+    again = np.zeros(len(s), bool)
     again[1:] = word[1:] == word[:-1]
-    first = wo[:-1][np.diff(wo) > 0]
-    again[first] = 0
-    out[4] = again + STARTS[4]
+    again[first] = False
+    out[-1] = again + STARTS[len(SLOTS) - 1]
     return out, wo
 
 
@@ -63,28 +76,27 @@ def _z(a: np.ndarray) -> bytes:
 
 def _count(text_col: str):
     def run(batches):
-        raw, target = np.zeros(TOTAL, np.int64), np.zeros(TOTAL, np.int64)
-        held, size = [], 0
+        raw, target = np.zeros(TOTAL, np.int32), np.zeros(TOTAL, np.int32)
+        words = 0
 
-        def add():
-            for total, some in ((raw, [f for f, _ in held]), (target, [f[:, fit] for f, fit in held if fit.any()])):
-                if some:
-                    total += np.bincount(np.concatenate([f.ravel() for f in some]), minlength=TOTAL)
-            held.clear()
+        def told():
+            for c in range(0, TOTAL, CHUNK):
+                if raw[c : c + CHUNK].any():
+                    both = np.stack((raw[c : c + CHUNK], target[c : c + CHUNK])).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK], pa.int32()), pa.array([_z(both)], pa.binary())], names=["chunk", "counts"])
 
         for b in slices(batches, text_col, SLICE):
             f, wo = features(b.column(text_col))
             fit = np.repeat(np.asarray(b.column("_fit").fill_null(False).cast(pa.int8())).astype(bool), np.diff(wo))
-            held.append((f.astype(np.int32), fit))
-            size += f.size
-            if size > 4_000_000:
-                add()
-                size = 0
-        add()
-        for c in range(0, TOTAL, CHUNK):
-            if raw[c : c + CHUNK].any():
-                both = np.stack((raw[c : c + CHUNK], target[c : c + CHUNK]))
-                yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK], pa.int32()), pa.array([_z(both)], pa.binary())], names=["chunk", "counts"])
+            for total, some in ((raw, f), (target, f[:, fit])):
+                for row in some:
+                    np.add.at(total, row, 1)
+            words += f.shape[1]
+            if words > 1 << 30:  # before a count could overflow
+                yield from told()
+                raw[:], target[:], words = 0, 0, 0
+        yield from told()
+        trim()
 
     return run
 
@@ -98,31 +110,45 @@ def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Itera
     yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([_z(total)], pa.binary())], names=["chunk", "counts"])
 
 
-def statistics(arr: pa.Array, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log weight of each text, and of its worst word."""
+def weights(arr: pa.Array, model: np.ndarray) -> np.ndarray:
+    """Log importance weight of each text: the least sum over PASSAGE words in a row."""
     f, wo = features(arr)
     w = model[f].sum(axis=0, dtype=np.float64)
-    doc = np.repeat(np.arange(len(wo) - 1), np.diff(wo))
-    worst = np.zeros(len(wo) - 1)
-    full = np.diff(wo) > 0
-    if len(w):
-        worst[full] = np.minimum.reduceat(w, wo[:-1][full])
-    return np.bincount(doc, w, len(wo) - 1), np.minimum(worst, 0)
+    n = np.diff(wo)
+    out = np.zeros(len(n))
+    if not len(w):
+        return out
+    first, last = np.repeat(wo[:-1], n), np.repeat(wo[1:], n)
+    at = np.arange(len(w))
+    total = w.copy()
+    for j in range(1, PASSAGE):  # added up in one order, so that a text's weight doesn't depend on its neighbours
+        total[:-j] += np.where(at[j:] < last[:-j], w[j:], 0.0)
+    total[(at + PASSAGE > last) & (at > first)] = np.inf
+    out[n > 0] = np.minimum.reduceat(total, wo[:-1][n > 0])
+    return out
+
+
+def gumbel(ids: np.ndarray, arr: pa.Array) -> np.ndarray:
+    """Standard Gumbel noise from id and text."""
+    buf, offs = text_bytes(arr)
+    text = Rolling(buf).raw(offs[:-1], offs[1:])
+    u = (mix(mix(ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED)) + text) >> np.uint64(11)).astype(np.float64)
+    return -np.log(-np.log((u + 0.5) / 2.0**53))
 
 
-def _score(id_col: str, text_col: str, model: np.ndarray):
+def _score(model: np.ndarray):
     def run(batches):
-        for b in slices(batches, text_col, SLICE):
-            s, worst = statistics(b.column(text_col), model)
-            yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), pa.array(s), pa.array(worst)], names=["id", "weight", "worst"])
+        for b in slices(batches, "text", SLICE):
+            w = weights(b.column("text"), model)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(w), pa.array(w + gumbel(ids_of(b.column("id")), b.column("text")))], names=["id", "log_weight", "key"])
 
     return run
 
 
-def cut_of(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
-    """The cut of fewest errors between two samples (midway in its gap), and the good ones' spread."""
+def cut_of(good: np.ndarray, bad: np.ndarray) -> float:
+    """The cut of fewest errors between two samples, midway in its gap."""
     if not len(good) or not len(bad):
-        return -1e300, 1.0
+        return -np.inf
     v = np.concatenate((good, bad))
     y = np.concatenate((np.ones(len(good)), np.zeros(len(bad))))
     o = np.argsort(v, kind="stable")
@@ -130,27 +156,7 @@ def cut_of(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
     err = np.concatenate(([0], np.cumsum(y))) + len(bad) - np.concatenate(([0], np.cumsum(1 - y)))
     err[1:-1][v[1:] == v[:-1]] = len(v) + 1
     i = int(np.argmin(err))
-    cut = v[0] - 1 if i == 0 else v[-1] + 1 if i == len(v) else (v[i - 1] + v[i]) / 2
-    return float(cut), float(max(np.std(good), 1e-9))
-
-
-def gumbel(ids: np.ndarray) -> np.ndarray:
-    u = (mix(ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED)) >> np.uint64(11)).astype(np.float64)
-    return -np.log(-np.log((u + 0.5) / 2.0**53))
-
-
-def margins(weight: np.ndarray, worst: np.ndarray, cuts: tuple) -> np.ndarray:
-    (c1, s1), (c2, s2) = cuts
-    return np.minimum((weight - c1) / s1, (worst - c2) / s2)
-
-
-def _keys(cuts: tuple):
-    def run(batches):
-        for b in batches:
-            m = margins(np.asarray(b.column("weight")), np.asarray(b.column("worst")), cuts)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("weight"), b.column("worst"), pa.array(m), pa.array(m / TEMPERATURE + gumbel(ids_of(b.column("id"))))], names=["id", "weight", "worst", "margin", "key"])
-
-    return run
+    return float(v[0] - 1 if i == 0 else v[-1] + 1 if i == len(v) else (v[i - 1] + v[i]) / 2)
 
 
 def kth_largest(keys: DataFrame, k: int) -> float:
@@ -178,43 +184,40 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 
 
 class Resampler:
-    """The models, cuts and the k-th key, fitted on df and labels (id_col, quality, toxic)."""
+    """The models, k and the k-th key, fitted on df and labels (id_col, quality, toxic)."""
 
-    def __init__(self, df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None):
         self.id_col, self.text_col = id_col, text_col
         few = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max("quality").alias("_q"), F.max("toxic").alias("_t")).orderBy(F.xxhash64("_id"), "_id").limit(LABELS)
         few = materialize(few.withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(3))), "labels")
         fit = few.where("_q = 1 and coalesce(_t, 0) = 0 and _fold < 2").select("_id", F.lit(True).alias("_fit"))
-        docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-        counts = docs.join(F.broadcast(fit), "_id", "left").select("_text", "_fit").mapInArrow(_count("_text"), "chunk int, counts binary")
-        total = np.zeros((2, TOTAL))
-        for r in counts.groupBy("chunk").applyInArrow(_add, "chunk int, counts binary").collect():
-            c = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.counts), np.int64).reshape(2, -1)
-            total[:, r.chunk * CHUNK : r.chunk * CHUNK + c.shape[1]] = c
-        raw, target = total
+        docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        counts = docs.join(F.broadcast(fit), F.col("id") == F.col("_id"), "left").select("text", "_fit").mapInArrow(_count("text"), "chunk int, counts binary")
+        raw, target = np.zeros(TOTAL), np.zeros(TOTAL)
+        for r in counts.groupBy("chunk").applyInArrow(_add, "chunk int, counts binary").toLocalIterator():
+            at = slice(r.chunk * CHUNK, (r.chunk + 1) * CHUNK)
+            raw[at], target[at] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.counts), np.int64).reshape(2, -1)
         share = target[: SLOTS[0]].sum() / max(raw[: SLOTS[0]].sum(), 1)
-        self.model = np.log((target + PRIOR) / (raw * share + PRIOR)).astype(np.float32) if target.any() else np.zeros(TOTAL, np.float32)
-        self.scores = materialize(docs.withColumnRenamed("_text", text_col).withColumnRenamed("_id", "id").select("id", text_col).mapInArrow(_score("id", text_col, self.model), "id long, weight double, worst double"), "scores")
-        held = self.scores.join(F.broadcast(few.where("_fold = 2")), F.col("id") == F.col("_id")).select("weight", "worst", "_q", "_t").toArrow()
-        w, x = np.asarray(held["weight"]), np.asarray(held["worst"])
-        q, t = (np.asarray(held[c].fill_null(0)) for c in ("_q", "_t"))
-        good = (q == 1) & (t == 0)
-        self.cuts = (cut_of(w[good], w[q == 0]), cut_of(x[good], x[t == 1]))
-        self.keys = materialize(self.scores.mapInArrow(_keys(self.cuts), "id long, weight double, worst double, margin double, key double"), "keys")
-        self.k = self.keys.where("margin > 0").count()
-        self.least = kth_largest(self.keys, self.k)
+        self.model = np.log((target + PRIOR) / (raw * share + PRIOR)).astype(np.float32) if share else np.zeros(TOTAL, np.float32)
+        self.scores = materialize(docs.mapInArrow(_score(self.model), "id long, log_weight double, key double"), "scores")
+        held = self.scores.join(F.broadcast(few.where("_fold = 2")), F.col("id") == F.col("_id"))
+        held = held.select("log_weight", F.coalesce((F.col("_q") == 1) & (F.coalesce("_t", F.lit(0)) == 0), F.lit(False)).alias("good")).toArrow()
+        w, good = np.asarray(held["log_weight"]), np.asarray(held["good"]).astype(bool)
+        self.cut = cut_of(w[good], w[~good])
+        self.k = self.scores.where(F.col("log_weight") > F.lit(self.cut)).count() if k is None else k
+        self.least = kth_largest(self.scores, self.k)
 
     def result(self) -> DataFrame:
-        return self.keys.select(F.col("id").alias(self.id_col), F.col("weight").alias("log_weight"), F.col("worst").alias("worst_word"), "margin", F.col("key").alias("gumbel_key"), (F.col("key") >= F.lit(float(self.least))).alias("kept"))
+        """id, log_weight, gumbel_key, kept: a row per row."""
+        return self.scores.select(F.col("id").alias(self.id_col), "log_weight", F.col("key").alias("gumbel_key"), (F.col("key") >= F.lit(float(self.least))).alias("kept"))
 
     def keep(self, df: DataFrame) -> DataFrame:
         """The kept rows of df, scored once more where they are, so that no text is shuffled."""
-        id_col, text_col, model, cuts, least = self.id_col, self.text_col, self.model, self.cuts, self.least
+        id_col, text_col, model, least = self.id_col, self.text_col, self.model, self.least
 
         def run(batches):
             for b in slices(batches, text_col, SLICE):
-                m = margins(*statistics(b.column(text_col), model), cuts)
-                yield b.filter(pa.array(m / TEMPERATURE + gumbel(ids_of(b.column(id_col))) >= least))
+                yield b.filter(pa.array(weights(b.column(text_col), model) + gumbel(ids_of(b.column(id_col)), b.column(text_col)) >= least))
 
         return df.mapInArrow(run, df.schema)
 
@@ -224,5 +227,5 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A pipeline stage: documents that the classifier rejects go."""
+    """A pipeline stage: documents that the classifier rejects go.  Nulls, repeated rows and extra columns stay as they are."""
     return Resampler(docs, table(spark, sf_dir, "labels")).keep(docs)

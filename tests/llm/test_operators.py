@@ -464,6 +464,55 @@ def test_classifier(spark):
     assert importance.Resampler(df.limit(0), lab).result().count() == 0
 
 
+def test_classifier_brute_force(spark):
+    """Weights from plain dictionaries of n-grams; the k largest keys; noise without which others would be kept."""
+    rng = random.Random(16)
+    texts = [" ".join(rng.choice(("Alpha", "beta", "gamma", "delta", "epsilon", "awful")[: 5 + (i % 4 == 0)]) for _ in range(rng.randrange(0, 12))) for i in range(300)]
+    texts += [None, "", " \n", "beta beta", "x" * 5000 + " beta", texts[5], texts[5]]
+    rows = [(i if i < 306 else 305, t, "z") for i, t in enumerate(texts)] + [(None, "awful awful", "z"), (None, "gamma", None)]
+    labels = [(i, int("awful" not in (texts[i] or "")), int(i % 8 == 0)) for i in range(0, 300, 2)] + [(None, 1, 0), (4, None, None)]
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string, log_weight string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    r = importance.Resampler(df, lab, k=100)
+    fit = {x._id for x in lab.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and t = 0").where(F.pmod(F.xxhash64("_id", F.lit(importance.SEED)), F.lit(3)) < 2).collect()}
+
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0d]+", t or "")
+        out = []
+        for i, x in enumerate(w):
+            y, low, tail = (w[i - 1] if i else None), x.lower(), x[-2:]
+            last = y and y.lower()
+            out.append([("w", low), ("5", low[:5]), ("4", low[:4]), ("t", tail), ("b", last, low), ("bt", y and y[-2:], tail), ("again", last == low)])
+        return out
+
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t, _ in rows:
+        for g in grams(t):
+            raw.update(g)
+            if i in fit:
+                target.update(g)
+    share = sum(n for g, n in target.items() if g[0] == "w") / sum(n for g, n in raw.items() if g[0] == "w")
+
+    def weight(t):
+        w = [sum(np.log((target[x] + importance.PRIOR) / (raw[x] * share + importance.PRIOR)) for x in g) for g in grams(t)]
+        p = importance.PASSAGE
+        return min((sum(w[i : i + p]) for i in range(max(1, len(w) - p + 1))), default=0)
+
+    got = r.result().collect()
+    assert len(got) == len(rows)
+    by_id = {i: t for i, t, _ in rows if i is not None and i != 305}
+    for x in got:
+        if x.doc_id in by_id:
+            assert x.log_weight == pytest.approx(weight(by_id[x.doc_id]), abs=1e-4)
+    keys = sorted((x.gumbel_key for x in got), reverse=True)
+    assert all(x.kept == (x.gumbel_key >= keys[99]) for x in got) and 100 <= sum(x.kept for x in got) <= 102
+    plain = sorted((x.log_weight for x in got), reverse=True)[99]
+    assert any(x.kept != (x.log_weight > plain) for x in got if x.log_weight != plain)
+    noise = np.array([x.gumbel_key - x.log_weight for x in got])
+    assert abs(noise.mean() - 0.577) < 0.3 and abs(noise.std() - 1.28) < 0.3
+    kept = importance.Resampler(df, lab).keep(df)
+    assert kept.columns == df.columns and importance.Resampler(df.limit(0), lab).keep(df.limit(0)).count() == 0
+
+
 def test_licences(spark):
     mit = "Copyright 2020 Someone\n" + licences.MIT.replace("sublicense", "SUBLICENCE")
     rows = [(1, mit), (2, "Text.\nReleased under the MIT license\nmore"), (3, None), (4, ""), (5, "nothing"), (1, mit)]
