@@ -41,6 +41,7 @@ SLOTS = (BIG, BIG, BIG, SMALL, BIG, BIG, 2)
 STARTS = np.concatenate(([0], np.cumsum(SLOTS)))
 TOTAL = int(STARTS[-1])
 CHUNK = 1 << 14
+HELD_WORDS = 1 << 20
 SLICE = 1 << 20
 
 
@@ -77,7 +78,14 @@ def _z(a: np.ndarray) -> bytes:
 def _count(text_col: str):
     def run(batches):
         raw, target = np.zeros(TOTAL, np.int32), np.zeros(TOTAL, np.int32)
-        words = 0
+        held, few, words = [], 0, 0
+
+        def add():
+            for total, some in ((raw, [f for f, _ in held]), (target, [f[:, fit] for f, fit in held])):
+                for k, n in enumerate(SLOTS):
+                    for f in [np.concatenate([x[k] for x in some])] if some else []:
+                        total[STARTS[k] : STARTS[k] + n] += np.bincount(f - STARTS[k].astype(np.int32), minlength=n).astype(np.int32)
+            held.clear()
 
         def told():
             for c in range(0, TOTAL, CHUNK):
@@ -88,13 +96,17 @@ def _count(text_col: str):
         for b in slices(batches, text_col, SLICE):
             f, wo = features(b.column(text_col))
             fit = np.repeat(np.asarray(b.column("_fit").fill_null(False).cast(pa.int8())).astype(bool), np.diff(wo))
-            for total, some in ((raw, f), (target, f[:, fit])):
-                for row in some:
-                    np.add.at(total, row, 1)
+            held.append((f, fit))
+            few += f.shape[1]
             words += f.shape[1]
+            if few > HELD_WORDS:
+                add()
+                few = 0
             if words > 1 << 30:  # before a count could overflow
+                add()
                 yield from told()
-                raw[:], target[:], words = 0, 0, 0
+                raw[:], target[:], few, words = 0, 0, 0, 0
+        add()
         yield from told()
         trim()
 
