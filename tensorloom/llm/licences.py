@@ -1,9 +1,10 @@
 """License scans by canonical digest.
 
 A text is canonical when A-Z are in lower case, lines that begin with a copyright notice are gone, equivalent spellings
-are one, and all that isn't a letter or digit is one space.  Its MD5 digest is looked up among those of known licences:
-the whole document, and each of its lines as a text of its own (a licence is often a line of notice).  The known digests
-are a map of constant size in the plan, so nothing is shuffled and no part of a text is ever compared.
+are one, and all that isn't a letter or digit is one space.  The MD5 digests of the canonical whole text, and of each of its
+lines as a text of its own (a licence is often a line of notice), are hash-joined to the digests of known licences: a
+table of a few hundred rows, whatever the corpus, and so broadcast.  Only hits and a hash of each row are shuffled, never
+a text, and no part of a text is ever compared.
 
 Null, empty or blank texts have no licence.  A row per row; null and repeated ids are handed through.
 """
@@ -21,7 +22,7 @@ from .common import table
 #: Spellings that licence guidelines count as equal.
 SPELLINGS = (("licence", "license"), ("sublicence", "sublicense"), ("organisation", "organization"), ("authorisation", "authorization"), ("modelled", "modeled"), ("favour", "favor"), ("fulfil ", "fulfill "), ("http://", "https://"), ("&", " and "))
 COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
-OTHER = r"[^a-z0-9\x80-\x{10FFFF}]+"
+OTHER = r"[^a-z0-9\n\x80-\x{10FFFF}]+"
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -66,7 +67,7 @@ WHOLE = {
 
 
 def canonical(text: str) -> str:
-    """What canonical_column gives, in Python."""
+    """The canonical form of a whole text, in Python."""
     t = re.sub(r"[A-Z]", lambda m: m[0].lower(), text)
     t = re.sub(COPYRIGHT, r"\1", t)
     for a, b in SPELLINGS:
@@ -74,12 +75,13 @@ def canonical(text: str) -> str:
     return re.sub(r"[^a-z0-9\x80-\U0010ffff]+", " ", t).strip(" ")
 
 
-def canonical_column(text: Column) -> Column:
+def canonical_lines(text: Column) -> Column:
+    """The text in canonical form, but for line ends; neither spellings nor notices run over them."""
     t = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     t = F.regexp_replace(t, COPYRIGHT, "$1")
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(t, OTHER, " "))
+    return F.regexp_replace(t, OTHER, " ")
 
 
 def known_digests() -> dict[str, str]:
@@ -92,15 +94,18 @@ def whole_digests() -> dict[str, str]:
 
 def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] | None = None) -> DataFrame:
     """id, licence string (of the whole text, or null), line_licences array<string> (distinct, in order of name)."""
-    got = known or known_digests() | whole_digests()
-    by_digest = F.create_map(*[F.lit(x) for kv in sorted(got.items()) for x in kv])
-
-    def look(text: Column) -> Column:
-        return F.try_element_at(by_digest, F.md5(canonical_column(text).cast("binary")))
-
-    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.length(F.trim(x)) > 0)
-    found = F.filter(F.transform(lines, look), lambda x: x.isNotNull())
-    return df.select(F.col(id_col), look(F.col(text_col)).alias("licence"), F.array_sort(F.array_distinct(found)).alias("line_licences"))
+    got = sorted((known or known_digests() | whole_digests()).items())
+    digests = F.broadcast(df.sparkSession.createDataFrame(got, "digest string, name string"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    flat = rows.where(F.length("text") > 0).select("id", "th", canonical_lines(F.col("text")).alias("flat"))
+    digest = lambda t: F.md5(F.trim(t).cast("binary"))
+    lines = F.array_distinct(F.transform(F.filter(F.split("flat", "\n"), lambda x: F.length(F.trim(x)) > 0), digest))
+    whole = F.struct(F.lit(True).alias("whole"), digest(F.regexp_replace("flat", "[ \n]+", " ")).alias("digest"))
+    texts = F.concat(F.array(whole), F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("digest"))))
+    hits = flat.select("id", "th", F.explode(texts).alias("x")).select("id", "th", "x.*").join(digests, "digest")
+    found = hits.groupBy(F.col("id").alias("i"), F.col("th").alias("h")).agg(F.max(F.when(F.col("whole"), F.col("name"))).alias("licence"), F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("name")))).alias("names"))
+    out = rows.select("id", "th").join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")), "left")
+    return out.select(F.col("id").alias(id_col), "licence", F.coalesce("names", F.array().cast("array<string>")).alias("line_licences"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -541,3 +541,21 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     out = corpus_pipeline.run(spark, d)
     assert 0 < out.count() <= docs.count()
+
+
+def test_licence_edges(spark):
+    """Nulls, empty and very long texts, ties and repeated rows, clashing columns; brute force in Python."""
+    rng = random.Random(2)
+    notices = ["Released under the MIT licence.", "licensed under CC BY 4.0", "(c) 2020 someone", "Copyright: me", "plain words", "", " \t", "Released under CC0 1.0\r"]
+    rows = [(i, "\n".join(rng.choices(notices, k=rng.randrange(0, 6))), "x") for i in range(60)] + [(None, notices[0], "x"), (None, notices[0], "x"), (None, None, "x"), (3, "word " * 200_000 + "\n" + notices[1], "x"), (3, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string").withColumn("name", F.lit(1)).withColumn("th", F.lit(2))
+    known = licences.known_digests()
+
+    def look(t):
+        return known.get(hashlib.md5(licences.canonical(t).encode()).hexdigest())
+
+    want = collections.Counter((i, look(t or ""), tuple(sorted({look(x) for x in (t or "").split("\n")} - {None}))) for i, t, _ in rows)
+    assert collections.Counter((r.doc_id, r.licence, tuple(r.line_licences)) for r in licences.scan_licences(df).collect()) == want
+    assert licences.scan_licences(df.limit(0)).count() == 0
+    plan = licences.scan_licences(df)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan
