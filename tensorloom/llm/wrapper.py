@@ -2,20 +2,23 @@
 
 Pages of a host share a template.  Each page's DOM tree is aligned with reference trees of its host by simple tree
 matching (the largest order-preserving match of equally labelled nodes).  Matched nodes that hold the same text on both
-pages are constant, those that hold different texts vary.  What is counted of a host's template nodes, over all its
-pages, says which are template (constant on SHARE of at least LEAST compared pages that have them) and where the varying text is:
-the content region is the deepest node that holds HOLD of it.
+pages are constant, those that hold different texts vary.  What is counted of a host's nodes, over all its pages, says
+which are template: constant on SHARE of at least LEAST compared pages that have them.  What varies is content; the region
+is the deepest node that holds HOLD of the host's varying text.
 
 References are chosen for each host before counting, up to REFERENCES pages, so the result doesn't depend on how pages
-are dealt; pages that equal a reference aren't compared with it.  Tasks count in tables of node paths, so counts of
-different tasks add up; paths name tag, class and id, and repeated siblings share one.  Within the region a page's blocks are its
-text, without template nodes and without what markup or naming declares to be no content: scripts, styles, menus,
-headers, footers, sidebars, forms, notices, adverts and reader comments.  A name declares by its whole or by its first or
-last part, not by what it tells of its surroundings (has-sidebar) or of content (entry-header); no node counts as
-declared that holds the page's main or article, or (but for adverts, comments and hidden parts) the content region.  Hosts of one page go by the latter alone.
-
-Null or empty html: empty text.  Null urls are one host.  Repeated rows each give a row.  Deep or broken markup is read
-without recursion; unclosed blocks end where the next begins, tags cut off at the end are dropped.
+are dealt; pages that equal a reference aren't compared with it, and a page of constants alone keeps them.  Tasks count in
+tables of node paths, so counts of different tasks add up; paths name tag, class and id, and repeated siblings share one.
+
+A page's blocks are its text without template nodes and without what markup or naming declares to be no content: scripts,
+styles, menus, headers, footers, sidebars, forms, notices, adverts and reader comments (adverts vary from page to page, so
+that constants alone don't tell them).  A name declares by its whole or by its first or last part, not by what it tells of
+its surroundings (has-sidebar) or of content (entry-header), nor within running text where it may be of content; no node
+counts as declared that holds the page's main or article, or (but for adverts, comments and hidden parts) the host's region.
+
+Null or empty html: empty text.  Null urls are one host.  Repeated rows each give a row.  Hosts of one page have no
+template.  Deep or broken markup is read without recursion; unclosed blocks end where the next begins, and a quote that
+nothing closes is an ordinary character.  Tags that the end cuts off are dropped.
 """
 
 from __future__ import annotations
@@ -66,8 +69,13 @@ HEADER_NAMES = {"header", "banner", "masthead"}
 BESIDE = {"has", "have", "no", "not", "non", "with", "without", "hide", "show", "is", "after", "before"}
 OF_CONTENT = {"article", "blog", "chapter", "content", "entry", "post", "recipe", "review", "section", "single", "story"}
 SOFT, HARD = 1, 2
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
-ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Attributes as HTML reads them: a quote opens a value only right after "="; one that nothing closes is an ordinary character.
+_VALUE = r"\"[^\"]*\"|'[^']*'|[^\s>]*"
+_NAME = r"=?[^\s/>=]+|="
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[\s/]+|(?:{_NAME})(?:\s*=\s*(?:{_VALUE}))?)*+)(>|\Z)", re.S)
+ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+#: Blocks of running text: an inline part within them is part of a sentence, whatever its name.
+RUNNING = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "dd", "dt", "figcaption"}
 
 
 class Node:
@@ -201,6 +209,8 @@ def parse(html: str) -> Node:
             if last is not None:
                 at = last.parent
         name, noise = _declared(tag, m[3], content > 0)
+        if noise == SOFT and at.tag in RUNNING and tag not in BLOCK and tag not in CLOSES and tag not in NOISE_TAGS:
+            noise = 0
         if tag not in BLOCK and tag not in CLOSES and not noise and name == tag:
             continue
         if tag not in BLOCK and tag not in CLOSES and not noise:
@@ -490,66 +500,48 @@ def region_of(varying: dict[str, int]) -> str:
 
 
 def blocks_of(root: Node, region: str, template: set[tuple[str, str]]) -> list[str]:
-    """Texts of the blocks under the region, in page order."""
+    """Texts of the page's blocks that are neither template nor declared to be no content, in page order."""
     nodes = label(root)
     if "!" in region:  # the host's varying text is within declared noise, which therefore is none
         lifted = [x for x in nodes if x.noise and (region + "/").startswith(x.path + "/")]
         for x in lifted:
             x.noise = 0
-    # what is left of declared noise is none of the page's blocks
-    hidden = {id(x) for x in nodes if x.noise}
-    for x in nodes:
-        if x.parent is not None and id(x.parent) in hidden:
-            hidden.add(id(x))
-    nodes = [x for x in nodes if id(x) not in hidden]
-    main = [x for x in nodes if x.tag in ("article", "main")]
-    paths = {x.path for x in nodes}
-    while region and region not in paths:  # a page that lacks the region: the nearest node above that it has
-        region = region.rpartition("/")[0]
-    tops = [x for x in nodes if x.path == region] or [root]
-    if region and len(tops) == 1 and tops[0].tag not in BLOCK - {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr"}:
-        tops = [tops[0].parent or root]
-    if main:  # markup that names its content: the region is within it or around it
-        under = [x for x in main if not any(y is not x and x.path.startswith(y.path + "/") for y in main)]
-        tops = under
-    else:
-        parents = {id(x): x for x in tops}
-        tops = list(parents.values())
-        if tops and tops[0].tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th"):
-            up = {id(x.parent or x): x.parent or x for x in tops}
-            tops = list(up.values())
+    return _texts(root, template) or _texts(root, set())  # a page of constants alone is its own content
+
+
+def _texts(root: Node, template: set[tuple[str, str]]) -> list[str]:
     out: list[str] = []
-    for top in tops:
-        now: list[str] = []
+    now: list[str] = []
 
-        def end(now=now) -> None:
-            if t := squeeze("".join(now)):
-                out.append(t)
-            now.clear()
+    def end() -> None:
+        if t := squeeze("".join(now)):
+            out.append(t)
+        now.clear()
 
-        stack: list = [top]
-        while stack:
-            x = stack.pop()
-            if x is None:
-                end()
-            elif isinstance(x, str):
-                now.append(x)
-            elif x.noise:
-                if x.tag in BLOCK:
-                    end()
-                else:
-                    now.append(" ")
-            elif x.path is not None and x.text and (x.path, x.hash) in template:
+    stack: list = [root]
+    while stack:
+        x = stack.pop()
+        if x is None:
+            end()
+        elif isinstance(x, str):
+            now.append(x)
+        elif x.noise:
+            if x.tag in BLOCK:
                 end()
             else:
-                cell = x.tag in ("td", "th")
-                if cell:
-                    now.append(" ")
-                elif x.tag in BLOCK or x is top:
-                    end()
-                    stack.append(None)
-                stack += reversed(x.kids)
-        end()
+                now.append(" ")
+        elif x.path is not None and x.text and (x.path, x.hash) in template:
+            end()
+            # what is constant are the node's own words, not the parts within it
+            stack += [None, *(k for k in reversed(x.kids) if isinstance(k, Node))]
+        else:
+            if x.tag in ("td", "th"):
+                now.append(" ")
+            elif x.tag in BLOCK or x is root:
+                end()
+                stack.append(None)
+            stack += reversed(x.kids)
+    end()
     return out
 
 

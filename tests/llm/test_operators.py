@@ -425,6 +425,61 @@ def test_wrapper_declared(spark):
     assert {(r.page_id, r.text) for r in got} == {(i, f"Body of page number {i}.\nMore on {i}") for i in range(12)}
 
 
+def test_wrapper_loses_nothing():
+    def text(html):
+        return wrapper.blocks_of(wrapper.parse(html), "", set())
+
+    assert text("<p title=don't>hello</p><p>more text</p>") == ["hello", "more text"]
+    assert text('<p class=x">hello</p><p>more</p>') == ["hello", "more"]
+    assert text("<p>one<p title='never closed>two<p>three</p>") == ["one", "two", "three"]
+    assert text("<p data-x=\"a>b\" data-y = 'c>d'>t</p><a href=x/y?a='b'>z</a>") == ["t", "z"]
+    assert text("<p/ a b=c / =d e==f>t") == ["t"]
+    assert text("<p>one</p><article class=teaser><p>teaser</article>") == ["one", "teaser"]
+    assert text("<p>before <span class='share'>the share price</span> after</p>") == ["before the share price after"]
+    assert text("<p>hello <span class=ad>buy</span> x<div class=share>Share") == ["hello x"]
+    assert text("<body><p>a<article><p>b</article><p>c") == ["a", "b", "c"]
+    assert text("<p>1 &lt 2 &amp;amp; &#x41; &nbsp;x&eacute;</p>") == ["1 < 2 &amp; A xé"]
+    assert text("<p " + "a='" * 20_000) == [] and text("<" * 100_000) == ["<" * 100_000]
+    deep = 30_000
+    assert text("<div>" * deep + "x" + "</div>" * deep) == ["x"]
+
+
+def _site(rng, pages):
+    """Pages of one template with known articles, the template's parts named by nothing."""
+    said = lambda n: " ".join(rng.choice(("alpha", "beta", "gamma", "delta", "omega")) + str(rng.randrange(999)) for _ in range(n))
+    top, end, before = said(6), [said(4) for _ in range(3)], said(3)
+    rows = []
+    for i in range(pages):
+        blocks = [said(rng.randrange(3, 30)) for _ in range(rng.randrange(1, 9))]
+        body = "".join(f"<div>{b}</div>" for b in blocks)
+        rows.append((i, "http://site.example/a", f"<html><body><div class=top>{top}</div><div class=one><div class=before>{before}</div>{body}</div><div class=end>{''.join(f'<p>{e}</p>' for e in end)}</div></body></html>", "\n".join(blocks)))
+    return rows
+
+
+def test_wrapper_induction_decides(spark, monkeypatch):
+    """What no name declares goes by induction alone; without it the template stays."""
+    rows = _site(random.Random(3), 30)
+    df = spark.createDataFrame([r[:3] for r in rows] + [(90, "http://site.example/a", None)], "page_id long, url string, html string").withColumn("text", F.lit("x")).withColumn("_host", F.lit(1))
+    want = {(i, t) for i, _, _, t in rows} | {(90, "")}
+    assert {(r.page_id, r.text) for r in wrapper.extract_text(df).collect()} == want
+    plain = {i: "\n".join(wrapper.blocks_of(wrapper.parse(h), "", set())) for i, _, h, _ in rows}
+    assert all(plain[i] != t for i, _, _, t in rows)
+    monkeypatch.setattr(wrapper, "BROADCAST_HOSTS", 0)  # hosts joined, not broadcast
+    monkeypatch.setattr(wrapper, "BROADCAST_CHARS", 0)
+    assert {(r.page_id, r.text) for r in wrapper.extract_text(df).collect()} == want
+    assert wrapper.extract_text(df.limit(0)).count() == 0
+
+
+def test_wrapper_equal_pages(spark):
+    rows = [(i, "http://same.example/", "<body><div><p>All pages<p>say this</div>") for i in range(6)]
+    got = wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == ["All pages\nsay this"] * 6
+    # constants alone on a host of different pages
+    rows += [(i + 10, "http://same.example/", f"<body><div><p>All pages<p>say this</div><p>and number {i}") for i in range(8)]
+    got = wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text for r in got)
+
+
 def test_warc(spark):
     rows = [(1, "u", "x" * 2000), (5, "u\r\nv", "x" * 2000), (3, None, "x" * 2000), (4, "u", "small"), (6, "u", "small"), (7, "u", None), (None, "u", "y" * 1500), (None, "u", "x" * 2000), (8, "u", "é" * 40_000)]
     bundles = warc.write_bundles(spark.createDataFrame(rows, "page_id long, url string, html string"))
