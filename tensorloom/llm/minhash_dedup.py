@@ -208,8 +208,10 @@ def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = _rows(df, id_col, text_col)
     sigs = materialize(rows.mapInArrow(_signatures, "id long, th long, n long, h1 long, h2 long, sig binary"), "sigs")
     least = sigs.where("n > 0").groupBy("n", "h1", "h2").agg(F.min(F.struct("id", "th", "sig")).alias("m"))
+    # numbered in order of id, so that a key's members are held against its oldest, from which copies tend to come; and
     # numbered once, in a written table: a lost executor doesn't number anew
-    nodes = materialize(least.select("n", "h1", "h2", "m.*", F.monotonically_increasing_id().alias("node")), "nodes")
+    least = least.select("n", "h1", "h2", "m.*").orderBy("id", "th")
+    nodes = materialize(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
     count = nodes.count()
     n_buckets = max(partitions(spark), -(-count * len(_PAIR) // BUCKET_ROWS))
     dealt = nodes.select("node", "sig").mapInArrow(_keys(n_buckets), "bucket int, payload binary")
