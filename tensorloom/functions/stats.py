@@ -18,10 +18,6 @@ def dense_histogram(cells: DataFrame, keys: list[str], value: str = "byte", bins
     return grid.join(hist, [*keys, value], "left").select(*keys, value, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _h(n: Column, total: Column) -> Column:
-    return -F.sum(n / total * F.log2(n / total))
-
-
 def entropy(cells: DataFrame, keys: list[str], value: str = "byte") -> DataFrame:
     """n, distinct values and bits a value: H = log2(total) - sum(n log2 n) / total, in one pass over the histogram."""
     hist = histogram(cells, keys, value)

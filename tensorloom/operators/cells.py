@@ -12,7 +12,7 @@ from ..functions import bits
 def fp32_values(df: DataFrame, id_col: str, vec_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """(tensor_id, carried..., pos, v) of an array<float> column."""
     got = df.select(F.col(id_col).alias("tensor_id"), *carry, bits.float_bits(vec_col).alias("x"))
-    return got.select("tensor_id", *carry, F.posexplode("x").alias("pos", "v"))
+    return got.select("tensor_id", *carry, F.posexplode_outer("x").alias("pos", "v")).where("pos is not null")
 
 
 def split(values: DataFrame, n: int, expr: Column | None = None) -> DataFrame:
@@ -85,6 +85,19 @@ def location_scale(values: DataFrame, keys: list[str], value: str = "x") -> Data
     return got.select(*keys, F.when(F.col("mad") > 0, F.col("delta")).otherwise(0.0).alias("delta"), F.when(F.col("mad") > 0, F.col("mad")).otherwise(1.0).alias("gamma"))
 
 
+def block_unpack(cells: DataFrame) -> DataFrame:
+    """Undo block_repack: adds byte from scale and lack."""
+    return cells.withColumn("byte", F.col("scale") - F.col("lack"))
+
+
 def xor_delta(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-    """Value by value against a reference of equal places."""
-    return a.join(b.select(*on, F.col("v").alias("ref")), on).withColumn("x", F.col("v").bitwiseXOR(F.col("ref")))
+    """Value by value against a reference of equal places; a place that one side lacks is an error."""
+    both = a.withColumn("_a", F.lit(True)).join(b.select(*on, F.col("v").alias("ref"), F.lit(True).alias("_b")), on, "full")
+    x = F.when(F.col("_a") & F.col("_b"), F.col("v").bitwiseXOR(F.col("ref"))).otherwise(F.raise_error(F.lit("a delta needs equal places")).cast("long"))
+    return both.withColumn("x", x).drop("_a", "_b")
+
+
+def radius(df: DataFrame, vector: str) -> DataFrame:
+    """Adds radius: the Euclidean norm, summed in double precision from left to right."""
+    square = F.aggregate(F.col(vector), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return df.withColumn("radius", F.sqrt(square))

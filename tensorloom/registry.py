@@ -5,13 +5,16 @@ documents for byte streams, part names for tensor names."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .functions import bits, stats
-from .operators import cells, classify, codecs
-from .plans import chain, select
+from .functions import bits, ranks, sizes, stats
+from .operators import cells, classify, codecs, fitting
+from .plans import chain, deltas, select
+from .sources import tensors as sources
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -218,8 +221,7 @@ def _(spark, d):
 
 @query("q_radius", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS radius FROM embeddings")
 def _(spark, d):
-    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return _t(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(square), 5).alias("radius"))
+    return cells.radius(_t(spark, d, "embeddings"), "embedding").select("vec_id", F.round("radius", 5).alias("radius"))
 
 
 @query("q_xor_delta", """SELECT o_orderkey, xor(o_custkey, o_custkey + o_orderkey % 7) AS x FROM orders""")
@@ -229,11 +231,9 @@ def _(spark, d):
     return cells.xor_delta(a, b, ["o_orderkey"]).select("o_orderkey", "x")
 
 
-@query("q_float_delta", "SELECT o_orderkey, round((o_totalprice - o_totalprice * 0.5)::DOUBLE, 4) AS delta FROM orders")
+@query("q_float_delta", "SELECT o_orderkey, (o_totalprice::FLOAT - (o_totalprice * 0.25)::FLOAT)::FLOAT::DOUBLE AS delta FROM orders")
 def _(spark, d):
-    a = _t(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    b = a.select("o_orderkey", (F.col("o_totalprice") * 0.5).alias("ref"))
-    return a.join(b, "o_orderkey").select("o_orderkey", F.round(F.col("o_totalprice") - F.col("ref"), 4).alias("delta"))
+    return _t(spark, d, "orders").select("o_orderkey", deltas.float_delta(F.col("o_totalprice"), F.col("o_totalprice") * 0.25).cast("double").alias("delta"))
 
 
 @query("q_signature_bucket", f"""WITH {EXPONENTS}, h AS (SELECT tensor_id, byte, count(*) AS n FROM x GROUP BY ALL), e AS (SELECT tensor_id, log2(sum(n)::DOUBLE) - sum(n * log2(n::DOUBLE)) / sum(n)::DOUBLE AS h FROM h GROUP BY 1)
@@ -313,14 +313,13 @@ def _(spark, d):
 
 @query("q_registry_dedup", "WITH r AS (SELECT p_type AS chain, min(p_partkey) AS first FROM part GROUP BY 1) SELECT chain, (row_number() OVER (ORDER BY first) - 1)::INT AS chain_id FROM r")
 def _(spark, d):
-    first = _t(spark, d, "part").groupBy(F.col("p_type").alias("chain")).agg(F.min("p_partkey").alias("first"))
-    return first.select("chain", (F.row_number().over(W.orderBy("first")) - 1).alias("chain_id"))  # distinct chains alone: few
+    return ranks.registry_of(_t(spark, d, "part").withColumnRenamed("p_type", "chain"), "chain", "p_partkey")
 
 
 @query("q_allow_list", "SELECT p_partkey, p_brand FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 1)")
 def _(spark, d):
     p = _t(spark, d, "part")
-    return p.join(p.where("p_size = 1").select("p_brand"), "p_brand", "left_semi").select("p_partkey", "p_brand")
+    return ranks.allowed(p, p.where("p_size = 1"), "p_brand").select("p_partkey", "p_brand")
 
 
 @query("q_policy_sets", "SELECT n_nationkey AS k FROM nation WHERE n_nationkey % 2 = 0 UNION SELECT n_nationkey FROM nation WHERE n_nationkey % 3 = 0 EXCEPT SELECT n_nationkey FROM nation WHERE n_nationkey % 5 = 0")
@@ -338,9 +337,8 @@ def _(spark, d):
 
 @query("q_index_offsets", "SELECT doc_id, source, (sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - octet_length(encode(text)))::BIGINT AS start FROM documents")
 def _(spark, d):
-    n = F.octet_length("text").cast("long")
-    w = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)
-    return _t(spark, d, "documents").select("doc_id", "source", (F.sum(n).over(w) - n).alias("start"))
+    docs = _t(spark, d, "documents").select("doc_id", "source", F.octet_length("text").cast("long").alias("n"))
+    return ranks.index_offsets(docs, ["source"], "doc_id", F.col("n")).select("doc_id", "source", "start")
 
 
 @query("q_lookup", "SELECT doc_id, source, n_chars FROM documents WHERE doc_id IN (7, 42, 199)")
@@ -350,51 +348,38 @@ def _(spark, d):
 
 @query("q_index_order", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id)::INT AS place FROM documents")
 def _(spark, d):
-    w = W.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    return _t(spark, d, "documents").select("doc_id", F.row_number().over(w).alias("place"))
+    docs = _t(spark, d, "documents").select("doc_id", "lang")
+    return ranks.hashed_places(docs, ["lang"], F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").select("doc_id", F.col("place").cast("int").alias("place"))
 
 
 @query("q_size_totals", "SELECT source, sum(octet_length(encode(text)))::BIGINT AS nbytes, count(*) AS n, round(sum(n_chars)::DOUBLE / sum(octet_length(encode(text)))::DOUBLE, 6) AS ratio FROM documents GROUP BY source")
 def _(spark, d):
-    n = F.sum(F.octet_length("text").cast("long"))
-    return _t(spark, d, "documents").groupBy("source").agg(n.alias("nbytes"), F.count("*").alias("n"), F.round(F.sum("n_chars") / n, 6).alias("ratio"))
+    got = ranks.totals(_t(spark, d, "documents"), ["source"], F.col("n_chars"), F.octet_length("text").cast("long"))
+    return got.select("source", F.col("stored").alias("nbytes"), "n", F.round("ratio", 6).alias("ratio"))
 
 
 @query("q_missing_extensions", "SELECT s_nationkey FROM (SELECT DISTINCT s_nationkey FROM supplier) s WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal < 0)")
 def _(spark, d):
     c = _t(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("s_nationkey"))
-    return _t(spark, d, "supplier").select("s_nationkey").distinct().join(c, "s_nationkey", "left_anti")
+    return ranks.missing(_t(spark, d, "supplier"), c, "s_nationkey")
 
 
 @query("q_stride_sample", "WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT doc_id FROM r WHERE i % CAST(ceil(n / 10.0) AS BIGINT) = 0")
 def _(spark, d):
-    w = W.partitionBy("source")
-    r = _t(spark, d, "documents").select("doc_id", (F.row_number().over(w.orderBy("doc_id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    return r.where(F.col("i") % F.ceil(F.col("n") / 10) == 0).select("doc_id")
+    return ranks.every_nth(_t(spark, d, "documents").select("doc_id", "source"), ["source"], "doc_id", 10).select("doc_id")
 
 
 @query("q_chunk_table", "SELECT doc_id, i::INT AS chunk_idx, least(1000, octet_length(encode(text)) - i * 1000)::BIGINT AS nbytes FROM documents, range(0, 200) r(i) WHERE i * 1000 < greatest(octet_length(encode(text)), 1)")
 def _(spark, d):
-    from .sources.tensors import chunk
-
     t = _t(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
-    return chunk(t, 1000).select("doc_id", "chunk_idx", F.octet_length("raw").cast("long").alias("nbytes"))
+    return sources.chunk(t, 1000).select("doc_id", "chunk_idx", F.octet_length("raw").cast("long").alias("nbytes"))
 
 
 def _tensors(spark, d):
     """One float32 tensor for each label: its vectors in order of vec_id."""
-    rows = _t(spark, d, "embeddings").groupBy(F.col("label").cast("long").alias("tensor_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
-    raw = rows.select("tensor_id", F.transform("v", lambda x: x.embedding).alias("v"))
-
-    def pack(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            out = [np.concatenate([np.asarray(x, "<f4") for x in r]).tobytes() for r in b.column("v").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("tensor_id"), pa.array(out, pa.binary())], names=["tensor_id", "raw"])
-
-    return raw.mapInArrow(pack, "tensor_id long, raw binary").withColumn("name", F.concat(F.lit("layer."), "tensor_id")).withColumn("dtype", F.lit("float32"))
+    flat = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x.embedding))
+    rows = _t(spark, d, "embeddings").groupBy(F.col("label").cast("long").alias("tensor_id")).agg(flat.alias("v"))
+    return sources.packed_bytes(rows, "tensor_id", "v").withColumn("name", F.concat(F.lit("layer."), "tensor_id")).withColumn("dtype", F.lit("float32"))
 
 
 @query("q_roundtrip_store", "SELECT label::BIGINT AS tensor_id, true AS ok FROM embeddings GROUP BY 1")
@@ -404,18 +389,221 @@ def _(spark, d):
     return t.join(back, "tensor_id").select("tensor_id", (F.col("raw") == F.col("back")).alias("ok"))
 
 
+_OK = "SELECT label::BIGINT AS tensor_id, true AS ok FROM embeddings GROUP BY 1"
+
+
+def _exponent_planes(spark, d):
+    """A plane for each label: the upper two bytes of its vectors' values, rows of 64."""
+    return _tensors(spark, d).select("tensor_id", F.lit(0).alias("chain_id"), F.lit(0).alias("plane"), F.concat(_every(F.col("raw"), 4, 3), _every(F.col("raw"), 4, 2)).alias("bytes")).withColumn("role", F.lit("SCALE_BLOCK")).withColumn("row_len", F.lit(64))
+
+
+def _every(raw, step: int, at: int):
+    """Each step-th byte of a binary column."""
+    return F.pandas_udf(lambda s: pd.Series([bytes(x)[at::step] for x in s]), "binary")(raw)
+
+
 def _codec_roundtrip(name: str):
+    """A codec over the planes that it is for: exponents, nibbles in groups, 16-bit words."""
+
     def f(spark, d):
-        docs = _t(spark, d, "embeddings").select(F.col("vec_id").alias("tensor_id"), F.concat_ws(",", F.transform("embedding", lambda x: x.cast("string"))).cast("binary").alias("bytes")).withColumn("chain_id", F.lit(0)).withColumn("plane", F.lit(0))
-        back = codecs.decode(codecs.evaluate(docs, (name,)).where("size is not null")).select("tensor_id", F.col("bytes").alias("back"))
-        return docs.join(back, "tensor_id").select(F.col("tensor_id").alias("vec_id"), (F.col("bytes") == F.col("back")).alias("ok"))
+        planes = _exponent_planes(spark, d)
+        if name == "group_codebook":
+            planes = planes.withColumn("bytes", F.pandas_udf(lambda s: pd.Series([bytes(c & 15 for c in bytes(x)) for x in s]), "binary")("bytes")).withColumn("role", F.lit("value")).withColumn("nibble", F.lit(True))
+        elif name == "huff_llm":
+            planes = planes.withColumn("role", F.lit("raw")).withColumn("width", F.lit(2))
+        elif name == "order1":
+            planes = planes.withColumn("role", F.lit("exponent"))
+        elif name == "zstd_dict":
+            planes = planes.withColumn("state", F.substring("bytes", 1, 256))
+        trials = codecs.evaluate(planes, (name,)).where("size is not null")
+        known = planes.drop("bytes", "chain_id", "plane")
+        back = codecs.decode(trials.join(known, "tensor_id")).select("tensor_id", F.col("bytes").alias("back"))
+        return planes.join(back, "tensor_id").select("tensor_id", (F.col("bytes") == F.col("back")).alias("ok"))
 
     return f
 
 
-for _name in ("identity", "huffman", "rans", "zstd", "sparse", "adaptive0"):
+for _name in codecs.CODECS:
     QUERIES[f"q_roundtrip_{_name}"] = _codec_roundtrip(_name)
-    ORACLES[f"q_roundtrip_{_name}"] = "SELECT vec_id, true AS ok FROM embeddings"
+    ORACLES[f"q_roundtrip_{_name}"] = _OK
+
+
+def _step_roundtrip(*steps: chain.Step, kind: str = "float32"):
+    """A chain forward and back on each tensor, its planes of the lengths that its types say."""
+
+    def f(spark, d):
+        def same(s: pd.Series) -> pd.Series:
+            out = []
+            for x in s:
+                x = bytes(x)
+                x = x[: len(x) // 272 * 272]  # whole blocks, rows and elements of all kinds
+                deps = (x[::-1],) if any(t.op == "xor_ref" for t in steps) else ()
+                planes = chain.forward(steps, kind, x, deps)
+                typed = [t.nbytes for t in chain.propagate(steps, kind, len(x), deps=tuple(map(len, deps)))]
+                out.append([len(p) for p in planes] == typed and chain.inverse(chain.from_text(chain.to_text(steps)), kind, planes, len(x), deps) == x)
+            return pd.Series(out)
+
+        return _tensors(spark, d).select("tensor_id", F.pandas_udf(same, "boolean")("raw").alias("ok"))
+
+    return f
+
+
+S = chain.Step
+for _name, _f in {
+    "spherical": _step_roundtrip(S("spherical", 0, 34)), "alpha_stable": _step_roundtrip(S("alpha_stable")), "alpha_stable16": _step_roundtrip(S("alpha_stable"), kind="bfloat16"), "block_repack": _step_roundtrip(S("byte_split", 0, 4), S("block_repack", 3, 32)),
+    "xor_ref": _step_roundtrip(S("xor_ref")), "pack_bits": _step_roundtrip(S("nibble_split"), S("pack_bits", 1, 4), kind="uint8"), "concat": _step_roundtrip(S("byte_split", 0, 4), S("concat", 1, 3)), "bwt_mtf": _step_roundtrip(S("byte_split", 0, 4), S("bwt_mtf", 3)),
+    "mxfp4": _step_roundtrip(S("mxfp4_deinterleave"), S("terminal", 0, 0, "PACKED_VALUES"), kind="float4_e2m1fn_x2"), "reshape": _step_roundtrip(S("reshape", 0, 17), S("entropy"), S("e5m2"), kind="float8_e5m2"),
+}.items():
+    QUERIES[f"q_step_{_name}"] = _f
+    ORACLES[f"q_step_{_name}"] = _OK
+
+
+@query("q_entropy_step", f"WITH {EXPONENTS}, h AS (SELECT tensor_id, byte, count(*) AS n FROM x GROUP BY ALL) SELECT tensor_id::BIGINT AS tensor_id, {ENTROPY} FROM h GROUP BY 1")
+def _(spark, d):
+    steps = (S("reorder32"), S("byte_split", 0, 4), S("entropy", 3))
+    f = F.pandas_udf(lambda s: pd.Series([chain.measured(steps, "float32", bytes(x))[0] for x in s]), "double")
+    return _tensors(spark, d).select("tensor_id", F.round(f("raw"), 6).alias("entropy"))
+
+
+@query("q_roundtrip_types", """SELECT label::BIGINT * 10 + k AS tensor_id, r AS role, true AS ok FROM (SELECT DISTINCT label FROM embeddings),
+  (VALUES (0, 'STANDARD'), (1, 'STANDARD'), (2, 'STANDARD'), (3, 'SCALE_BLOCK'), (4, 'STANDARD'), (5, 'STANDARD'), (6, 'PACKED_VALUES'), (7, 'STANDARD')) v(k, r)""")
+def _(spark, d):
+    """The same bytes as tensors of many element types, classified, encoded by their roles, decoded."""
+    kinds = [("embed.weight", "bfloat16"), ("q.weight", "float16"), ("gate.weight", "float32"), ("down_scales", "uint8"), ("head.weight", "float8_e4m3fn"), ("norm.weight", "float8_e5m2"), ("down_blocks", "uint8"), ("ids", "int64")]
+    types = F.array(*(F.struct(F.lit(i).alias("k"), F.lit(n).alias("n"), F.lit(t).alias("t")) for i, (n, t) in enumerate(kinds)))
+    t = _tensors(spark, d).withColumn("x", F.explode(types)).select((F.col("tensor_id") * 10 + F.col("x.k")).alias("tensor_id"), F.concat(F.lit("l"), "tensor_id", F.lit("."), "x.n").alias("name"), F.col("x.t").alias("dtype"), "raw", F.lit(64).alias("row_len"))
+    back = select.decode(select.encode(classify.classify(t))).select("tensor_id", "role", F.col("raw").alias("back"))
+    return t.join(back, "tensor_id").select("tensor_id", "role", (F.col("raw") == F.col("back")).alias("ok"))
+
+
+@query("q_size_plane", f"WITH {EXPONENTS} SELECT vec_id, count(*) AS n, count(*) AS identity, (5 + ceil(count(*) / 2.0) + count(*) FILTER (byte <> 0))::BIGINT AS sparse FROM x GROUP BY vec_id")
+def _(spark, d):
+    return sizes.by_plane(_exponents(spark, d), ["vec_id"])
+
+
+@query("q_size_order1_state", f"WITH {EXPONENTS}, l AS (SELECT tensor_id, lag(byte) OVER (PARTITION BY vec_id ORDER BY pos) AS prev FROM x) SELECT tensor_id, 544 + 512 * count(DISTINCT prev) AS size FROM l GROUP BY 1")
+def _(spark, d):
+    return sizes.order1_states(_exponents(spark, d), ["tensor_id"], ["vec_id"])
+
+
+@query("q_huffman_bits", f"""WITH RECURSIVE {EXPONENTS}, h AS (SELECT tensor_id, byte, count(*) AS n FROM x GROUP BY ALL),
+m(tensor_id, w, total) AS (
+  SELECT tensor_id, list_sort(list(n)), CASE WHEN count(*) = 1 THEN sum(n) ELSE 0 END::BIGINT FROM h GROUP BY 1
+  UNION ALL SELECT tensor_id, list_sort(list_append(w[3:], w[1] + w[2])), total + w[1] + w[2] FROM m WHERE len(w) > 1)
+SELECT tensor_id, max(total) AS bits FROM m GROUP BY 1""")
+def _(spark, d):
+    return sizes.huffman_bits(stats.histogram(_exponents(spark, d), ["tensor_id"]), ["tensor_id"], most=64)
+
+
+@query("q_size_huffman", _OK)
+def _(spark, d):
+    """Sizes from histograms against those of payloads."""
+    planes = _exponent_planes(spark, d)
+    cell = planes.select("tensor_id", F.posexplode(F.pandas_udf(_bytes_list, "array<long>")("bytes")).alias("pos", "byte"))
+    trials = codecs.evaluate(planes, ("huffman",)).select("tensor_id", F.col("size").alias("real"))
+    return sizes.huffman_sizes(cell, ["tensor_id"]).join(trials, "tensor_id").select("tensor_id", (F.col("size") == F.col("real")).alias("ok"))
+
+
+def _bytes_list(s: pd.Series) -> pd.Series:
+    return pd.Series([list(bytes(x)) for x in s])
+
+
+@query("q_size_argmin", f"""WITH {EXPONENTS}, z AS (SELECT tensor_id, vec_id, byte & 1 AS byte FROM x), s AS (SELECT vec_id, count(*) AS n, (5 + ceil(count(*) / 2.0) + count(*) FILTER (byte <> 0))::BIGINT AS sparse FROM z GROUP BY 1)
+SELECT vec_id, CASE WHEN sparse < n THEN 'sparse' ELSE 'identity' END AS codec, least(sparse, n) AS size FROM s""")
+def _(spark, d):
+    """Argmin over sizes of the real codecs' rules."""
+    low = _exponents(spark, d).withColumn("byte", F.col("byte").bitwiseAND(F.lit(1)))
+    s = sizes.by_plane(low, ["vec_id"])
+    t = s.select(F.col("vec_id").alias("tensor_id"), F.lit(0).alias("chain_id"), F.lit(0).alias("plane"), F.explode(F.array(F.struct(F.lit("identity").alias("codec"), F.lit(0).alias("menu_pos"), F.col("identity").alias("size")), F.struct(F.lit("sparse").alias("codec"), F.lit(1).alias("menu_pos"), F.col("sparse").alias("size")))).alias("t"))
+    best = select.best_trials(t.select("tensor_id", "chain_id", "plane", "t.*"))
+    return best.select(F.col("tensor_id").alias("vec_id"), "codec", "size")
+
+
+def _pmf_sql(counts: str, total: int) -> str:
+    """Tables of 256 from counts cnt (g, byte, n): scaled; an excess cuts the largest down to one level (the last of equals
+    first), a lack raises the smallest to one (the first of equals first)."""
+    return f"""{counts}, k AS (SELECT t.g, r.b AS byte, coalesce(cnt.n, 0) AS n FROM (SELECT DISTINCT g FROM cnt) t CROSS JOIN range(0, 256) r(b) LEFT JOIN cnt ON cnt.g = t.g AND cnt.byte = r.b),
+q AS (SELECT g, byte, greatest(floor((n + 1)::DOUBLE / sum(n + 1) OVER (PARTITION BY g)::DOUBLE * {total}::DOUBLE + 0.5::DOUBLE), 1)::BIGINT AS q FROM k),
+o AS (SELECT g, byte, q, (sum(q) OVER (PARTITION BY g) - {total})::BIGINT AS over FROM q),
+down AS (SELECT g, min(l) AS l, arg_min(over - s, l) AS r FROM (SELECT g, l, any_value(over) AS over, sum(greatest(q - l, 0)) AS s FROM o, range(1, {total}) v(l) WHERE over > 0 GROUP BY g, l) WHERE s <= over GROUP BY g),
+up AS (SELECT g, max(l) AS l, arg_max(-over - s, l) AS r FROM (SELECT g, l, any_value(over) AS over, sum(greatest(l - q, 0)) AS s FROM o, range(1, {total}) v(l) WHERE over < 0 GROUP BY g, l) WHERE s <= -over GROUP BY g),
+m AS (SELECT o.g, o.byte, CASE WHEN over > 0 THEN least(q, down.l) WHEN over < 0 THEN greatest(q, up.l) ELSE q END AS m, over, down.r AS dr, up.r AS ur,
+  sum((q >= down.l)::INT) OVER (PARTITION BY o.g ORDER BY o.byte DESC) AS di, sum((q <= up.l)::INT) OVER (PARTITION BY o.g ORDER BY o.byte) AS ui, q >= down.l AS high, q <= up.l AS low
+  FROM o LEFT JOIN down ON o.g = down.g LEFT JOIN up ON o.g = up.g)
+SELECT g, byte, (m - CASE WHEN over > 0 AND high AND di <= dr THEN 1 WHEN over < 0 AND low AND ui <= ur THEN -1 ELSE 0 END)::BIGINT AS p FROM m"""
+
+
+def _pmf(counts, total: int):
+    """(g, byte, p): fitting.quantize_pmf of each group's counts (g, byte, n)."""
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(256, np.int64)
+        n[pdf["byte"].astype(int)] = pdf["n"]
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "byte": np.arange(256), "p": fitting.quantize_pmf(n, total)})
+
+    return counts.groupBy("g").applyInPandas(fit, "g long, byte long, p long")
+
+
+@query("q_pmf", _pmf_sql(f"WITH {EXPONENTS}, cnt AS (SELECT tensor_id::BIGINT AS g, byte, count(*) AS n FROM x GROUP BY ALL)", 4096))
+def _(spark, d):
+    return _pmf(stats.histogram(_exponents(spark, d), ["tensor_id"]).select(F.col("tensor_id").cast("long").alias("g"), "byte", "n"), fitting.ORDER1_TOTAL)
+
+
+@query("q_order1_state", _pmf_sql(f"WITH {ORDER1}, cnt AS (SELECT coalesce(prev, -1)::BIGINT AS g, byte, n FROM c)", 4096))
+def _(spark, d):
+    counts = stats.order1_counts(_exponents(spark, d), ["vec_id"])
+    return _pmf(counts.select(F.coalesce("prev", F.lit(-1)).cast("long").alias("g"), "byte", "n"), fitting.ORDER1_TOTAL)
+
+
+@query("q_shared_fit")
+def _(spark, d):
+    """Which label's exponents share a table, of all fitted clusters."""
+    x = _exponents(spark, d)
+    prev = F.lag("byte").over(W.partitionBy("vec_id").orderBy("pos"))
+    counts = x.withColumn("prev", prev).groupBy(F.lit("m").alias("model"), F.col("tensor_id").cast("long").alias("tensor_id"), "prev", "byte").agg(F.count("*").alias("n"))
+    return fitting.fit_shared(counts).select("model", "tensor_id", "state_id", F.octet_length("state").alias("size"))
+
+
+@query("q_shapley", f"""WITH {MODEL}, p AS (SELECT tensor_id, chain_id, plane, min(size) FILTER (codec = 'identity') AS i, min(size) FILTER (codec IN ('identity', 'huffman')) AS h, min(size) FILTER (codec IN ('identity', 'zstd')) AS z, min(size) AS hz FROM u GROUP BY 1, 2, 3),
+s AS (SELECT sum(i)::DOUBLE AS i, sum(h)::DOUBLE AS h, sum(z)::DOUBLE AS z, sum(hz)::DOUBLE AS hz FROM p)
+SELECT 'huffman' AS codec, round(((i - h) + (z - hz)) / 2.0::DOUBLE, 3) AS value FROM s UNION ALL SELECT 'zstd', round(((i - z) + (h - hz)) / 2.0::DOUBLE, 3) FROM s""")
+def _(spark, d):
+    return select.shapley(_model(spark, d)).withColumn("value", F.round("value", 3))
+
+
+@query("q_delta_chain", _OK)
+def _(spark, d):
+    """Tensors stored as deltas against the one before them, three links deep, and undone again."""
+    cut = F.when(F.col("tensor_id") % 4 != 0, F.concat(F.lit("layer."), F.col("tensor_id") - 1))
+    t = _tensors(spark, d)
+    least = t.agg(F.min(F.octet_length("raw"))).first()[0]
+    t = t.withColumn("raw", F.substring("raw", 1, least)).withColumn("delta_ref", cut)
+    stored = deltas.against(t.select("tensor_id", "name", "raw", "delta_ref"), t)
+    back = deltas.resolve(stored).select("name", F.col("raw").alias("back"))
+    return t.join(back, "name").select("tensor_id", (F.col("raw") == F.col("back")).alias("ok"))
+
+
+@query("q_slice", "WITH r AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings) SELECT label::BIGINT AS tensor_id, (embedding[6]::FLOAT::BIT::INTEGER)::BIGINT & 4294967295 AS v FROM r WHERE i = 1")
+def _(spark, d):
+    """Element 5 of each decoded tensor."""
+    back = select.decode(select.encode(_tensors(spark, d)))
+    four = F.substring("raw", 21, 4)
+    return back.select("tensor_id", F.conv(F.concat(*(F.hex(F.substring(four, i, 1)) for i in (4, 3, 2, 1))), 16, 10).cast("long").alias("v"))
+
+
+QUANT = '{"quantization": {"quant_algo": "NVFP4", "group_size": 16, "exclude_modules": ["mod.1*", "lm_head"]}}'
+
+
+@query("q_classify_quant", rf"""WITH {NAMES}, e AS (SELECT name, dtype, CASE WHEN name LIKE '%.weight\_scale' ESCAPE '\' THEN '.weight_scale' WHEN name LIKE '%.input\_scale' ESCAPE '\' THEN '.input_scale' WHEN name LIKE '%.weight' THEN '.weight' ELSE '' END AS e FROM n),
+b AS (SELECT *, substr(name, 1, length(name) - length(e)) AS m FROM e)
+SELECT name, CASE WHEN e <> '' AND m NOT LIKE 'mod.1%' AND m || '.weight_scale' IN (SELECT name FROM n) THEN CASE e WHEN '.weight' THEN 'PACKED_VALUES' WHEN '.weight_scale' THEN 'SCALE_BLOCK' ELSE 'SCALE_GLOBAL' END ELSE 'STANDARD' END AS role,
+  CASE WHEN e <> '' AND m NOT LIKE 'mod.1%' AND m || '.weight_scale' IN (SELECT name FROM n) THEN 'quant_config' ELSE 'default' END AS role_source FROM b""")
+def _(spark, d):
+    return classify.classify(_names(spark, d), quant=QUANT, heuristic=False).select("name", "role", "role_source")
+
+
+@query("q_bench_codecs")
+def _(spark, d):
+    return select.bench(_tensors(spark, d)).select("tensor_id", "codec", "nbytes", "size")
 
 
 @query("q_crc32")

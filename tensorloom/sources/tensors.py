@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import heapq
+import io
 import json
 import math
+import re
 import struct
+import tarfile
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..types import FILE_TYPES, TENSOR_SCHEMA
+from ..types import FILE_TYPES, TENSOR_SCHEMA, dtype
 
 _TYPES = pa.schema([("tensor_id", pa.int64()), ("write_seq", pa.int32()), ("name", pa.string()), ("dtype", pa.string()), ("shape", pa.list_(pa.int64())), ("row_len", pa.int32()), ("nbytes", pa.int64()), ("chunk_idx", pa.int32()), ("raw", pa.binary())])
 
@@ -64,30 +74,282 @@ def chunk(tensors: DataFrame, size: int) -> DataFrame:
 
 def unchunk(chunks: DataFrame) -> DataFrame:
     """Whole tensors again, chunks in order."""
+    if "chunk_idx" not in chunks.columns:
+        return chunks.select(*(c for c in ("tensor_id", "name", "raw") if c in chunks.columns))
     got = chunks.groupBy("tensor_id", "name").agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "raw"))).alias("c"))
     return got.select("tensor_id", "name", F.aggregate("c", F.lit(b""), lambda acc, x: F.concat(acc, x.raw)).alias("raw"))
 
 
-def write_store(encoded: DataFrame, path: str, shards: int = 1) -> None:
-    """A store of chosen planes, sorted by name within shards so that a lookup reads few row groups."""
-    encoded.withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("name", "plane").write.mode("overwrite").partitionBy("shard").parquet(path)
+def balanced(sized: DataFrame, shards: int) -> DataFrame:
+    """(name, shard): the largest first, each to the shard that has least.  Names and sizes of one model, few enough to be
+    dealt in one group."""
 
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        heap, out = [(0, i) for i in range(shards)], []
+        for n in pdf.sort_values(["nbytes", "name"], ascending=[False, True]).itertuples():
+            size, i = heapq.heappop(heap)
+            heapq.heappush(heap, (size + n.nbytes, i))
+            out.append((n.name, i))
+        return pd.DataFrame(out, columns=["name", "shard"])
 
-def read_store(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
-    """The planes of a store; names are pushed down to the scan.  A name of two tensors is an error on reading them."""
-    got = spark.read.parquet(path)
+    return sized.groupBy().applyInPandas(deal, "name string, shard int")
+
+
+def write_store(encoded: DataFrame, path: str, shards: int = 1, plan: DataFrame | None = None) -> None:
+    """A store of encoded tensors, sorted by name within shards so that a lookup reads few row groups, and its index.
+
+    plan: (name, shard), of operators.classify.plan_shards or balanced; without it names are dealt by their hash."""
+    if plan is None:
+        dealt = encoded.withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int"))
+    else:
+        dealt = encoded.join(plan.select("name", F.col("shard").cast("int").alias("shard")), "name")
+    dealt.repartition("shard").sortWithinPartitions("name").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/tensors")
+    spark = encoded.sparkSession
+    index = spark.read.parquet(f"{path}/tensors").select("name", "shard", *(c for c in ("write_seq", "dtype", "shape", "chunk_idx") if c in encoded.columns), "nbytes", "size")
+    index.withColumn("name_hash", F.xxhash64("name")).write.mode("overwrite").parquet(f"{path}/index")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """(name, shard, ..., nbytes, size) of a store; without an index, an error."""
+    return spark.read.parquet(f"{path}/index")
+
+
+def read_store(spark: SparkSession, path: str, names: list[str] | None = None, partial: bool = False) -> DataFrame:
+    """The tensors of a store; names are pushed down to the scan.
+
+    A name of two tensors is an error, and so is a name that isn't there, unless partial."""
+    index = read_index(spark, path)
+    index = index.where(F.col("name").isin(names)) if names is not None else index
+    chunk = ["chunk_idx"] if "chunk_idx" in index.columns else []
+    twice = index.groupBy("name", *chunk).count().where("count > 1").select("name").first()
+    if twice:
+        raise ValueError(f"two tensors of the name {twice.name}")
+    if names is not None and not partial:
+        missing = set(names) - {r.name for r in index.select("name").distinct().collect()}
+        if missing:
+            raise KeyError(sorted(missing)[0])
+    got = spark.read.parquet(f"{path}/tensors")
     return got.where(F.col("name").isin(names)) if names is not None else got
 
 
+def union_shards(*shards: DataFrame) -> DataFrame:
+    """The tensors of several sources; a name that two of them hold is an error."""
+    out = shards[0]
+    for s in shards[1:]:
+        out = out.unionByName(s)
+    twice = out.groupBy("name").count().where("count > 1").first()
+    if twice:
+        raise ValueError(f"two tensors of the name {twice.name}")
+    return out
+
+
 def check_unique(store: DataFrame) -> DataFrame:
     """Names that more than one tensor has (empty if the store is sound)."""
     return store.select("name", "tensor_id", "nbytes", "digest").distinct().groupBy("name").count().where("count > 1")
 
 
 def upsert(store: DataFrame, new: DataFrame) -> DataFrame:
-    """The store with the tensors of new put in or put in place."""
+    """The store with the tensors of new put in or put in place.  Write it to another path than it was read from."""
     return store.join(new.select("name").distinct(), "name", "left_anti").unionByName(new)
 
 
+def get_slice(decoded: DataFrame, name: str, start: int, stop: int) -> bytes:
+    """Elements start to stop of a tensor (or of its chunks of equal element counts), of which no others are fetched."""
+    rows = decoded.where(F.col("name") == name)
+    size = dtype(rows.select("dtype").first()[0]).size
+    chunk = F.col("chunk_idx") if "chunk_idx" in decoded.columns else F.lit(0)
+    n = F.octet_length("raw").cast("long")
+    sized = rows.select(chunk.alias("c"), "raw", n.alias("n")).withColumn("at", F.sum("n").over(Window.partitionBy().orderBy("c")) - F.col("n"))
+    lo = F.greatest(F.lit(start * size) - F.col("at"), F.lit(0))
+    hi = F.least(F.lit(stop * size) - F.col("at"), F.col("n"))
+    parts = sized.where((F.col("at") < stop * size) & (F.col("at") + F.col("n") > start * size)).select("c", F.substring("raw", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("raw"))
+    return b"".join(bytes(r.raw) for r in parts.orderBy("c").collect())
+
+
+def stream_tensors(decoded: DataFrame, names: list[str] | None = None) -> Iterator[tuple[str, bytes]]:
+    """(name, bytes) one by one, in order of name, of all or of some."""
+    rows = decoded.where(F.col("name").isin(names)) if names is not None else decoded
+    for r in rows.select("name", "raw").orderBy("name").toLocalIterator():
+        yield r.name, bytes(r.raw)
+
+
+class TensorStore:
+    """Names, metadata, bytes, arrays and slices of a stored model, each read from what it needs."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.index = spark, path, read_index(spark, path).cache()
+
+    def keys(self) -> list[str]:
+        return [r.name for r in self.index.select("name").distinct().orderBy("name").collect()]
+
+    def metadata(self, name: str) -> dict:
+        row = self.index.where(F.col("name") == name).first()
+        if row is None:
+            raise KeyError(name)
+        return row.asDict()
+
+    def _decoded(self, names: list[str]) -> DataFrame:
+        from ..plans.select import decode
+
+        return decode(read_store(self.spark, self.path, names))
+
+    def get_bytes(self, name: str) -> bytes:
+        got = dict(stream_tensors(unchunk(self._decoded([name]))))
+        return got[name]
+
+    def get_array(self, name: str) -> np.ndarray:
+        """Shaped as the tensor; element types that numpy lacks come as their bits."""
+        m = self.metadata(name)
+        kind = {"float32": "<f4", "float16": "<f2", "int8": "i1", "int16": "<i2", "int32": "<i4", "int64": "<i8", "bool": "?", "uint32": "<u4", "bfloat16": "<u2"}.get(m["dtype"], "u1")
+        return np.frombuffer(self.get_bytes(name), kind).reshape(m.get("shape") or (-1 if m.get("shape") is None else ()))
+
+    def get_slice(self, name: str, start: int, stop: int) -> bytes:
+        return get_slice(self._decoded([name]), name, start, stop)
+
+    def stream(self, names: list[str] | None = None) -> Iterator[tuple[str, bytes]]:
+        yield from stream_tensors(unchunk(self._decoded(names if names is not None else self.keys())))
+
+
+def detect_format(spark: SparkSession, path: str) -> str:
+    """store, tensor_files, shards (tar) or files: by what a path holds."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        raise FileNotFoundError(path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    if {"tensors", "index"} <= set(names):
+        return "store"
+    ends = {n.rpartition(".")[2] for n in names}
+    return "tensor_files" if "safetensors" in ends else "shards" if "tar" in ends else "files"
+
+
+def open_any(spark: SparkSession, path: str) -> DataFrame:
+    """(name, dtype, raw, ...) of whatever is there."""
+    from ..plans.select import decode
+
+    kind = detect_format(spark, path)
+    return decode(read_store(spark, path)) if kind == "store" else read_files(spark, path) if kind == "tensor_files" else read_tars(spark, path) if kind == "shards" else read_opaque(spark, path)
+
+
+def read_opaque(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Files as tensors of bytes: (tensor_id, name, dtype, raw), name relative to the path.  Spark doesn't read empty files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    name = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^.*?" + re.escape(re.sub("^[a-z]+:/+", "/", path).rstrip("/")) + "/?", "")
+    return files.select(F.xxhash64("path").alias("tensor_id"), F.when(name == "", F.element_at(F.split("path", "/"), -1)).otherwise(name).alias("name"), F.lit("uint8").alias("dtype"), F.col("content").alias("raw"))
+
+
+def write_opaque(decoded: DataFrame, path: str) -> None:
+    """Files again, under a path that all executors reach; each is written whole before it has its name."""
+
+    def write(batches):
+        target, base = pafs.FileSystem.from_uri(path)
+        for b in batches:
+            for name, raw in zip(b.column("name").to_pylist(), b.column("raw").to_pylist(), strict=True):
+                if name.startswith("/") or ".." in name.split("/"):
+                    raise ValueError(f"{name} leads out of the folder")
+                to = f"{base}/{name}"
+                target.create_dir(to.rpartition("/")[0], recursive=True)
+                part = f"{to}.{uuid.uuid4().hex}.part"
+                with target.open_output_stream(part) as f:
+                    f.write(raw)
+                target.move(part, to)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    decoded.select("name", "raw").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+
+
+def write_tars(decoded: DataFrame, path: str, shards: int) -> None:
+    """Tar shards with a member for each tensor and a manifest (JSON in canonical form) of what is in them."""
+    cols = ["name", "dtype", "raw", *(["shape"] if "shape" in decoded.columns else [])]
+    keyed = decoded.select(*cols, F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("shard"))
+
+    def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, base = pafs.FileSystem.from_uri(path)
+        target.create_dir(base, recursive=True)
+        out, manifest, seen = io.BytesIO(), [], 0
+        with tarfile.open(fileobj=out, mode="w") as tar:
+            for b in batches:
+                for r in sorted(b.to_pylist(), key=lambda r: r["name"]):
+                    member = f"{seen:06d}.bin"
+                    manifest.append({"name": r["name"], "dtype": r["dtype"], "shape": r.get("shape"), "member": member})
+                    _add(tar, member, r["raw"])
+                    seen += 1
+            _add(tar, "manifest.json", canonical_json({"tensors": manifest}).encode())
+        with target.open_output_stream(f"{base}/shard-{key[0].as_py():05d}.tar") as f:
+            f.write(out.getvalue())
+        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64())], names=["n"])
+
+    keyed.groupBy("shard").applyInArrow(pack, "n long").write.format("noop").mode("overwrite").save()
+
+
+def _add(tar: tarfile.TarFile, name: str, data: bytes) -> None:
+    info = tarfile.TarInfo(name)
+    info.size = len(data)
+    tar.addfile(info, io.BytesIO(data))
+
+
+def read_tars(spark: SparkSession, path: str) -> DataFrame:
+    """(name, dtype, shape, raw) of tar shards."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(path)
+
+    def run(batches):
+        for b in batches:
+            for data in b.column("content").to_pylist():
+                with tarfile.open(fileobj=io.BytesIO(data)) as tar:
+                    rows = json.loads(tar.extractfile("manifest.json").read())["tensors"]
+                    got = [{"name": r["name"], "dtype": r["dtype"], "shape": r["shape"], "raw": tar.extractfile(r["member"]).read()} for r in rows]
+                yield pa.RecordBatch.from_pylist(got, schema=pa.schema([("name", pa.string()), ("dtype", pa.string()), ("shape", pa.list_(pa.int64())), ("raw", pa.binary())]))
+
+    return files.select("content").mapInArrow(run, "name string, dtype string, shape array<long>, raw binary")
+
+
+def canonical_json(x) -> str:
+    """JSON with sorted keys (by UTF-16 units), no spaces, and numbers as ECMAScript writes them."""
+    if isinstance(x, dict):
+        keys = sorted(x, key=lambda k: k.encode("utf-16-be"))
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical_json(x[k])}" for k in keys) + "}"
+    if isinstance(x, (list, tuple)):
+        return "[" + ",".join(map(canonical_json, x)) + "]"
+    if isinstance(x, float):
+        if not math.isfinite(x):
+            raise ValueError("no such number in JSON")
+        if x == int(x) and abs(x) < 1e21:
+            return str(int(x))
+        mantissa, _, exponent = repr(x).partition("e")
+        if not exponent:
+            return mantissa
+        e = int(exponent)
+        if -7 < e < 0:
+            digits = mantissa.lstrip("-").replace(".", "")
+            return ("-" if x < 0 else "") + "0." + "0" * (-e - 1) + digits
+        return f"{mantissa}e{'+' if e > 0 else '-'}{abs(e)}"
+    return json.dumps(x, ensure_ascii=False)
+
+
+def name_hash(names: DataFrame, column: str = "name") -> DataFrame:
+    """Adds name_hash: xxh64 of seed 0 as a signed number (Spark's own has another seed)."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series(np.array([xxhash.xxh64_intdigest(x.encode(), seed=0) for x in s], np.uint64).astype(np.int64))
+
+    return names.withColumn("name_hash", F.pandas_udf(run, "long")(F.col(column)))
+
+
+def packed_bytes(df: DataFrame, id_col: str, value_cols: list[str] | str, kind: str = "<f4") -> DataFrame:
+    """(tensor_id, raw): little-endian bytes of an array column, or of number columns side by side, a tensor a row."""
+    cols = [value_cols] if isinstance(value_cols, str) else value_cols
+
+    def run(batches):
+        for b in batches:
+            if len(cols) == 1 and pa.types.is_list(b.column(cols[0]).type):
+                raw = [np.asarray([] if v is None else v, kind).tobytes() for v in b.column(cols[0]).to_pylist()]
+            else:
+                raw = [np.asarray(v, kind).tobytes() for v in zip(*(b.column(c).to_pylist() for c in cols), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), pa.array(raw, pa.binary())], names=["tensor_id", "raw"])
+
+    return df.select(id_col, *cols).mapInArrow(run, "tensor_id long, raw binary")
+
+
 def elements(shape: list[int]) -> int:
     return math.prod(shape)

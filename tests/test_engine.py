@@ -10,21 +10,128 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tensorloom.functions import bits, stats
-from tensorloom.operators import cells, classify, codecs
-from tensorloom.plans import chain, select
+from tensorloom import extensions
+from tensorloom.functions import bits, ranks, sizes, stats
+from tensorloom.operators import cells, classify, codecs, fitting
+from tensorloom.plans import cache, chain, deltas, select
 from tensorloom.sources import tensors
 
 EDGES = [b"", b"\0", b"\0" * 1024, bytes(range(256)), b"\x07" * 5000 + b"\x01"]
 
 
+#: What a codec is told of the planes that it is for, and how other bytes are made to fit.
+FITS = {
+    "group_codebook": (codecs.Info("value", nibble=True), lambda b: bytes(c & 15 for c in b[: len(b) // 32 * 32])), "huff_llm": (codecs.Info(width=2), lambda b: b[: len(b) // 2 * 2]),
+    "order1_scale": (codecs.Info("SCALE_BLOCK", row_len=7), lambda b: b), "zstd_dict": (codecs.Info(state=b"abc" * 99 + bytes(range(256))), lambda b: b),
+}
+
+
 @pytest.mark.parametrize("name", sorted(codecs.CODECS))
-@settings(max_examples=20, deadline=None)
-@given(data=st.binary(max_size=3000))
+@settings(max_examples=10, deadline=None)
+@given(data=st.binary(max_size=1500))
 def test_codecs_round_trip(name, data):
-    encode, decode, _ = codecs.CODECS[name]
-    for b in (data, *EDGES):
-        assert decode(encode(b)) == b
+    c, (info, fit) = codecs.CODECS[name], FITS.get(name, (codecs.Info(), lambda b: b))
+    for b in (data, data[:300]) if name in ("context_mixing", "neural") else (data, *EDGES):
+        assert c.decode(c.encode(fit(b), info), info) == fit(b)
+
+
+def test_codecs_over_lanes():
+    rng = np.random.default_rng(5)
+    for n in (1023, 1025, 5000, 40_000):
+        b = (np.cumsum(rng.integers(-1, 2, n)) & 255).astype(np.uint8).tobytes()
+        for name in ("rans", "tans", "huffman", "arithmetic0", "order1", "order1_scale", "adaptive0", "adaptive1", "context_mixing", "neural"):
+            if n > 5000 and name in ("context_mixing", "neural"):
+                continue
+            c, info = codecs.CODECS[name], codecs.Info("SCALE_BLOCK", row_len=50)
+            assert c.decode(c.encode(b, info), info) == b
+    walk = codecs.CODECS["adaptive1"].encode(b, codecs.Info())
+    assert len(walk) < len(codecs.CODECS["adaptive0"].encode(b, codecs.Info())) / 2  # contexts pay
+    assert len(codecs.rans_encode(b)) < 1.02 * 40_000
+
+
+def test_sizes_are_those_of_payloads(spark):
+    rng = np.random.default_rng(6)
+    planes = [rng.integers(0, 256, 700), rng.geometric(0.4, 1001) % 200, np.zeros(64), rng.integers(0, 3, 5), np.repeat(2 ** np.arange(8), 2 ** np.arange(8)), np.concatenate([np.full(int(1.7**k), k) for k in range(16)])]
+    rows = [(t, i, int(c)) for t, x in enumerate(planes) for i, c in enumerate(x)]
+    got = {r.t: r["size"] for r in sizes.huffman_sizes(spark.createDataFrame(rows, "t int, pos long, byte long"), ["t"]).collect()}
+    for t, x in enumerate(planes):
+        b = x.astype(np.uint8).tobytes()
+        assert got[t] == len(codecs.huffman_encode(b)) and codecs.huffman_decode(codecs.huffman_encode(b)) == b
+        assert len(codecs.sparse_encode(b)) == 5 + (len(b) + 1) // 2 + np.count_nonzero(x)
+        if len(set(b)) > 1:
+            assert codecs.code_lengths(np.bincount(x.astype(int))).max() <= 11
+
+
+def test_menu():
+    info = codecs.Info("SCALE_BLOCK", row_len=4)
+    assert [c.name for c in codecs.menu_for(info, 8)][0] == "order1_scale" and "adaptive0" not in [c.name for c in codecs.menu_for(info, 8)]
+    assert [c.name for c in codecs.menu_for(codecs.Info(), 8, ("adaptive0", "zstd"))] == ["zstd", "adaptive0"]
+    with pytest.raises(ValueError):
+        codecs.menu_for(codecs.Info(), 8, ("group_codebook",))
+    with pytest.raises(ValueError):
+        codecs.menu_for(codecs.Info(), 8, ("nonsense",))
+    assert codecs.xxh64(b"") == 0xEF46DB3751D8E999
+
+
+def test_fitting():
+    rng = np.random.default_rng(2)
+    for total, n in ((256, 16), (4096, 256)):
+        for k in range(50):
+            c = rng.integers(0, 10 ** (k % 6), n, endpoint=True) * (rng.random(n) < 0.3)
+            q = fitting.quantize_pmf(c, total)
+            fitting.validate_pmf(q, total)
+            slow = np.maximum(np.floor((c + 1) / (c + 1).sum() * total + 0.5), 1).astype(int)
+            while slow.sum() > total:
+                slow[max(i for i in range(n) if slow[i] == slow.max())] -= 1
+            while slow.sum() < total:
+                slow[int(np.argmin(slow))] += 1
+            assert (q == slow).all()
+    with pytest.raises(ValueError):
+        fitting.validate_pmf([0, 256], 256)
+    with pytest.raises(ValueError):
+        fitting.validate_pmf([1, 2], 256)
+    joint, marginal = fitting.order1_counts(np.array([10, 20, 30, 40, 50, 60, 70, 80]), 4)
+    assert marginal.nonzero()[0].tolist() == [10, 50] and joint[10, 20] == joint[70, 80] == 1 and joint[40].sum() == 0
+    joint, marginal = fitting.order1_counts(np.array([1, 2, 3, 4, 5]), 4)
+    assert marginal[1] == marginal[5] == 1 and joint.sum() == 3
+    m = fitting.fit_order1(joint, marginal)
+    again = fitting.unpack_order1(fitting.pack_order1(m))
+    assert (again.table() == m.table()).all() and len(fitting.pack_order1(m)) == m.size()
+    centres, of = fitting.fit_codebook(np.array([[8, 0] + [0] * 14] * 20 + [[0, 8] + [0] * 14] * 20))
+    assert len(set(of[:20])) == len(set(of[20:])) == 1 and of[0] != of[20]
+
+
+def test_clusters():
+    """Tensors of two kinds get two tables; the tree is that of average linkage."""
+    rng = np.random.default_rng(3)
+    kind = [np.cumsum(rng.integers(0, 2, 150_000)) % 64, np.cumsum(rng.integers(30, 32, 150_000)) % 64]
+    counts = [fitting.order1_counts(kind[k], 100) for k in (0, 1, 0, 1)]
+    of, models = fitting.fit_clusters(counts)
+    assert of.tolist() == [0, 1, 0, 1] and len(models) == 2
+    x = rng.random(7)
+    d = np.abs(x[:, None] - x[None])
+    groups, merges = {i: [i] for i in range(7)}, []
+    while len(groups) > 1:
+        i, j = min(((a, b) for a in groups for b in groups if a < b), key=lambda p: (np.mean([d[u, v] for u in groups[p[0]] for v in groups[p[1]]]), p))
+        merges.append((i, j))
+        groups[i] += groups.pop(j)
+    assert fitting.dendrogram(d) == merges
+    assert fitting.clusters_at(merges, 7, 1).tolist() == [0] * 7 and len(set(fitting.clusters_at(merges, 7, 3))) == 3
+
+
+def test_shared_states(spark):
+    x = np.cumsum(np.random.default_rng(1).integers(0, 2, 4000)) % 16
+    rows = [("m", t, None if i % 50 == 0 else int(x[i - 1]), int(x[i]), 1) for t in (1, 2) for i in range(4000)]
+    counts = spark.createDataFrame(rows, "model string, tensor_id long, prev long, byte long, n long").groupBy("model", "tensor_id", "prev", "byte").agg(F.sum("n").alias("n"))
+    states = fitting.fit_shared(counts)
+    assert [(r.tensor_id, r.state_id) for r in states.orderBy("tensor_id").collect()] == [(1, 0), (2, 0)]
+    raw = x.astype(np.uint8).tobytes()
+    planes = spark.createDataFrame([(1, "a", "uint8", "SCALE_BLOCK", 50, raw), (3, "b", "uint8", "SCALE_BLOCK", 50, raw)], "tensor_id long, name string, dtype string, role string, row_len int, raw binary")
+    enc = select.encode(fitting.with_states(planes, states))
+    size = {r.name: (r["size"], r.planes[0].codec) for r in enc.collect()}
+    assert size["a"][0] < size["b"][0] and size["a"][1] == "order1_scale"  # the table is kept once, elsewhere
+    assert {r.name: bytes(r.raw) for r in select.decode(enc).collect()} == {"a": raw, "b": raw}
+    assert fitting.used_states(states, spark.createDataFrame([(0,)], "state_id int")).count() == 2
 
 
 @settings(max_examples=20, deadline=None)
@@ -33,7 +140,7 @@ def test_sequential_transforms(data):
     for b in (data, *EDGES):
         assert codecs.unbwt(*codecs.bwt(b)) == b
         assert codecs.unmove(codecs.move_to_front(b)) == b
-        assert codecs.huffman_size(np.bincount(np.frombuffer(b, np.uint8), minlength=256)) == len(codecs.huffman_encode(b))
+        assert codecs.predict_inverse(codecs.predict(b)) == b
         three = bytes(c & 7 for c in b)
         assert codecs.unpack_indices(codecs.pack_indices(three, 3), 3, len(three)) == three
     with pytest.raises(ValueError):
@@ -97,12 +204,151 @@ def test_predictor_matches_its_inverse(spark):
 
 
 def test_selection_ties_and_failures(spark):
+    schema = "tensor_id long, chain_id int, plane int, codec string, menu_pos int, size long, error string"
     rows = [(1, 0, 0, "a", 0, 5, None), (1, 0, 0, "b", 1, 5, None), (1, 0, 0, "c", 2, None, "x"), (1, 1, 0, "a", 0, 5, None)]
-    t = spark.createDataFrame(rows, "tensor_id long, chain_id int, plane int, codec string, menu_pos int, size long, error string")
+    t = spark.createDataFrame(rows, schema)
     best = select.best_trials(t)
     assert {(r.chain_id, r.codec) for r in best.collect()} == {(0, "a"), (1, "a")}
     assert select.best_chains(best).first().chain_id == 0
     assert {r.codec: r.delta for r in select.leave_one_out(t).collect()}["b"] == 0
+    # a chain with a failed plane is lost, however small the rest of it
+    t = spark.createDataFrame([(1, 0, 0, "a", 0, 5, None), (1, 0, 1, "a", 0, None, "x"), (1, 1, 0, "a", 0, 6, None)], schema)
+    assert [(r.chain_id, r.total) for r in select.best_chains(select.best_trials(t)).collect()] == [(1, 6)]
+    with pytest.raises(ValueError):
+        select.shapley(spark.createDataFrame([(1, 0, 0, f"c{i}", i, 5, None) for i in range(10)], schema))
+
+
+def test_nothing_is_lost(spark):
+    """Tensors that no chain or no codec fits are kept as they are; the argmin of encode is that of all trials."""
+    w = np.random.default_rng(4)
+    rows = [(1, "seven", "float32", bytes(7)), (2, "w", "float32", w.normal(size=3000).astype("<f4").tobytes()), (3, "i", "int32", np.arange(2000, dtype="<i4").tobytes()), (4, "none", "uint8", b"")]
+    df = spark.createDataFrame(rows, "tensor_id long, name string, dtype string, raw binary")
+    for menu in (None, ("adaptive1",), ("group_codebook", "zstd")):
+        enc = select.encode(df, menu)
+        assert {r.name: bytes(r.raw) for r in select.decode(enc).collect()} == {n: r for _, n, _, r in rows}
+    plan = select.encode(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    best = select.best_chains(select.best_trials(codecs.evaluate(chain.run_chains(df.where("tensor_id in (2, 3)")))))
+    assert {(r.tensor_id, r.total) for r in best.collect()} == {(r.tensor_id, r["size"]) for r in select.encode(df).where("tensor_id in (2, 3)").collect()}
+    bad = select.encode(df).withColumn("planes", F.transform("planes", lambda p: p.withField("crc", p.crc + 1)))
+    with pytest.raises(Exception, match="checksum"):
+        select.decode(bad).collect()
+    store = select.encode(df)
+    assert {r.name: bytes(r.raw) for r in select.decode(select.implode_planes(select.explode_planes(store))).collect()} == {n: r for _, n, _, r in rows}
+    with pytest.raises(Exception, match="missing plane"):
+        select.implode_planes(select.explode_planes(store).where("plane <> 0 or name <> 'w'")).collect()
+
+
+def test_graphs():
+    nodes = (("source", 0), ("reorder32", 0), ("byte_split", 4), ("predict", 0))
+    edges, ends = ((0, 0, 1, 0), (1, 0, 2, 0), (2, 3, 3, 0)), ((2, 0, "m"), (2, 1, "m"), (2, 2, "m"), (3, 0, "exponent"))
+    g = chain.Graph(nodes, edges, ends)
+    order = chain.validate(g, "float32", 64)
+    c = chain.linear(g, order)
+    raw = os.urandom(64)
+    assert order == [0, 1, 2, 3] and chain.inverse(c, "float32", chain.forward(c, "float32", raw), 64) == raw
+    for bad in (
+        chain.Graph(nodes, edges, ends[:-1]), chain.Graph(nodes, (*edges, (2, 3, 3, 0)), ends), chain.Graph(nodes[1:], edges, ends), chain.Graph(nodes, (*edges[:2], (3, 0, 2, 0)), ends), chain.Graph(nodes, edges, ()),
+        chain.Graph(nodes, ((0, 0, 1, 0), (1, 1, 2, 0), (2, 3, 3, 0)), ends), chain.Graph((*nodes[:2], ("byte_split", 2), nodes[3]), edges, ends), chain.Graph((("source", 0), ("source", 0)), ((0, 0, 1, 0),), ((1, 0, "m"),)),
+    ):
+        with pytest.raises(chain.ChainError):
+            chain.validate(bad, "float32", 64)
+    two = chain.Graph((("source", 0), ("nibble_split", 0), ("concat", 2)), ((0, 0, 1, 0), (1, 0, 2, 0), (1, 1, 2, 1)), ((2, 0, "m"),))
+    assert chain.forward(chain.linear(two, chain.validate(two, "uint8", 2)), "uint8", b"\x12\x34") == [b"\x01\x03\x02\x04"]
+
+
+def test_legal_chains():
+    S = chain.Step
+    assert chain.legal((S("reorder32"), S("byte_split", 0, 4)), "float32")
+    for bad in ((S("reorder32"), S("reorder32")), (S("reorder16"),), (S("nibble_split"), S("nibble_split", 1)), (S("xor_ref"),), (S("reshape", 0, 4),), (S("mxfp4_deinterleave"),), (S("passthrough"),) * 6, (S("passthrough", 3),)):
+        assert not chain.legal(bad, "float32")
+    assert chain.legal((S("reshape", 0, 4), S("xor_ref")), "float32", chain.Limits(cross_tensor=True, cross_plane=True))
+    found = list(chain.explore("bfloat16", chain.Limits(candidates=20)))
+    assert len(found) == len(set(found)) == 20 and all(chain.legal(c, "bfloat16") for c in found)
+    assert any([s.op for s in c[:2]] == ["reorder16", "byte_split"] for c in found) and not list(chain.explore("bfloat16", chain.Limits(candidates=0)))
+    union = chain.candidate_union("int32", cached=((S("byte_split", 0, 4), S("predict", 3)), (S("reorder32"),)), explored=True)
+    assert [o for o, _ in union[:3]] == ["production", "production", "cached"] and union[-1][0] == "explored"
+
+
+def test_floats_and_fits():
+    rng = np.random.default_rng(9)
+    for kind, size in (("float32", 4), ("float16", 2), ("bfloat16", 2)):
+        for raw in (rng.normal(size=96).astype("<f4").tobytes(), os.urandom(480), bytes(96), b""):
+            raw = raw[: len(raw) // 96 * 96]
+            for c in ((chain.Step("spherical", 0, 12),), (chain.Step("alpha_stable"),)):
+                assert chain.inverse(c, kind, chain.forward(c, kind, raw), len(raw)) == raw
+    # what is near the fit leaves a residual of few set bits
+    v = rng.normal(3, 2, 4096).astype("<f4").tobytes()
+    rest = np.frombuffer(chain.forward((chain.Step("alpha_stable"),), "float32", v)[2], "<u4")
+    assert np.median(np.unpackbits(rest.view(np.uint8)).reshape(-1, 32).sum(axis=1)) < 12
+
+
+def test_deltas(spark):
+    rows = [(0, "a", b"aaaa", None), (1, "b", b"abab", "a"), (2, "c", b"cbab", "b"), (3, "d", b"dbab", "c")]
+    df = spark.createDataFrame(rows, "tensor_id long, name string, raw binary, delta_ref string")
+    stored = deltas.against(df, df)
+    assert bytes(stored.where("name = 'b'").first().raw) == deltas.xor_bytes(b"abab", b"aaaa")
+    assert {r.name: bytes(r.raw) for r in deltas.resolve(stored).collect()} == {n: r for _, n, r, _ in rows}
+    with pytest.raises(ValueError):
+        deltas.xor_bytes(b"a", b"ab")
+    with pytest.raises(Exception, match="equal lengths"):
+        deltas.against(df.withColumn("raw", F.when(F.col("name") == "b", F.lit(b"x")).otherwise(F.col("raw"))), df).collect()
+    with pytest.raises(Exception, match="no reference"):
+        deltas.against(df.withColumn("delta_ref", F.lit("zz")), df).collect()
+    with pytest.raises(ValueError):
+        deltas.resolve(stored.where("name <> 'a'")).collect()
+    with pytest.raises(Exception, match="another reference"):
+        deltas.resolve(stored.withColumn("raw", F.when(F.col("name") == "a", F.lit(b"zzzz")).otherwise(F.col("raw")))).collect()
+    assert deltas.base_name(deltas.delta_name("w")) == "w"
+    a = spark.createDataFrame([(1, 5), (2, 6)], "k int, v long")
+    assert {r.x for r in cells.xor_delta(a, a, ["k"]).collect()} == {0}
+    with pytest.raises(Exception, match="equal places"):
+        cells.xor_delta(a, a.where("k = 1"), ["k"]).collect()
+
+
+def test_ranks(spark):
+    rows = [(i * i % 997, "abc"[i % 7 % 3] if i % 11 else None, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "o long, k string, n long").dropDuplicates(["o"])
+    got = {(r.o, r.k): r.start for r in ranks.index_offsets(df, ["k"], "o", F.col("n")).collect()}
+    at = {}
+    for r in sorted(df.collect(), key=lambda r: r.o):
+        assert got[r.o, r.k] == at.get(r.k, 0)
+        at[r.k] = at.get(r.k, 0) + r.n
+    assert ranks.index_offsets(df.limit(0), ["k"], "o", F.col("n")).count() == 0
+    with pytest.raises(ValueError):
+        ranks.allowed(df, df.limit(0), "k")
+
+
+def test_chain_cache(spark, tmp_path):
+    path, S = str(tmp_path / "c"), chain.Step
+    new = cache.entries(spark, [("float32", "STANDARD", 3, (S("reorder32"), S("byte_split", 0, 4))), ("float32", "STANDARD", 3, (S("reorder16"),))])
+    assert cache.load(spark, path).count() == 0 and cache.save(new, path) == 1 and cache.save(new, path) == 0  # what isn't legal stays out
+    assert cache.lookup(cache.load(spark, path), "float32", "STANDARD", 3) == [(S("reorder32"), S("byte_split", 0, 4))]
+    assert cache.info(cache.load(spark, path)).first().chains == 1
+    wins = spark.createDataFrame([("float32", "STANDARD", "reorder32@0:0>byte_split@0:4")] * 2, "dtype string, role string, chain string")
+    assert cache.promote(cache.load(spark, path), wins, 2).count() == 1 and cache.promote(cache.load(spark, path), wins, 3).count() == 0
+
+
+def test_extensions(spark):
+    r = extensions.Registry(deny={"no"})
+    r.add("transform", "flip", lambda b: bytes(255 - c for c in b), lambda b: bytes(255 - c for c in b))
+    r.add("scorer", "zeros", lambda b: float(b.count(0)))
+    r.add("scorer", "no", len)
+    assert r.names("scorer") == ["zeros"]
+    with pytest.raises(KeyError):
+        r.get("scorer", "no")
+    with pytest.raises(ValueError):
+        r.add("nonsense", "x")
+    with pytest.raises(ValueError):
+        r.add("transform", "flip")
+    df = spark.createDataFrame([(1, b"\x00\x01")], "k int, raw binary")
+    flipped = extensions.apply_bytes(df, "raw", r.get("transform", "flip").functions[0])
+    assert bytes(flipped.first().raw) == b"\xff\xfe" and extensions.score(df, "raw", r.get("scorer", "zeros").functions[0]).first().score == 1
+    xor = extensions.apply_bytes(df.withColumn("base", F.lit(b"\x01\x01")), "raw", deltas.xor_bytes, "base")
+    assert bytes(xor.first().raw) == b"\x01\x00"
+    r.add("plane_codec", "rev", lambda b: b[::-1], lambda b: b[::-1])
+    c = extensions.codec_of(r.get("plane_codec", "rev"))
+    assert c.opt_in and c.decode(c.encode(b"abc", codecs.Info()), codecs.Info()) == b"abc"
 
 
 def test_store(spark, tmp_path):
@@ -114,11 +360,44 @@ def test_store(spark, tmp_path):
     chunks = tensors.chunk(df, 5)
     assert {r.name: bytes(r.raw) for r in tensors.unchunk(chunks).collect()} == {n: r for n, _, _, r in made}
     path = str(tmp_path / "store")
-    tensors.write_store(select.encode(df), path)
+    plan = tensors.balanced(df.select("name", "nbytes"), 2)
+    assert {r.name: r.shard for r in plan.collect()}["a.weight"] == 0 and plan.where("shard = 1").count() >= 1
+    tensors.write_store(select.encode(df), path, plan=plan)
     store = tensors.read_store(spark, path)
-    assert {r.name: bytes(r.raw) for r in select.decode(store).collect()} == {n: r for n, _, _, r in made}
+    want = {n: r for n, _, _, r in made}
+    assert {r.name: bytes(r.raw) for r in select.decode(store).collect()} == want
     assert tensors.read_store(spark, path, ["b"]).select("name").distinct().count() == 1
+    with pytest.raises(KeyError):
+        tensors.read_store(spark, path, ["b", "zz"])
+    assert tensors.read_store(spark, path, ["b", "zz"], partial=True).count() == 1
     assert tensors.check_unique(store).count() == 0
+    with pytest.raises(ValueError):
+        tensors.union_shards(store, store.where("name = 'b'"))
+    tensors.write_store(select.encode(df.unionByName(df.where("name = 'b'"))), str(tmp_path / "twice"))
+    with pytest.raises(ValueError):
+        tensors.read_store(spark, str(tmp_path / "twice"))
+    put = select.encode(df.where("name = 'c'").withColumn("raw", F.lit(b"\x07")))
+    assert {r.name: bytes(r.raw) for r in select.decode(tensors.upsert(store.drop("shard"), put)).collect()} == want | {"c": b"\x07"}
+    s = tensors.TensorStore(spark, path)
+    assert s.keys() == sorted(want) and s.get_bytes("b") == want["b"] and s.get_array("a.weight").shape == (4, 8)
+    assert s.get_slice("a.weight", 3, 6) == want["a.weight"][12:24] and dict(s.stream(["c", "b"])) == {"c": want["c"], "b": want["b"]}
+    with pytest.raises(KeyError):
+        s.metadata("zz")
+    parts = select.encode(tensors.chunk(df, 16))
+    assert {r.name: bytes(r.raw) for r in tensors.unchunk(select.decode(parts)).collect()} == want
+    assert tensors.get_slice(select.decode(parts), "a.weight", 3, 9) == want["a.weight"][12:36]
+    assert tensors.detect_format(spark, path) == "store" and tensors.detect_format(spark, str(tmp_path)) == "tensor_files"
+    tensors.write_tars(df, str(tmp_path / "tar"), 2)
+    assert tensors.detect_format(spark, str(tmp_path / "tar")) == "shards"
+    assert {r.name: bytes(r.raw) for r in tensors.open_any(spark, str(tmp_path / "tar")).collect()} == want
+    (tmp_path / "files/sub").mkdir(parents=True)
+    (tmp_path / "files/sub/x.bin").write_bytes(b"one")
+    (tmp_path / "files/y").write_bytes(b"two")
+    blobs = tensors.read_opaque(spark, str(tmp_path / "files"))
+    tensors.write_opaque(select.decode(select.encode(blobs)), str(tmp_path / "again"))
+    assert (tmp_path / "again/sub/x.bin").read_bytes() == b"one" and (tmp_path / "again/y").read_bytes() == b"two"
+    assert tensors.canonical_json({"b": 1.0, "a": [None, True, "é\n"], "c": 1e21, "d": 1e-7, "e": 0.00001}) == '{"a":[null,true,"é\\n"],"b":1,"c":1e+21,"d":1e-7,"e":0.00001}'
+    assert tensors.name_hash(spark.createDataFrame([("",)], "name string")).first().name_hash == 0xEF46DB3751D8E999 - (1 << 64)
     with pytest.raises(ValueError):
         tensors.parse_file(struct.pack("<Q", 99) + b"{}")
 
@@ -138,8 +417,34 @@ def test_shards_and_roles(spark):
     assert [r.shard for r in got.where("model = 'm'").orderBy("write_seq").collect()] == [0, 0, 1, 1, 2]
     assert [r.shard for r in got.where("model = 'n'").orderBy("write_seq").collect()] == [0, 1]
     names = [("e.w_blocks", "uint8"), ("e.w_scales", "uint8"), ("q.weight", "uint8"), ("q.weight_scale", "float8_e4m3fn"), ("q.weight_scale_2", "float32"), ("z_scales", "uint8")]
-    got = {r.name: r.role for r in classify.classify(spark.createDataFrame(names, "name string, dtype string"), {"q.weight": "PACKED_VALUES"}).collect()}
+    df = spark.createDataFrame(names, "name string, dtype string")
+    got = {r.name: r.role for r in classify.classify(df, {"q.weight": "PACKED_VALUES"}).collect()}
     assert got == {"e.w_blocks": "PACKED_VALUES", "e.w_scales": "SCALE_BLOCK", "q.weight": "PACKED_VALUES", "q.weight_scale": "SCALE_BLOCK", "q.weight_scale_2": "SCALE_GLOBAL", "z_scales": "STANDARD"}
+    quant = '{"quantization": {"quant_algo": "NVFP4", "exclude_modules": ["lm_*"]}}'
+    more = df.unionByName(spark.createDataFrame([("lm_head.weight", "uint8"), ("lm_head.weight_scale", "uint8"), ("q.bias", "uint8")], "name string, dtype string"))
+    rows = classify.classify(more, ["e.*_blocks=STANDARD", "e.[xw]_s*=SCALE_GLOBAL"], '[[rule]]\npattern = "z_?cales"\nrole = "SCALE_BLOCK"\n', quant, heuristic=False)
+    got = {r.name: (r.role, r.role_source) for r in rows.collect()}
+    assert got["e.w_blocks"] == ("STANDARD", "flag") and got["e.w_scales"] == ("SCALE_GLOBAL", "flag") and got["z_scales"] == ("SCALE_BLOCK", "config")
+    assert got["q.weight"] == ("PACKED_VALUES", "quant_config") and got["q.weight_scale_2"] == ("SCALE_GLOBAL", "quant_config") and got["lm_head.weight"] == ("STANDARD", "default") == got["q.bias"]
+    assert classify.audit(rows).count() == 6
+    for bad in ("{}", '{"quantization": {}}', '{"quantization": {"quant_algo": "INT4"}}'):
+        with pytest.raises(ValueError):
+            classify.quant_rules(bad)
+    assert classify.quant_rules('{"quantization": {"quant_algo": "MXFP4"}}') == []
+    for bad in (["x"], ["x=NONE"]):
+        with pytest.raises(ValueError):
+            classify.explicit_rules(bad)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tensorloom.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/x.safetensors").write_bytes(tensors.write_file([{"name": "w", "dtype": "float32", "shape": [500], "raw": np.arange(500, dtype="<f4").tobytes()}]))
+    assert main(["encode", str(tmp_path / "in"), str(tmp_path / "store"), "--rule", "v*=SCALE_BLOCK", "--allow", "zstd", "--allow", "identity"]) == 0
+    assert main(["decode", str(tmp_path / "store"), str(tmp_path / "out")]) == 0 == main(["info", str(tmp_path / "store")]) == main(["bench", str(tmp_path / "in")]) == main(["chains", "float32"])
+    assert (tmp_path / "out/w").read_bytes() == np.arange(500, dtype="<f4").tobytes()
+    assert "zstd" in (said := capsys.readouterr().out) and "production reorder32" in said
 
 
 def test_entry_without_llm(spark):
