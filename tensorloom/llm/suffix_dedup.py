@@ -6,13 +6,16 @@ text of a smaller id.  The work goes in four steps, each a table of bounded rows
 1. pack: texts are gathered into batches of about 4 MB (a longer text stands alone), compressed.
 2. anchors: every `min_len`-byte window names its smallest hashed k-gram (its minimiser).  Neighbouring windows of one
    minimiser form a context; equal windows have equal minimisers, so they meet in the same bucket.  A batch sends a
-   context as ten bytes (minimiser, hash of the whole context) once, for its smallest id.  A bucket finds contexts
-   that are copies of an earlier text's, and contexts that share a minimiser with a different one.
-3. index: the latter go, as text, to their bucket.  There they are laid in one string, whose Burrows-Wheeler transform
-   is kept by runs with sampled run ends (`RunLengthIndex`).  The contexts stream through the index backwards and get
-   the length and place of their longest match at each byte; where that is `min_len` or more, the smallest text that
-   has the match decides.  Contexts of a minimiser with very many different contexts are dealt by single windows.
-4. mark: batches join what steps 2 and 3 say of them, and give spans and what remains of each text.
+   context as thirteen bytes (minimiser, hash of the whole context) once, for its smallest id.  A bucket finds the
+   minimisers that two texts share, and which of their contexts are copies of which; it removes nothing.
+3. index: each different context of a shared minimiser goes, as text, to its bucket; copies go as references to it.  There
+   the texts are laid in one string, whose Burrows-Wheeler transform is kept by runs with sampled run ends
+   (`RunLengthIndex`).  The texts stream through the index backwards, which gives the row of each byte's suffix; the run
+   ends give the place of the suffix one row above, and the bytes at both places say whether the match is `min_len` long.
+   Rows that match the row above stand together, and the smallest id among them is the least owner of their string.  A
+   window is marked where that is smaller than its own text's id, a copy's windows where it is smaller than the copy's.
+   Contexts of a minimiser with very many different contexts are dealt by single windows, and copies by their hash.
+4. mark: batches join what step 3 says of them, and give spans and what remains of each text.
 
 Null text: empty.  Null id: after all other ids, never earlier than another text.  Repeated ids: not earlier than each
 other.  Texts under `min_len` bytes and empty tables: nothing is removed.
@@ -30,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Rolling, ids_of, materialize, mix, partitions, release, slices, table, text_bytes, trim
+from .common import NULL_ID, Rolling, ids_of, materialize, mix, new_name, partitions, release, slices, table, text_bytes, trim
 
 MIN_LEN = 50
 GRAM = 24
@@ -126,6 +129,10 @@ def _unfive(x: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _eight(x: np.ndarray) -> bytes:
+    return x.astype("<u8").tobytes()
+
+
 def _anchor(n_buckets: int, min_len: int, k: int):
     """A batch's contexts: kind 0 says of each context how long it is and which bucket decides it; kind 1 goes there."""
 
@@ -139,25 +146,29 @@ def _anchor(n_buckets: int, min_len: int, k: int):
                     continue
                 doc = np.searchsorted(np.cumsum(lens), a, side="right")
                 did = ids[doc]
-                # a copy in this batch of a smaller id decides at once
+                # a batch sends a context for its smallest id; its copies here go by what is said of that one
                 o = np.lexsort((did, hr, hm))
                 first = np.ones(len(o), bool)
                 first[1:] = (hm[o][1:] != hm[o][:-1]) | (hr[o][1:] != hr[o][:-1])
-                least = np.empty_like(did)
-                least[o] = did[o][np.flatnonzero(first)][np.cumsum(first) - 1]
-                rep = did == least
-                bucket = ((hm >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
+                at, group = np.flatnonzero(first), np.cumsum(first) - 1
+                rep, copied, least = np.empty(len(o), bool), np.empty(len(o), bool), np.empty(len(o), np.int64)
+                rep[o] = did[o] == did[o][at][group]
+                copied[o] = (did[o][np.append(at[1:], len(o)) - 1] > did[o][at])[group]
+                least[o] = o[at][group]
+                bucket = ((hm >> np.uint64(32)) % np.uint64(INDEX_BUCKETS * n_buckets)).astype(np.int64)
                 state = (m.astype(np.uint8) | np.where(rep, 0, 128).astype(np.uint8)).tobytes()
-                own = _z(struct.pack("<q", len(a)) + state + bucket[rep].astype("<u4").tobytes())
+                own = _z(struct.pack("<q", len(a)) + state + bucket[rep].astype("<u4").tobytes() + least[~rep].astype("<u4").tobytes())
                 yield _rows([{"batch": row["batch"], "kind": 0, "bucket": row["batch"] % n_buckets, "payload": own}])
                 at = np.flatnonzero(rep)
+                bucket %= n_buckets
                 at = at[np.argsort(bucket[at], kind="stable")]
+                told = hr & ~np.uint64(1) | copied.astype(np.uint64)
                 cuts = np.searchsorted(bucket[at], np.arange(n_buckets + 1))
                 made = []
                 for x in np.flatnonzero(np.diff(cuts)):
                     mine = at[cuts[x] : cuts[x + 1]]
                     docs, count = np.unique(doc[mine], return_counts=True)  # in order of place, so grouped by text
-                    made.append({"batch": row["batch"], "kind": 1, "bucket": int(x), "payload": struct.pack("<ii", len(docs), len(mine)) + ids[docs].tobytes() + count.astype("<i4").tobytes() + _five(hm[mine]) + _five(hr[mine])})
+                    made.append({"batch": row["batch"], "kind": 1, "bucket": int(x), "payload": struct.pack("<ii", len(docs), len(mine)) + ids[docs].tobytes() + count.astype("<i4").tobytes() + _five(hm[mine]) + _eight(told[mine])})
                     if len(made) >= 64:
                         yield _rows(made)
                         made = []
@@ -168,8 +179,13 @@ def _anchor(n_buckets: int, min_len: int, k: int):
     return run
 
 
+#: What a bucket says of a context: of no other text; a copy; to be indexed; to be indexed by windows, as a whole too if it
+#: has copies; a copy of such a one.
+NONE, COPY, WHOLE, WINDOWS, BOTH, HOT_COPY = range(6)
+
+
 def _settle(hot: int):
-    """Per bucket: a code for each context sent.  1: a copy; 2: to be indexed; 3: to be indexed by single windows."""
+    """Per bucket: a code for each context sent."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, K, R, D = [], [], [], []
@@ -183,32 +199,37 @@ def _settle(hot: int):
                 at = 8 + 12 * nd
                 D.append(np.repeat(np.frombuffer(p, "<i8", nd, 8), np.frombuffer(p, "<i4", nd, 8 + 8 * nd)))
                 K.append(_unfive(p[at : at + 5 * n]))
-                R.append(_unfive(p[at + 5 * n :]))
+                R.append(np.frombuffer(p, "<u8", n, at + 5 * n))
                 src.append((row["batch"], row["bucket"], n))
         if not src:
             return
         K, R, D = np.concatenate(K), np.concatenate(R), np.concatenate(D)
         code = np.zeros(len(K), np.uint8)
+        copied = (R & np.uint64(1)).astype(bool)
         o = np.argsort(K)
         k = K[o]
-        same = np.zeros(len(k), bool)
-        same[1:] = k[1:] == k[:-1]
-        same[:-1] |= same[1:]
+        same = copied[o]
+        same[1:] |= k[1:] == k[:-1]
+        same[:-1] |= k[1:] == k[:-1]
         o = o[same]  # only minimisers that came twice
+        R >>= np.uint64(1)
         o = o[np.lexsort((D[o], R[o], K[o]))]
         if len(o):
-            k, r, d = K[o], R[o], D[o]
+            k, r, d, c = K[o], R[o], D[o], copied[o]
             newk = np.ones(len(o), bool)
             newk[1:] = k[1:] != k[:-1]
             newr = newk.copy()
             newr[1:] |= r[1:] != r[:-1]
             run_of, group = np.cumsum(newr) - 1, np.cumsum(newk) - 1
-            low = d[np.flatnonzero(newr)]
-            of = group[np.flatnonzero(newr)]
-            at = np.flatnonzero(newk[np.flatnonzero(newr)])
-            many, lo, hi = np.bincount(of), np.minimum.reduceat(low, at), np.maximum.reduceat(low, at)
-            part = np.where((many > 1) & (lo < hi), np.where(many > hot, 3, 2), 0)
-            code[o] = np.where(d > low[run_of], 1, part[group])
+            first, top = np.flatnonzero(newr), np.flatnonzero(newk)
+            low = d[first]
+            last = np.append(first[1:], len(o)) - 1
+            has = (d[last] > low) | np.logical_or.reduceat(c, first)  # a copy of a larger id
+            shared = (np.minimum.reduceat(d, top) < np.maximum.reduceat(d, top)) | np.logical_or.reduceat(c, top)
+            many = np.bincount(group[first])
+            of, is_hot = has[run_of], (many > hot)[group]
+            own = np.where(is_hot, np.where(of, BOTH, WINDOWS), WHOLE)
+            code[o] = np.where(shared[group], np.where(d > low[run_of], np.where(is_hot, HOT_COPY, COPY), own), NONE)
         at = 0
         for batch, bucket, n in src:
             yield _rows([{"batch": batch, "kind": 1, "bucket": bucket, "payload": _z(code[at : at + n].tobytes())}])
@@ -219,24 +240,28 @@ def _settle(hot: int):
     return run
 
 
-def _codes(parts: list[dict]):
-    """A batch's contexts again: windows, copies found within the batch, and the code of each."""
+def _codes(parts: list[dict], n_buckets: int):
+    """A batch's contexts again: windows, code and index bucket of each, and of its copies within the batch the context that
+    they copy (of others, itself)."""
     own = next((_unz(p["payload"]) for p in parts if p["kind"] == 0), None)
     if own is None:
         return None
     n = struct.unpack_from("<q", own)[0]
     state = np.frombuffer(own, np.uint8, n, 8)
     m, rep = (state & 127).astype(np.int64), state < 128
-    bucket = np.frombuffer(own, "<u4", -1, 8 + n)
-    code = np.ones(n, np.uint8)
     at = np.flatnonzero(rep)
-    order = at[np.argsort(bucket, kind="stable")]
-    cuts = np.sort(bucket)
+    bucket, of = np.zeros(n, np.int64), np.arange(n)
+    bucket[at] = np.frombuffer(own, "<u4", len(at), 8 + n)
+    of[~rep] = np.frombuffer(own, "<u4", -1, 8 + n + 4 * len(at))
+    code = np.zeros(n, np.uint8)
+    coarse = bucket[at] % n_buckets
+    order = at[np.argsort(coarse, kind="stable")]
+    cuts = np.sort(coarse)
     for p in parts:
         if p["kind"] == 1:
             lo, hi = np.searchsorted(cuts, [p["bucket"], p["bucket"] + 1])
             code[order[lo:hi]] = np.frombuffer(_unz(p["payload"]), np.uint8)
-    return m, code
+    return m, code, bucket, of
 
 
 def _places(lens: np.ndarray, m: np.ndarray, min_len: int) -> np.ndarray:
@@ -247,52 +272,51 @@ def _places(lens: np.ndarray, m: np.ndarray, min_len: int) -> np.ndarray:
     return first + (np.cumsum(lens - windows) - (lens - windows))[doc]
 
 
-def _send(n_buckets: int, min_len: int, k: int):
-    """Texts of the contexts that are to be indexed, one payload for each batch and bucket."""
+def _send(n_buckets: int, min_len: int):
+    """Texts of the contexts that are to be indexed and references of copies, one payload for each batch and bucket."""
+    fine = INDEX_BUCKETS * n_buckets
 
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                got = _codes(row["parts"] or [])
-                if got is None or not (got[1] > 1).any():
+                got = _codes(row["parts"] or [], n_buckets)
+                if got is None or not got[1].any():
                     continue
-                m, code = got
+                m, code, bucket, of = got
                 buf = np.frombuffer(_unz(row["text"]), np.uint8)
                 lens, ids = np.frombuffer(row["lens"], "<i8"), np.frombuffer(row["ids"], "<i8")
                 a = _places(lens, m, min_len)
-                at = np.flatnonzero(code == 2)
-                start, size, ordinal, off = a[at], m[at] + min_len - 1, at, np.zeros(len(at), np.int64)
-                one = np.flatnonzero(code == 3)
-                if len(one):  # window by window
-                    off1 = np.concatenate([np.arange(x) for x in m[one]])
-                    start = np.concatenate((start, np.repeat(a[one], m[one]) + off1))
-                    size = np.concatenate((size, np.full(len(off1), min_len)))
-                    ordinal, off = np.concatenate((ordinal, np.repeat(one, m[one]))), np.concatenate((off, off1))
+                copied = np.zeros(len(m), bool)
+                copied[of[of != np.arange(len(of))]] = True
+                sent = np.flatnonzero((code != NONE) & (code != WINDOWS))  # as wholes, or as copies of such
+                one = np.flatnonzero((code == WINDOWS) | (code == BOTH))
+                off = np.concatenate([np.arange(x) for x in m[one]]) if len(one) else np.zeros(0, np.int64)
+                start = np.concatenate((a[sent], np.repeat(a[one], m[one]) + off))
+                size = np.concatenate((m[sent] + min_len - 1, np.full(len(off), min_len)))
+                ordinal = np.concatenate((sent, np.repeat(one, m[one])))
+                off = np.concatenate((np.zeros(len(sent), np.int64), off))
+                ref = np.concatenate((np.isin(code[sent], (COPY, HOT_COPY)), np.zeros(len(off) - len(sent), bool)))
                 key = np.empty(len(start), np.uint64)
-                doc = np.searchsorted(np.cumsum(lens), start, side="right")
-                for c in range(0, len(buf), CHUNK):  # the bucket of a context is its minimiser's, of a window its own
+                for c in range(0, len(buf), CHUNK):
                     mine = np.flatnonzero((start >= c) & (start < c + CHUNK))
-                    if not len(mine):
-                        continue
-                    r = Rolling(buf[c : c + CHUNK + 4 * min_len])
-                    s = start[mine] - c
-                    whole = mine >= len(at)
-                    key[mine[whole]] = mix(r.raw(s[whole], s[whole] + min_len))
-                    if (~whole).any():
-                        v, s = r.grams(k), s[~whole]
-                        w = min_len - k + 1
-                        low = np.full(len(s), np.iinfo(np.uint64).max)
-                        for j in range(w):  # the first window holds the minimiser
-                            np.minimum(low, (v[s + j] & np.uint64(0xFFFFFFFFFF000000)) | np.uint64(j), out=low)
-                        key[mine[~whole]] = mix(v[s + (low & np.uint64(0xFFFFFF)).astype(np.int64)] * np.uint64(0x2545F4914F6CDD1D) + np.uint64(1))
-                bucket = ((key >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
-                o = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[o], np.arange(n_buckets + 1))
+                    if len(mine):
+                        s = start[mine] - c
+                        key[mine] = mix(Rolling(buf[c : c + CHUNK + 2 * min_len]).raw(s, s + size[mine]) + (size[mine] - min_len + 1).astype(np.uint64))
+                # a context's bucket is its minimiser's; of hot ones and of windows, that of their own hash
+                hashed = np.arange(len(start)) >= len(sent)
+                hashed[: len(sent)] = code[sent] >= BOTH
+                where = np.where(hashed, ((key >> np.uint64(32)) % np.uint64(fine)).astype(np.int64), bucket[ordinal])
+                key = key & ~np.uint64(1) | copied[ordinal].astype(np.uint64)
+                key[len(sent) :] = 0  # a window is no copy's text
+                doc = np.searchsorted(np.cumsum(lens), start, side="right")
+                o = np.lexsort((ref, where))
+                cuts = np.searchsorted(where[o], np.arange(fine + 1))
                 for x in np.flatnonzero(np.diff(cuts)):
                     q = o[cuts[x] : cuts[x + 1]]
-                    n = size[q]
-                    src = np.repeat(start[q] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    head = struct.pack("<i", len(q)) + ids[doc[q]].tobytes() + ordinal[q].astype("<i4").tobytes() + off[q].astype(np.uint8).tobytes() + n.astype(np.uint8).tobytes()
+                    t = q[~ref[q]]
+                    n = size[t]
+                    src = np.repeat(start[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    head = struct.pack("<ii", len(q), len(t)) + ids[doc[q]].tobytes() + ordinal[q].astype("<i4").tobytes() + _eight(key[q]) + off[t].astype(np.uint8).tobytes() + n.astype(np.uint8).tobytes()
                     yield _rows([{"batch": row["batch"], "kind": 2, "bucket": int(x), "payload": _z(head + buf[src].tobytes())}])
         trim()
 
@@ -302,15 +326,17 @@ def _send(n_buckets: int, min_len: int, k: int):
 class RunLengthIndex:
     """A run-compressed Burrows-Wheeler transform of many short texts, with sampled run ends.
 
-    Kept: the head and first row of each run, the number of each symbol before each of its runs, and the place in the
-    text of each run's last row (from which other places follow).  The suffix array is made only to build it.
+    Kept: the head and first row of each run, the number of each symbol before each of its runs, and of each run the place
+    of its first row and that of the last row of the run above (the run end), from which the place above any row follows.
+    Places count a terminator after each text.  The suffix array is made to build the index and then let go.
     """
 
     def __init__(self, buf: np.ndarray, lens: np.ndarray):
         n, ends = len(buf), np.cumsum(lens)
         self.buf, self.n, self.texts = buf, n, len(lens)
-        self.end_of = np.repeat(ends, lens)
-        left = self.end_of - np.arange(n)
+        self.text_of = np.repeat(np.arange(len(lens)), lens)
+        self.left = np.repeat(ends, lens) - np.arange(n)
+        left = self.left
         # rank by seven symbols (0: past the end), then double
         pad = np.concatenate((buf.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)))
         key = np.zeros(n, np.uint64)
@@ -324,6 +350,7 @@ class RunLengthIndex:
             h *= 2
         # row i < texts: the end of text i; then all suffixes, equal ones in order of place
         sa = np.argsort(rank, kind="stable")
+        del rank, key, pad
         begin = ends - lens
         prev = np.zeros(self.texts + n, np.int64)
         filled = lens > 0
@@ -331,7 +358,10 @@ class RunLengthIndex:
         first = np.zeros(n + 1, bool)
         first[begin] = True
         prev[self.texts :] = np.where(first[sa], 0, buf[sa - 1].astype(np.int64) + 1)
-        head = np.flatnonzero(np.append(True, prev[1:] != prev[:-1])) if len(prev) else np.zeros(0, np.int64)
+        # what comes before a text is no symbol: such rows are runs of their own
+        cut = np.ones(len(prev), bool)
+        cut[1:] = (prev[1:] != prev[:-1]) | (prev[1:] == 0)
+        head = np.flatnonzero(cut)
         self.run_row, self.run_sym = head, prev[head]
         run_len = np.diff(np.append(head, len(prev)))
         o = np.argsort(self.run_sym, kind="stable")  # runs by symbol, then by row
@@ -344,9 +374,9 @@ class RunLengthIndex:
         start = self.texts + np.cumsum(total[:257]) - total[:257] - total[0]
         self.lf_base = before - base[self.run_sym[o]] + start[self.run_sym[o]]  # LF of a run's first row
         self.rows = len(prev)
-        last = head + run_len - 1
-        self.sample = np.where(last < self.texts, ends[np.minimum(last, self.texts - 1)], sa[np.maximum(last - self.texts, 0)]) if len(prev) else head
-        self._sa = sa
+        place = np.concatenate((ends + np.arange(self.texts), sa + self.text_of[sa])) if len(prev) else head
+        self.first_place = place[head]
+        self.end_above = place[np.maximum(head - 1, 0)]
 
     def runs(self) -> int:
         return len(self.run_row)
@@ -381,10 +411,8 @@ class RunLengthIndex:
         row, out = np.arange(self.texts), np.zeros(self.n, np.int64)
         ends, left = np.cumsum(lens), lens.copy()
         at = np.flatnonzero(left > 0)
-        length = np.diff(np.append(self.run_row, self.rows))
         place = np.empty(len(self.run_row), np.int64)
         place[np.searchsorted(self.run_row, self.sorted_key % (self.rows + 1))] = np.arange(len(self.run_row))
-        del length
         while len(at):
             r = np.searchsorted(self.run_row, row[at], side="right") - 1
             row[at] = self.lf_base[place[r]] + row[at] - self.run_row[r]
@@ -394,57 +422,98 @@ class RunLengthIndex:
         return out
 
 
-def matches(buf: np.ndarray, lens: np.ndarray, owner: np.ndarray, min_len: int) -> np.ndarray:
-    """For each byte of the texts: does the min_len-byte string from it occur in a text of a smaller owner?"""
+    def places_above(self) -> np.ndarray:
+        """Of each byte's suffix, the place (without terminators) of the suffix one row above; n where that is no suffix.
+
+        Above two rows of one run lie rows that follow each other as they do, so the place above a place is that of the
+        nearest sampled one before it, moved on by as much."""
+        known = np.full(self.rows, -1, np.int64)
+        known[self.first_place] = np.arange(len(self.first_place))
+        at = np.maximum.accumulate(np.where(known >= 0, np.arange(self.rows), -1))
+        above = self.end_above[known[at]] + np.arange(self.rows) - at
+        back = np.full(self.rows, self.n, np.int64)  # from places with terminators to those without
+        mine = np.arange(self.n) + self.text_of
+        back[mine] = np.arange(self.n)
+        return back[above[mine]]
+
+
+def least_owners(buf: np.ndarray, lens: np.ndarray, owner: np.ndarray, min_len: int) -> np.ndarray:
+    """For each byte of the texts: the smallest owner of a text that the min_len-byte string from it occurs in (NULL_ID where
+    no such string begins)."""
     ix = RunLengthIndex(buf, lens)
-    row = ix.own_rows(lens) - ix.texts
-    left = ix.end_of - np.arange(ix.n)
-    # rows whose suffixes share min_len bytes with the row above stand in one group; its least owner decides
-    text_of = np.repeat(np.arange(len(lens)), lens)
-    sa = ix._sa
-    h = np.zeros(ix.n, np.uint64)
-    ok = left >= min_len
-    for c in range(0, ix.n, CHUNK):
-        i = np.flatnonzero(ok[c : c + CHUNK])
-        h[c + i] = Rolling(buf[c : c + CHUNK + min_len]).raw(i, i + min_len)
-    hs, oks = h[sa], ok[sa]
-    cut = np.ones(ix.n, bool)
-    cut[1:] = (hs[1:] != hs[:-1]) | ~oks[1:] | ~oks[:-1]
+    if not ix.n:
+        return np.zeros(0, np.int64)
+    row = ix.own_rows(lens)
+    above = ix.places_above()
+    # matching statistics, as far as they matter: is the match with the row above min_len bytes long?
+    left = np.append(ix.left, 0)
+    shared = np.flatnonzero((ix.left >= min_len) & (left[above] >= min_len))
+    if len(shared):
+        words = np.ndarray((max(ix.n - 7, 0),), "<u8", np.ascontiguousarray(buf).data, strides=(1,))
+        for j in (*range(0, min_len - 7, 8), min_len - 8):
+            shared = shared[words[shared + j] == words[above[shared] + j]]
+    cut = np.ones(ix.rows, bool)
+    cut[row[shared]] = False
+    own = np.full(ix.rows, NULL_ID, np.int64)
+    own[row] = owner[ix.text_of]
     group = np.cumsum(cut) - 1
-    least = np.minimum.reduceat(owner[text_of[sa]], np.flatnonzero(cut)) if ix.n else np.zeros(0, np.int64)
-    return ok & (least[group[row]] < owner[text_of]) if ix.n else ok
+    least = np.minimum.reduceat(own, np.flatnonzero(cut))[group]
+    return np.where(ix.left >= min_len, least[row], NULL_ID)
+
+
+def matches(buf: np.ndarray, lens: np.ndarray, owner: np.ndarray, min_len: int) -> np.ndarray:
+    """For each byte of the texts: does the min_len-byte string from it occur in a text of a smaller owner?"""
+    return least_owners(buf, lens, owner, min_len) < np.repeat(owner, lens)
 
 
 def _index(min_len: int):
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        src, parts = [], []
+        src, parts, refs = [], [], []
         for b in batches:
             for row in b.to_pylist():
                 p = _unz(row["payload"])
-                n = struct.unpack_from("<i", p)[0]
-                src.append((row["batch"], row["bucket"], n))
-                parts.append((np.frombuffer(p, "<i8", n, 4), np.frombuffer(p, "<i4", n, 4 + 8 * n), np.frombuffer(p, np.uint8, n, 4 + 12 * n), np.frombuffer(p, np.uint8, n, 4 + 13 * n).astype(np.int64), np.frombuffer(p, np.uint8, -1, 4 + 14 * n)))
-        owner, ordinal, off, lens, buf = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        hit = matches(buf, lens, owner, min_len)
+                n, t = struct.unpack_from("<ii", p)
+                ids, ordinal, key_ = np.frombuffer(p, "<i8", n, 8), np.frombuffer(p, "<i4", n, 8 + 8 * n), np.frombuffer(p, "<u8", n, 8 + 12 * n)
+                at = 8 + 20 * n
+                src.append((row["batch"], row["bucket"], t, n - t))
+                parts.append((ids[:t], ordinal[:t], key_[:t], np.frombuffer(p, np.uint8, t, at), np.frombuffer(p, np.uint8, t, at + t).astype(np.int64), np.frombuffer(p, np.uint8, -1, at + 2 * t)))
+                refs.append((ids[t:], ordinal[t:], key_[t:]))
+        owner, ordinal, named, off, lens, buf = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ref_owner, ref_ordinal, ref_key = (np.concatenate(x) for x in zip(*refs, strict=True))
+        del parts, refs
+        least = least_owners(buf, lens, owner, min_len)
         trim()
         begin = np.cumsum(lens) - lens
-        mask = np.zeros(len(lens), np.uint32)
-        for j in range(32):
-            on = lens >= min_len + j
-            mask[on] |= hit[begin[on] + j].astype(np.uint32) << np.uint32(j)
-        mask <<= off.astype(np.uint32)
-        at = 0
-        for batch, bucket, n in src:
-            keep = np.flatnonzero(mask[at : at + n])
-            if len(keep):
-                yield _rows([{"batch": batch, "kind": 2, "bucket": bucket, "payload": struct.pack("<i", len(keep)) + ordinal[at : at + n][keep].astype("<i4").tobytes() + mask[at : at + n][keep].astype("<u4").tobytes()}])
-            at += n
+
+        def masks(text: np.ndarray, of: np.ndarray) -> np.ndarray:
+            """A bit for each window of the texts whose least owner is smaller than `of`."""
+            out = np.zeros(len(text), np.uint32)
+            for j in range(32):
+                on = np.flatnonzero(lens[text] >= min_len + j)
+                out[on] |= (least[begin[text[on]] + j] < of[on]).astype(np.uint32) << np.uint32(j)
+            return out
+
+        mask = masks(np.arange(len(lens)), owner) << off.astype(np.uint32)
+        answered = (mask > 0) | (named & np.uint64(1) > 0)  # the copies within its batch wait for it
+        o = np.argsort(named & ~np.uint64(1), kind="stable")
+        sorted_ = (named & ~np.uint64(1))[o]
+        want = ref_key & ~np.uint64(1)
+        at = np.minimum(np.searchsorted(sorted_, want), max(len(o) - 1, 0))
+        ref_mask = np.zeros(len(want), np.uint32)
+        found = np.flatnonzero(sorted_[at] == want) if len(o) else np.zeros(0, np.int64)
+        ref_mask[found] = masks(o[at[found]], ref_owner[found])
+        i = j = 0
+        for batch, bucket, t, r in src:
+            keep, kept = i + np.flatnonzero(answered[i : i + t]), j + np.flatnonzero(ref_mask[j : j + r])
+            if len(keep) or len(kept):
+                who, what = np.concatenate((ordinal[keep], ref_ordinal[kept])), np.concatenate((mask[keep], ref_mask[kept]))
+                yield _rows([{"batch": batch, "kind": 2, "bucket": bucket, "payload": struct.pack("<i", len(who)) + who.astype("<i4").tobytes() + what.astype("<u4").tobytes()}])
+            i, j = i + t, j + r
 
     return run
 
 
-def _mark(min_len: int, schema: pa.Schema):
+def _mark(n_buckets: int, min_len: int, schema: pa.Schema, names: tuple[str, str, str]):
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
@@ -453,19 +522,22 @@ def _mark(min_len: int, schema: pa.Schema):
                 lens = np.frombuffer(row["lens"], "<i8")
                 n = len(buf)
                 hit = np.zeros(n + 1, np.int32)  # windows found, by first byte
-                got = _codes(row["parts"] or [])
+                got = _codes(row["parts"] or [], n_buckets)
                 if got is not None:
-                    m, code = got
+                    m, _, _, of = got
                     a = _places(lens, m, min_len)
-                    on = np.flatnonzero(code == 1)
-                    w = np.repeat(a[on], m[on]) + (np.arange(m[on].sum()) - np.repeat(np.cumsum(m[on]) - m[on], m[on]))
-                    hit[w] = 1
+                    answered = np.zeros(len(m), bool)
                     for p in row["parts"]:
                         if p["kind"] == 2:
                             k = struct.unpack_from("<i", p["payload"])[0]
                             o, mask = np.frombuffer(p["payload"], "<i4", k, 4), np.frombuffer(p["payload"], "<u4", k, 4 + 4 * k)
+                            answered[o] = True
                             for j in range(32):
                                 hit[a[o[(mask >> np.uint32(j)) & 1 == 1]] + j] = 1
+                    # copies within the batch are of larger ids than the context that the index found
+                    on = np.flatnonzero((of != np.arange(len(of))) & answered[of])
+                    w = np.repeat(a[on], m[on]) + (np.arange(m[on].sum()) - np.repeat(np.cumsum(m[on]) - m[on], m[on]))
+                    hit[w] = 1
                 w = np.flatnonzero(hit)
                 cover = np.zeros(n + 1, np.int32)
                 cover[w] += 1
@@ -491,21 +563,21 @@ def _mark(min_len: int, schema: pa.Schema):
                     kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
                 carry = pa.ipc.open_stream(_unz(row["carry"])).read_all()
                 cols = [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in carry.columns]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(lens, pa.int64()), pa.array(spans, schema.field("spans").type), pa.array(kept, pa.binary())], names=[*carry.schema.names, "n_bytes", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(lens, pa.int64()), pa.array(spans, schema.field("spans").type), pa.array(kept, pa.binary())], names=[*carry.schema.names, *names])
         trim()
 
     return run
 
 
-def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, carry: list[str] | None = None) -> DataFrame:
+def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, carry: list[str] | None = None, names: tuple[str, str, str] = ("n_bytes", "spans", "kept")) -> DataFrame:
     """The id and carried columns, and n_bytes long, spans array<struct<start, stop>> (bytes removed), kept binary.
 
-    carry: other columns to hand through; they must not be named n_bytes, spans or kept."""
+    carry: other columns to hand through, of other names than the results; names: of the results."""
     if not GRAM < min_len <= GRAM + 32:
         raise ValueError(f"min_len must be from {GRAM + 1} to {GRAM + 32}")
     spark = df.sparkSession
     kept = [id_col, *(carry or [])]
-    if clash := {"n_bytes", "spans", "kept"} & set(kept):
+    if clash := set(names) & set(kept):
         raise ValueError(f"carried columns clash with results: {sorted(clash)}")
     packed = materialize(df.select(*dict.fromkeys([*kept, text_col])).mapInArrow(_pack(id_col, text_col, kept), _PACKED), "packed")
     total = packed.agg(F.sum("nbytes")).first()[0] or 0
@@ -517,12 +589,12 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         told = parts.groupBy("batch").agg(F.collect_list(F.struct("kind", "bucket", "payload")).alias("parts"))
         return packed.select("batch", "lens", "text", *columns).join(told, "batch", "left")
 
-    texts = with_parts(codes, "ids").mapInArrow(_send(INDEX_BUCKETS * n_buckets, min_len, GRAM), _PART)
+    texts = with_parts(codes, "ids").mapInArrow(_send(n_buckets, min_len), _PART)
     found = materialize(texts.groupBy("bucket").applyInArrow(_index(min_len), _PART), "found")
     fields = [df.schema[c] for c in kept]
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_bytes long", "spans array<struct<start:long,stop:long>>", "kept binary"])
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{names[0]}` long", f"`{names[1]}` array<struct<start:long,stop:long>>", f"`{names[2]}` binary"])
     span = pa.schema([("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
-    return with_parts(codes.unionByName(found), "carry").mapInArrow(_mark(min_len, span), out)
+    return with_parts(codes.unionByName(found), "carry").mapInArrow(_mark(n_buckets, min_len, span, names), out)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -531,12 +603,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A pipeline stage: repeated passages go; n_chars follows the text."""
+    """A pipeline stage: repeated passages go; n_chars follows the text.  Null texts stay null, other columns as they are."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    got = dedup_substrings(docs, carry=others)
-    text = F.col("kept").cast("string")  # a span may end within a character: what is left of it goes too
+    n, spans, kept, null = (new_name(docs, c) for c in ("n_bytes", "spans", "kept", "no_text"))
+    got = dedup_substrings(docs.withColumn(null, F.col("text").isNull()), carry=[*others, null], names=(n, spans, kept))
+    text = F.col(kept).cast("string")  # a span may end within a character: what is left of it goes too
     text = F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
-    return got.withColumn("text", text).select(*[(F.char_length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns])
+    text = F.when(~F.col(null), text)
+    if "n_chars" in docs.columns:
+        got = got.withColumn("n_chars", F.when(F.col(null), F.col("n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType))
+    return got.withColumn("text", text).select(*docs.columns)
 
 
 __all__ = ["NULL_ID", "RunLengthIndex", "dedup_stage", "dedup_substrings", "matches", "op1", "release"]

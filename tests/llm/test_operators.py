@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with nulls, repeats, empty and long texts."""
 
 import collections
+import collections.abc
 import hashlib
 import itertools
 import os
@@ -76,6 +77,82 @@ def test_hot_contexts(spark, docs, monkeypatch):
     test_suffix_dedup(spark, docs)
 
 
+def _least_owner_brute(texts, owner, n):
+    of = {}
+    for t, o in zip(texts, owner, strict=True):
+        for j in range(len(t) - n + 1):
+            of[t[j : j + n]] = min(of.get(t[j : j + n], 1 << 62), o)
+    return [of[t[j : j + n]] if j + n <= len(t) else suffix_dedup.NULL_ID for t in texts for j in range(len(t))]
+
+
+def test_least_owners():
+    rng = random.Random(1)
+    for n in (25, 26, 33, 50):
+        for _ in range(6):
+            base = "".join(rng.choice("ab") for _ in range(400)).encode()
+            texts = [base[(x := rng.randrange(300)) : x + rng.randrange(120)] for _ in range(60)] + [b"", b"a" * 80, b"a" * 90]
+            owner = [rng.randrange(40) for _ in texts]
+            lens = np.array([len(t) for t in texts])
+            got = suffix_dedup.least_owners(np.frombuffer(b"".join(texts), np.uint8), lens, np.array(owner), n)
+            assert got.tolist() == _least_owner_brute(texts, owner, n)
+    ix = suffix_dedup.RunLengthIndex(np.frombuffer(b"abcabcabc" * 20, np.uint8), np.full(20, 9))
+    assert len(ix.first_place) < ix.rows / 3  # places are sampled
+    assert suffix_dedup.least_owners(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), 50).tolist() == []
+
+
+@pytest.mark.parametrize("hot", [1, 2048])
+def test_suffix_dedup_random(spark, monkeypatch, hot):
+    """Passages that overlap, repeat within and across texts, batches and buckets."""
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
+    rng = random.Random(hot)
+    passages = ["".join(rng.choice("ab ") for _ in range(rng.randrange(40, 200))) for _ in range(12)]
+    rows = []
+    for i in range(150):
+        t = "".join((p := rng.choice(passages))[(x := rng.randrange(len(p) // 2)) : x + rng.randrange(30, 160)] if rng.random() < 0.7 else words(rng, 6) for _ in range(rng.randrange(0, 7)))
+        rows.append((i if i % 17 else None, t if i % 29 else None))
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(13)
+    big = 1 << 62
+    texts = [(big if i is None else i, (t or "").encode()) for i, t in rows]
+    first = {}
+    for i, t in texts:
+        for j in range(len(t) - 49):
+            first[t[j : j + 50]] = min(first.get(t[j : j + 50], big), i)
+    want = collections.Counter()
+    for i, t in texts:
+        gone = bytearray(len(t))
+        for j in range(len(t) - 49):
+            if first[t[j : j + 50]] < i:
+                gone[j : j + 50] = b"\1" * 50
+        want[None if i == big else i, tuple(m.span() for m in re.finditer(b"\1+", bytes(gone)))] += 1
+    got = collections.Counter((r.doc_id, tuple((s.start, s.stop) for s in r.spans)) for r in suffix_dedup.dedup_substrings(df).collect())
+    assert got == want and sum(bool(s) for _, s in want) > 50
+
+
+def test_suffix_dedup_needs_the_index(spark, docs, monkeypatch):
+    """Without what the index says, nothing is removed."""
+    def nothing(min_len):
+        def run(key: tuple[pa.Scalar, ...], batches: collections.abc.Iterator[pa.RecordBatch]) -> collections.abc.Iterator[pa.RecordBatch]:
+            for _ in batches:
+                pass
+            yield from ()
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_index", nothing)
+    assert not any(r.spans for r in suffix_dedup.dedup_substrings(spark.createDataFrame(docs, SCHEMA)).collect())
+
+
+def test_dedup_stage(spark):
+    passage = "äb" * 40
+    rows = [(1, "x " + passage, 82, "a", 1), (2, passage + " y", 82, "b", 2), (3, None, 7, "c", 3), (4, "", 0, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string, kept int").withColumn("n_bytes", F.lit("z"))
+    got = suffix_dedup.dedup_stage(spark, df, "")
+    assert got.columns == df.columns
+    assert {(r.doc_id, r.text, r.n_chars, r.spans, r.kept, r.n_bytes) for r in got.collect()} == {(1, "x " + passage, 82, "a", 1, "z"), (2, " y", 2, "b", 2, "z"), (3, None, 7, "c", 3, "z"), (4, "", 0, None, None, "z")}
+    assert suffix_dedup.dedup_stage(spark, df.limit(0), "").count() == 0
+
+
 def test_near_duplicates(spark, docs):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
