@@ -6,10 +6,11 @@ text of a smaller id.  The work goes in four steps, each a table of bounded rows
 1. pack: texts are gathered into batches of about 4 MB (a longer text stands alone), compressed.
 2. anchors: every `min_len`-byte window names its smallest hashed k-gram (its minimiser).  Neighbouring windows of one
    minimiser form a context; equal windows have equal minimisers, so they meet in the same bucket.  A batch sends a
-   context as thirteen bytes (minimiser, hash of the whole context) once, for its smallest id.  A bucket finds the
-   minimisers that two texts share, and which of their contexts are copies of which; it removes nothing.
-3. index: each different context of a shared minimiser goes, as text, to its bucket; copies go as references to it.  There
-   the texts are laid in one string, whose Burrows-Wheeler transform is kept by runs with sampled run ends
+   context as thirteen bytes (minimiser, hash of the whole context; 103 bits) once, for its smallest id.  A bucket finds
+   contexts that are copies of a smaller id's, which this settles, and the minimisers that different contexts of two texts
+   share.  With `verify` it settles nothing: copies go through the index, too.
+3. index: each different context of a shared minimiser goes, as text, to its bucket (copies, with `verify`, as references to
+   it).  There the texts are laid in one string, whose Burrows-Wheeler transform is kept by runs with sampled run ends
    (`RunLengthIndex`).  The texts stream through the index backwards, which gives the row of each byte's suffix; the run
    ends give the place of the suffix one row above, and the bytes at both places say whether the match is `min_len` long.
    Rows that match the row above stand together, and the smallest id among them is the least owner of their string.  A
@@ -179,12 +180,12 @@ def _anchor(n_buckets: int, min_len: int, k: int):
     return run
 
 
-#: What a bucket says of a context: of no other text; a copy; to be indexed; to be indexed by windows, as a whole too if it
-#: has copies; a copy of such a one.
-NONE, COPY, WHOLE, WINDOWS, BOTH, HOT_COPY = range(6)
+#: What a bucket says of a context: of no other text; a copy, to be looked up; to be indexed; to be indexed by windows, as a
+#: whole too if it has copies; a copy of such a one; a copy that its hash settles.
+NONE, COPY, WHOLE, WINDOWS, BOTH, HOT_COPY, SETTLED = range(7)
 
 
-def _settle(hot: int):
+def _settle(hot: int, verify: bool):
     """Per bucket: a code for each context sent."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,8 +229,13 @@ def _settle(hot: int):
             shared = (np.minimum.reduceat(d, top) < np.maximum.reduceat(d, top)) | np.logical_or.reduceat(c, top)
             many = np.bincount(group[first])
             of, is_hot = has[run_of], (many > hot)[group]
-            own = np.where(is_hot, np.where(of, BOTH, WINDOWS), WHOLE)
-            code[o] = np.where(shared[group], np.where(d > low[run_of], np.where(is_hot, HOT_COPY, COPY), own), NONE)
+            if verify:
+                own = np.where(is_hot, np.where(of, BOTH, WINDOWS), WHOLE)
+                code[o] = np.where(shared[group], np.where(d > low[run_of], np.where(is_hot, HOT_COPY, COPY), own), NONE)
+            else:  # only contexts that differ from another text's are open
+                heads = np.flatnonzero(newk[first])
+                open_ = (many > 1) & (np.minimum.reduceat(low, heads) < np.maximum.reduceat(low, heads))
+                code[o] = np.where(d > low[run_of], SETTLED, np.where(open_[group], np.where(is_hot, WINDOWS, WHOLE), NONE))
         at = 0
         for batch, bucket, n in src:
             yield _rows([{"batch": batch, "kind": 1, "bucket": bucket, "payload": _z(code[at : at + n].tobytes())}])
@@ -280,7 +286,7 @@ def _send(n_buckets: int, min_len: int):
         for b in batches:
             for row in b.to_pylist():
                 got = _codes(row["parts"] or [], n_buckets)
-                if got is None or not got[1].any():
+                if got is None or not ((got[1] != NONE) & (got[1] != SETTLED)).any():
                     continue
                 m, code, bucket, of = got
                 buf = np.frombuffer(_unz(row["text"]), np.uint8)
@@ -288,7 +294,7 @@ def _send(n_buckets: int, min_len: int):
                 a = _places(lens, m, min_len)
                 copied = np.zeros(len(m), bool)
                 copied[of[of != np.arange(len(of))]] = True
-                sent = np.flatnonzero((code != NONE) & (code != WINDOWS))  # as wholes, or as copies of such
+                sent = np.flatnonzero((code != NONE) & (code != WINDOWS) & (code != SETTLED))  # as wholes, or as copies of such
                 one = np.flatnonzero((code == WINDOWS) | (code == BOTH))
                 off = np.concatenate([np.arange(x) for x in m[one]]) if len(one) else np.zeros(0, np.int64)
                 start = np.concatenate((a[sent], np.repeat(a[one], m[one]) + off))
@@ -304,7 +310,7 @@ def _send(n_buckets: int, min_len: int):
                         key[mine] = mix(Rolling(buf[c : c + CHUNK + 2 * min_len]).raw(s, s + size[mine]) + (size[mine] - min_len + 1).astype(np.uint64))
                 # a context's bucket is its minimiser's; of hot ones and of windows, that of their own hash
                 hashed = np.arange(len(start)) >= len(sent)
-                hashed[: len(sent)] = code[sent] >= BOTH
+                hashed[: len(sent)] = np.isin(code[sent], (BOTH, HOT_COPY))
                 where = np.where(hashed, ((key >> np.uint64(32)) % np.uint64(fine)).astype(np.int64), bucket[ordinal])
                 key = key & ~np.uint64(1) | copied[ordinal].astype(np.uint64)
                 key[len(sent) :] = 0  # a window is no copy's text
@@ -337,12 +343,16 @@ class RunLengthIndex:
         self.text_of = np.repeat(np.arange(len(lens)), lens)
         self.left = np.repeat(ends, lens) - np.arange(n)
         left = self.left
-        # rank by seven symbols (0: past the end), then double
-        pad = np.concatenate((buf.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)))
-        key = np.zeros(n, np.uint64)
-        for j in range(7):
-            key = key * np.uint64(257) + np.where(left > j, pad[j : j + n], 0).astype(np.uint64)
-        most, h = int(lens.max()) if len(lens) else 0, 7
+        # rank by as many symbols (0: past the end) as 63 bits hold, then double
+        used = np.zeros(256, bool)
+        used[buf] = True
+        base = int(used.sum()) + 1
+        h = max(k for k in range(1, 22) if base**k < 1 << 63)
+        pad = np.concatenate((np.cumsum(used)[buf].astype(np.int64), np.zeros(h, np.int64)))
+        key = np.zeros(n, np.int64)
+        for j in range(h):
+            key = key * base + np.where(left > j, pad[j : j + n], 0)
+        most = int(lens.max()) if len(lens) else 0
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
         while h < most:
             nxt = np.where(left > h, rank[np.minimum(np.arange(n) + h, n - 1)], 0)
@@ -408,20 +418,21 @@ class RunLengthIndex:
         """Row of each byte's suffix: every text of the index streams through it backwards, all in step.
 
         A text of the index matches itself to its end, so each step is one LF step from the row before it."""
-        row, out = np.arange(self.texts), np.zeros(self.n, np.int64)
-        ends, left = np.cumsum(lens), lens.copy()
-        at = np.flatnonzero(left > 0)
         place = np.empty(len(self.run_row), np.int64)
         place[np.searchsorted(self.run_row, self.sorted_key % (self.rows + 1))] = np.arange(len(self.run_row))
-        while len(at):
-            r = np.searchsorted(self.run_row, row[at], side="right") - 1
-            row[at] = self.lf_base[place[r]] + row[at] - self.run_row[r]
-            left[at] -= 1
-            out[ends[at] - lens[at] + left[at]] = row[at]
-            at = at[left[at] > 0]
+        # LF of every row from its run: rows of a run follow each other
+        size = np.diff(np.append(self.run_row, self.rows))
+        lf = np.arange(self.rows) + np.repeat(self.lf_base[place] - self.run_row, size)
+        row, out = np.arange(self.texts), np.zeros(self.n, np.int64)
+        order = np.argsort(-lens, kind="stable")  # the longest first: the texts that still run are a prefix
+        ends, row = np.cumsum(lens)[order], row[order]
+        by_size = -lens[order]
+        for j in range(int(lens.max()) if len(lens) else 0):
+            n = int(np.searchsorted(by_size, -j))
+            row[:n] = lf[row[:n]]
+            out[ends[:n] - 1 - j] = row[:n]
         return out
 
-
     def places_above(self) -> np.ndarray:
         """Of each byte's suffix, the place (without terminators) of the suffix one row above; n where that is no suffix.
 
@@ -513,7 +524,7 @@ def _index(min_len: int):
     return run
 
 
-def _mark(n_buckets: int, min_len: int, schema: pa.Schema, names: tuple[str, str, str]):
+def _mark(n_buckets: int, min_len: int, schema: pa.Schema, names: tuple[str, str, str], verify: bool):
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
@@ -524,7 +535,7 @@ def _mark(n_buckets: int, min_len: int, schema: pa.Schema, names: tuple[str, str
                 hit = np.zeros(n + 1, np.int32)  # windows found, by first byte
                 got = _codes(row["parts"] or [], n_buckets)
                 if got is not None:
-                    m, _, _, of = got
+                    m, code, _, of = got
                     a = _places(lens, m, min_len)
                     answered = np.zeros(len(m), bool)
                     for p in row["parts"]:
@@ -535,7 +546,7 @@ def _mark(n_buckets: int, min_len: int, schema: pa.Schema, names: tuple[str, str
                             for j in range(32):
                                 hit[a[o[(mask >> np.uint32(j)) & 1 == 1]] + j] = 1
                     # copies within the batch are of larger ids than the context that the index found
-                    on = np.flatnonzero((of != np.arange(len(of))) & answered[of])
+                    on = np.flatnonzero((of != np.arange(len(of))) & (answered[of] | (not verify)) | (code == SETTLED))
                     w = np.repeat(a[on], m[on]) + (np.arange(m[on].sum()) - np.repeat(np.cumsum(m[on]) - m[on], m[on]))
                     hit[w] = 1
                 w = np.flatnonzero(hit)
@@ -569,10 +580,11 @@ def _mark(n_buckets: int, min_len: int, schema: pa.Schema, names: tuple[str, str
     return run
 
 
-def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, carry: list[str] | None = None, names: tuple[str, str, str] = ("n_bytes", "spans", "kept")) -> DataFrame:
+def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, carry: list[str] | None = None, names: tuple[str, str, str] = ("n_bytes", "spans", "kept"), verify: bool = False) -> DataFrame:
     """The id and carried columns, and n_bytes long, spans array<struct<start, stop>> (bytes removed), kept binary.
 
-    carry: other columns to hand through, of other names than the results; names: of the results."""
+    carry: other columns to hand through, of other names than the results; names: of the results; verify: send copies of
+    whole contexts through the index, too."""
     if not GRAM < min_len <= GRAM + 32:
         raise ValueError(f"min_len must be from {GRAM + 1} to {GRAM + 32}")
     spark = df.sparkSession
@@ -583,7 +595,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = packed.agg(F.sum("nbytes")).first()[0] or 0
     n_buckets = max(partitions(spark), -(-total // BUCKET_BYTES))
     sent = packed.select("batch", "ids", "lens", "text").mapInArrow(_anchor(n_buckets, min_len, GRAM), _PART)
-    codes = materialize(sent.groupBy("bucket").applyInArrow(_settle(HOT_CONTEXTS), _PART), "codes")
+    codes = materialize(sent.groupBy("bucket").applyInArrow(_settle(HOT_CONTEXTS, verify), _PART), "codes")
 
     def with_parts(parts: DataFrame, *columns: str) -> DataFrame:
         told = parts.groupBy("batch").agg(F.collect_list(F.struct("kind", "bucket", "payload")).alias("parts"))
@@ -594,7 +606,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fields = [df.schema[c] for c in kept]
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{names[0]}` long", f"`{names[1]}` array<struct<start:long,stop:long>>", f"`{names[2]}` binary"])
     span = pa.schema([("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
-    return with_parts(codes.unionByName(found), "carry").mapInArrow(_mark(n_buckets, min_len, span, names), out)
+    return with_parts(codes.unionByName(found), "carry").mapInArrow(_mark(n_buckets, min_len, span, names, verify), out)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

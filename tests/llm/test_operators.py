@@ -100,8 +100,9 @@ def test_least_owners():
     assert suffix_dedup.least_owners(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), 50).tolist() == []
 
 
+@pytest.mark.parametrize("verify", [False, True])
 @pytest.mark.parametrize("hot", [1, 2048])
-def test_suffix_dedup_random(spark, monkeypatch, hot):
+def test_suffix_dedup_random(spark, monkeypatch, hot, verify):
     """Passages that overlap, repeat within and across texts, batches and buckets."""
     monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
     rng = random.Random(hot)
@@ -125,12 +126,14 @@ def test_suffix_dedup_random(spark, monkeypatch, hot):
             if first[t[j : j + 50]] < i:
                 gone[j : j + 50] = b"\1" * 50
         want[None if i == big else i, tuple(m.span() for m in re.finditer(b"\1+", bytes(gone)))] += 1
-    got = collections.Counter((r.doc_id, tuple((s.start, s.stop) for s in r.spans)) for r in suffix_dedup.dedup_substrings(df).collect())
+    got = collections.Counter((r.doc_id, tuple((s.start, s.stop) for s in r.spans)) for r in suffix_dedup.dedup_substrings(df, verify=verify).collect())
     assert got == want and sum(bool(s) for _, s in want) > 50
 
 
 def test_suffix_dedup_needs_the_index(spark, docs, monkeypatch):
-    """Without what the index says, nothing is removed."""
+    """Without what the index says, windows are left; and with verify, all of them."""
+    df = spark.createDataFrame(docs, SCHEMA)
+    whole = sum(s.stop - s.start for r in suffix_dedup.dedup_substrings(df).collect() for s in r.spans)
     def nothing(min_len):
         def run(key: tuple[pa.Scalar, ...], batches: collections.abc.Iterator[pa.RecordBatch]) -> collections.abc.Iterator[pa.RecordBatch]:
             for _ in batches:
@@ -140,7 +143,8 @@ def test_suffix_dedup_needs_the_index(spark, docs, monkeypatch):
         return run
 
     monkeypatch.setattr(suffix_dedup, "_index", nothing)
-    assert not any(r.spans for r in suffix_dedup.dedup_substrings(spark.createDataFrame(docs, SCHEMA)).collect())
+    assert sum(s.stop - s.start for r in suffix_dedup.dedup_substrings(df).collect() for s in r.spans) < whole
+    assert not any(r.spans for r in suffix_dedup.dedup_substrings(df, verify=True).collect())
 
 
 def test_dedup_stage(spark):
