@@ -39,9 +39,9 @@ from .common import NULL_ID, Rolling, ids_of, materialize, mix, new_name, partit
 MIN_LEN = 50
 GRAM = 24
 BATCH_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Buckets of the index to one of the contexts: an index takes about a hundred bytes of memory a byte of text.
-INDEX_BUCKETS = 6
+INDEX_BUCKETS = 4
 CHUNK = 1 << 17
 #: A minimiser with more different contexts than this is dealt by single windows.
 HOT_CONTEXTS = 2048
@@ -204,19 +204,23 @@ def _settle(hot: int, verify: bool):
                 src.append((row["batch"], row["bucket"], n))
         if not src:
             return
-        K, R, D = np.concatenate(K), np.concatenate(R), np.concatenate(D)
+        K = np.concatenate(K)
+        R = np.concatenate(R)
+        D = np.concatenate(D)
         code = np.zeros(len(K), np.uint8)
-        copied = (R & np.uint64(1)).astype(bool)
         o = np.argsort(K)
         k = K[o]
-        same = copied[o]
-        same[1:] |= k[1:] == k[:-1]
-        same[:-1] |= k[1:] == k[:-1]
+        same = (R[o] & np.uint64(1)).astype(bool) if verify else np.zeros(len(o), bool)
+        again = k[1:] == k[:-1]
+        same[1:] |= again
+        same[:-1] |= again
         o = o[same]  # only minimisers that came twice
-        R >>= np.uint64(1)
-        o = o[np.lexsort((D[o], R[o], K[o]))]
+        del k, same, again
+        o = o[np.lexsort((D[o], R[o] >> np.uint64(1), K[o]))]
         if len(o):
-            k, r, d, c = K[o], R[o], D[o], copied[o]
+            k, d, r = K[o], D[o], R[o]
+            c = (r & np.uint64(1)).astype(bool)
+            r >>= np.uint64(1)
             newk = np.ones(len(o), bool)
             newk[1:] = k[1:] != k[:-1]
             newr = newk.copy()
