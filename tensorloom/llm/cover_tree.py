@@ -13,8 +13,9 @@ found so far.  Equal bounds are not skipped, because ties go to the smaller id.
 integers, so the result is exact whatever the trees look like.
 
 Vectors that are null, empty of numbers, or hold null or non-finite components take no part, nor do null ids.  Shorter vectors
-count as padded with zeros.  A row of a repeated id is a candidate of its own, but never one of its own id.  No queries
-or no candidates: no rows.  Scores that don't fit 63 bits are an error.
+count as padded with zeros.  A row of a repeated id is a candidate of its own, but never one of its own id; query rows of
+one id are queries of their own, each with its list.  No queries or no candidates: no rows.  Vectors whose score with
+themselves doesn't fit 62 bits take no part either: no other score of the rest is too large for a long.
 """
 
 from __future__ import annotations
@@ -53,8 +54,8 @@ def _prepare(id_col: str, vec_col: str):
                         continue
                     y = np.floor(SCALE * np.asarray(x.cast(pa.float64())))
                     if len(y) and np.isfinite(y).all():
-                        if np.abs(y).max() >= 2**62 or float(np.dot(y, y)) >= 2**62:
-                            raise OverflowError(f"vector {i}: scores don't fit 63 bits")
+                        if np.abs(y).max() >= 2**31 or float(np.dot(y, y)) >= 2**62:
+                            continue
                         keep.append(i)
                         rows.append(y.astype("<i8").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(rows, pa.binary())], names=["id", "v"])
@@ -208,10 +209,11 @@ def _search(k: int):
         qi, qv = _unblob(queries)
         if not len(xi) or not len(qi):
             return
+        qn, qv = np.array([v[0] for v in qv]), [v[1:] for v in qv]  # a query's number comes before its components
         width = max(map(len, xv + qv))
         got = dual_top_k(_matrix(qv, width), qi, _matrix(xv, width), xi, k)
         n = [len(g[0]) for g in got]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, n)), pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got]))], names=["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qn, n)), pa.array(np.repeat(qi, n)), pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got]))], names=["query_row", "query_id", "vec_id", "score"])
 
     return run
 
@@ -221,7 +223,11 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: st
     def ready(x: DataFrame, tag: str) -> DataFrame:
         return materialize(x.select(id_col, vec_col).mapInArrow(_prepare(id_col, vec_col), "id long, v binary"), tag)
 
-    x, q = ready(df, "vectors"), ready(queries, "queries")
+    x = ready(df, "vectors")
+    # queries are numbered in a written table
+    q = materialize(ready(queries, "queries").withColumn("n", F.monotonically_increasing_id()), "numbered")
+    little = F.unhex(F.concat(*(F.substring(F.lpad(F.hex("n"), 16, "0"), i, 2) for i in range(15, 0, -2))))
+    q = q.select("id", F.concat(little, "v").alias("v"))
     nx, nq = (max(1, -(-t.count() // size)) for t, size in ((x, DATA_BLOCK), (q, QUERY_BLOCK)))
 
     def dealt(t: DataFrame, n: int) -> DataFrame:
@@ -231,8 +237,8 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: st
     pairs_x = dealt(x, nx).select(F.col("block").alias("bx"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("bq"), F.lit(0).alias("kind"), "payload")
     pairs_q = dealt(q, nq).select(F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("bx"), F.col("block").alias("bq"), F.lit(1).alias("kind"), "payload")
     both = pairs_x.select(F.col("bx").cast("long"), F.col("bq").cast("long"), "kind", "payload").unionByName(pairs_q.select(F.col("bx").cast("long"), F.col("bq").cast("long"), "kind", "payload"))
-    found = both.groupBy("bx", "bq").applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = both.groupBy("bx", "bq").applyInArrow(_search(k), "query_row long, query_id long, vec_id long, score long")
+    order = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -243,11 +249,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = f"""
 WITH e AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, x.vec_id, list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  SELECT q.n, q.vec_id AS query_id, x.vec_id, list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2]))::BIGINT AS score
   FROM e q JOIN e x ON q.vec_id <> x.vec_id WHERE q.vec_id % {EVERY} = 0
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+), r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {K}
 """

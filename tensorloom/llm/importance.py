@@ -35,13 +35,13 @@ LABELS = 100_000
 PRIOR = 1.0
 PASSAGE = 4
 SEED = 9
-BIG, SMALL = 1 << 20, 1 << 12
+BIG, MIDDLE, SMALL = 1 << 20, 1 << 18, 1 << 12
 #: Slots of each feature: word, first five and four bytes, last two, pair of words, pair of last two, one word twice.
-SLOTS = (BIG, BIG, BIG, SMALL, BIG, BIG, 2)
+SLOTS = (BIG, BIG, MIDDLE, SMALL, BIG, MIDDLE, 2)
 STARTS = np.concatenate(([0], np.cumsum(SLOTS)))
 TOTAL = int(STARTS[-1])
 CHUNK = 1 << 14
-HELD_WORDS = 1 << 20
+HELD_WORDS = 1 << 18
 SLICE = 1 << 20
 
 
@@ -81,10 +81,10 @@ def _count(text_col: str):
         held, few, words = [], 0, 0
 
         def add():
-            for total, some in ((raw, [f for f, _ in held]), (target, [f[:, fit] for f, fit in held])):
-                for k, n in enumerate(SLOTS):
-                    for f in [np.concatenate([x[k] for x in some])] if some else []:
-                        total[STARTS[k] : STARTS[k] + n] += np.bincount(f - STARTS[k].astype(np.int32), minlength=n).astype(np.int32)
+            for k, n in enumerate(SLOTS if held else ()):
+                f, fit = np.concatenate([x[k] for x, _ in held]) - STARTS[k].astype(np.int32), np.concatenate([x for _, x in held])
+                for total, some in ((raw, f), (target, f[fit])):
+                    total[STARTS[k] : STARTS[k] + n] += np.bincount(some, minlength=n).astype(np.int32)
             held.clear()
 
         def told():

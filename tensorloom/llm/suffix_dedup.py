@@ -41,7 +41,7 @@ GRAM = 24
 BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 #: Buckets of the index to one of the contexts: an index takes about a hundred bytes of memory a byte of text.
-INDEX_BUCKETS = 4
+INDEX_BUCKETS = 8
 CHUNK = 1 << 17
 #: A minimiser with more different contexts than this is dealt by single windows.
 HOT_CONTEXTS = 2048

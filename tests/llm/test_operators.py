@@ -424,6 +424,21 @@ def test_search_edges(spark):
     assert cover_tree.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_search_repeated_queries(spark):
+    """Query rows of one id each have a list; huge and clashing columns; the query's own brute force."""
+    rng = random.Random(7)
+    rows = [(i % 230, [rng.uniform(-2, 2) for _ in range(6)], "x", i) for i in range(300)] + [(1000, [1e30] * 6, "x", 1), (200, [0.5], "x", 2), (300, [float("inf")] * 6, None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string, id int")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in cover_tree.top_k(df, df.where("vec_id % 100 = 0")).collect()]
+    ints = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v, *_ in rows if max(map(abs, v)) < 1e9]
+    want = []
+    for q, v in ints:
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in ints if j != q)[:10]
+            want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert collections.Counter(got) == collections.Counter(want) and len(got) == 50
+
+
 def test_wrapper(spark):
     page = '<html><head><title>T</title><script>x="</p>"</script></head><body><header>H</header><nav><ul><li>m</ul></nav><div class="cookie-notice">c</div><div class="main"><h1>Head {0} &amp;amp; more</h1><p>One{0}<br>two <b>bold</b> &eacute;<p>Three{0}.<ul><li>a<li>b</ul></div><div id="sidebar">s</div><section class="comments"><p>nice</p></section><form>q</form><footer>f</footer>'
     rows = [(i, "http://h.example/x", page.replace("{0}", str(i))) for i in range(9)] + [(20, "http://one.example/", "<p>alone<p>two"), (21, None, None), (22, "x", ""), (20, "http://one.example/", "<p>alone<p>two")]
@@ -695,3 +710,93 @@ def test_licence_edges(spark):
     assert licences.scan_licences(df.limit(0)).count() == 0
     plan = licences.scan_licences(df)._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def _vocabulary(path, pieces):
+    import json
+
+    path.write_text(json.dumps({"model": {"vocab": {p: i for i, p in enumerate(pieces)}}}))
+    return str(path)
+
+
+def test_token_counts_table(spark, tmp_path):
+    """Whole tables against greedy matching: nulls, blanks, very long words and texts, repeats, other columns."""
+    pieces = ["a", "b", "ab", "abb", "b</w>", "a</w>", "ab</w>", "c"]
+    path = _vocabulary(tmp_path / "v.json", pieces)
+    own = set(token_counts.pieces_of(path))
+
+    def brute(text):
+        total = 0
+        for w in re.findall(r"[^\x20\x09-\x0d]+", text or ""):
+            s, i, n = (*w.lower().encode(), token_counts.END), 0, 0
+            while i < len(s):
+                k = next((k for k in range(min(5, len(s) - i), 0, -1) if s[i : i + k] in own), 0)
+                if not k:
+                    n = 1
+                    break
+                i, n = i + k, n + 1
+            total += n
+        return len(re.findall(r"[^\x20\x09-\x0d]+", text or "")), total
+
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choice("abAB") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(0, 20))), "x") for i in range(60)]
+    rows += [(None, "ab", "y"), (1, None, "y"), (1, None, "y"), (2, " \t\n", None), (3, "ab" * 3000 + " c é", "x"), (4, "ab " * 40_000, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string").withColumn("n_words", F.lit(0))
+    got = collections.Counter((r.doc_id, r.n_words, r.n_tokens) for r in token_counts.token_counts(df, path).collect())
+    assert got == collections.Counter((i, *brute(t)) for i, t, _ in rows)
+    assert token_counts.token_counts(df.limit(0), path).count() == 0
+
+
+def test_mix_edges(spark):
+    """Sources whose texts are all empty, null ids and texts, ties and repeated rows, other columns, an empty table."""
+    rows = [(i % 5 if i % 7 else None, "one two" if i % 3 else None, ("s", "t", None)[i % 3]) for i in range(60)] + [(99, "word " * 30_000, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("x")).withColumn("target", F.lit(1)).withColumn("id", F.lit(2))
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+    of = collections.Counter()
+    for r in got:
+        of[r.target] += r.taken
+    assert all(r.target == 0 for r in got if r.source_size == 0) and sum(1 for r in got if r.source_size == 0) == 20
+    assert mixing.mix(df.limit(0)).count() == 0
+    assert mixing.mix_stage(spark, df, "").columns == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def test_warc_edges(spark):
+    rows = [(1, "u", "é" * 600_000, "a"), (2, None, None, None), (2, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload string").withColumn("digest", F.lit(1))
+    back = warc.read_bundles(warc.write_bundles(df))
+    assert collections.Counter((r.page_id, r.payload_bytes, r.record_type) for r in back.collect()) == collections.Counter([(1, 1_200_000, "response"), (2, 0, "response"), (2, 0, "response")])
+    assert warc.read_bundles(warc.write_bundles(df.limit(0))).count() == 0
+
+
+def test_pipeline_against_its_stages(spark):
+    """Each stage on what the one before kept, held to what its operator says; other columns, nulls and repeated rows live on."""
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("n_bytes", F.lit(1)).withColumn("kept", F.lit("k")).withColumn("spans", F.lit(2.0)).withColumn("leaks", F.lit(3))
+    extra = docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs.limit(1)).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    now = spark.createDataFrame(docs.unionByName(extra).collect(), docs.schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = spark.createDataFrame(stage(spark, now, d).collect(), docs.schema)
+        before, left = [tuple(r) for r in now.collect()], [tuple(r) for r in after.collect()]
+        at = docs.columns.index("text"), docs.columns.index("n_chars")
+        ident = lambda r: tuple(v for i, v in enumerate(r) if i not in at)
+        assert not collections.Counter(map(ident, left)) - collections.Counter(map(ident, before)), name
+        if name == "quality classifier":
+            keys = {(r.doc_id, round(r.gumbel_key, 6)) for r in importance.Resampler(now, spark.read.parquet(f"{d}/labels.parquet")).result().where("kept").collect()}
+            assert len(left) >= len(keys) and {r[0] for r in left} == {k for k, _ in keys}
+        elif name == "MinHash near-dedup":
+            kept = {r.doc_id for r in minhash_dedup.near_duplicates(now).where("kept").collect()}
+            assert {r[0] for r in left} == kept
+        elif name == "suffix-array dedup":
+            spans = {(r.doc_id, r.n_bytes): sum(s.stop - s.start for s in r.spans) for r in suffix_dedup.dedup_substrings(now).collect()}
+            assert sum(len((r[at[0]] or "").encode()) for r in left) <= sum(n for _, n in spans) - sum(spans.values()) and len(left) == len(before)
+        else:
+            leaks = {r.doc_id for r in decontaminate.find_leaks(now, spark.read.parquet(f"{d}/benchmark.parquet")).where("size(leaks) > 0").collect()}
+            assert not {r[0] for r in left} & (leaks - {None})
+        now = after
+    out = corpus_pipeline.STAGES[-1][1](spark, now, d)
+    assert sorted(map(str, out.collect())) == sorted(map(str, mixing.mix(now).collect()))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), d).count() == 0
