@@ -18,7 +18,8 @@ STAGES = [
     ("benchmark decontamination", decontaminate_stage),
     ("mixing sources to target weights", mix_stage),
 ]
-#: Fitted models, edit distances and removed passages are beyond SQL: tests hold the stages against brute force.
+#: Fitted models, edit distances and removed passages are beyond SQL: tests hold the operators against brute force, and each
+#: stage against what its operator says of the stage before's rows.
 ORACLE_SQL = None
 
 

@@ -225,7 +225,8 @@ def tans_table(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tans_encode(b: bytes) -> bytes:
-    """One state over a table of 2,048: three bytes a symbol that occurs, then bits; the bytes where that isn't less."""
+    """States over a table of 2,048, one a lane: three bytes a symbol that occurs, the states, then bits; the bytes where
+    that isn't less."""
     x = np.frombuffer(b, np.uint8)
     raw = b"\x00" + b
     freq = np.bincount(x, minlength=1).astype(np.int64)
@@ -233,24 +234,31 @@ def tans_encode(b: bytes) -> bytes:
         return raw
     f, table = tans_table(freq)
     order = np.argsort(table, kind="stable")  # states by symbol, in order of place
-    first = (np.cumsum(f) - f).tolist()
-    fl, order, state, bits, sizes = f.tolist(), order.tolist(), TOTAL, [], []
-    width = [max(TOTAL_BITS - k.bit_length() + 1, 0) for k in fl]
-    for s in x[::-1].tolist():
-        n = width[s] if state >> width[s] < 2 * fl[s] else width[s] + 1
-        n = n if state >> n >= fl[s] else n - 1
-        bits.append(state & ((1 << n) - 1))
-        sizes.append(n)
-        state = TOTAL + order[first[s] + (state >> n) - fl[s]]
-    v, w = np.array(bits[::-1], np.int64), np.array(sizes[::-1], np.int64)
+    first = np.cumsum(f) - f
+    width = np.array([max(TOTAL_BITS - int(k).bit_length() + 1, 0) for k in f])
+    count, per = lanes.lanes_of(len(x))
+    steps = lanes.by_step(x.astype(np.int64), count, per, int(x[0]))
+    short = len(x) - (count - 1) * per
+    state = np.full(count, TOTAL, np.int64)
+    bits, sizes = np.zeros((per, count), np.int64), np.zeros((per, count), np.int64)
+    for t in range(per - 1, -1, -1):
+        s = steps[t]
+        own, k = f[s], width[s]
+        v = state >> k
+        k = k + (v >= 2 * own) - (v < own)
+        new = TOTAL + order[first[s] + (state >> k) - own]
+        if t >= short:
+            k[-1], new[-1] = 0, state[-1]
+        bits[t], sizes[t], state = state & ((1 << k) - 1), k, new
+    v, w = bits.T.ravel(), sizes.T.ravel()
     start = np.cumsum(w) - w
     out = np.zeros(int(w.sum()), np.uint8)
     for j in range(int(w.max()) if len(w) else 0):
-        on = w > j
+        on = np.flatnonzero(w > j)
         out[start[on] + j] = (v[on] >> (w[on] - 1 - j)) & 1
     used = np.flatnonzero(f)
-    table_bytes = b"".join(struct.pack("<BH", s, fl[s]) for s in used)
-    got = b"\x01" + struct.pack("<H", len(used)) + table_bytes + struct.pack("<II", len(b), state - TOTAL) + np.packbits(out).tobytes()
+    head = struct.pack("<I", len(b)) + (state - TOTAL).astype("<u2").tobytes() + (sizes.sum(axis=0).astype("<u4").tobytes() if count > 1 else bytes(2))
+    got = b"\x01" + struct.pack("<H", len(used)) + b"".join(struct.pack("<BH", s, int(f[s])) for s in used) + head + np.packbits(out).tobytes()
     return got if len(got) < len(b) else raw
 
 
@@ -261,7 +269,13 @@ def tans_decode(b: bytes) -> bytes:
     f = np.zeros(256, np.int64)
     for s, n in struct.iter_unpack("<BH", b[3 : 3 + 3 * m]):
         f[s] = n
-    n, state = struct.unpack_from("<II", b, 3 + 3 * m)
+    at = 3 + 3 * m
+    n = struct.unpack_from("<I", b, at)[0]
+    count, per = lanes.lanes_of(n)
+    state = np.frombuffer(b, "<u2", count, at + 4).astype(np.int64)
+    at += 4 + 2 * count
+    size = np.frombuffer(b, "<u4", count, at).astype(np.int64) if count > 1 else np.zeros(1, np.int64)
+    at += 4 * count if count > 1 else 2
     table = np.empty(TOTAL, np.int64)
     table[(np.arange(TOTAL) * SPREAD) % TOTAL] = np.repeat(np.arange(256), f)
     order = np.argsort(table, kind="stable")
@@ -269,19 +283,18 @@ def tans_decode(b: bytes) -> bytes:
     rank[order] = np.arange(TOTAL) - (np.cumsum(f) - f)[table[order]]
     before = f[table] + rank  # the state before, without its low bits
     width = TOTAL_BITS - np.floor(np.log2(before)).astype(np.int64)
-    sym, before, width = table.tolist(), before.tolist(), width.tolist()
-    stream = np.frombuffer(b, np.uint8, -1, 11 + 3 * m)
-    out = bytearray(n)
+    stream = np.frombuffer(b, np.uint8, -1, at)
     # 48 bits from each byte on
     padded = np.append(stream, np.zeros(8, np.uint8)).astype(np.int64)
-    word = sum(padded[i : i + len(stream) + 1] << (40 - 8 * i) for i in range(6)).tolist()
-    at = 0
-    for i in range(n):
-        out[i] = sym[state]
+    word = sum(padded[i : i + len(stream) + 1] << (40 - 8 * i) for i in range(6))
+    pos, out = np.cumsum(size) - size, np.empty((per, count), np.uint8)
+    for t in range(per):
+        out[t] = table[state]
         w = width[state]
-        state = (before[state] << w | (word[at >> 3] >> (48 - (at & 7) - w)) & ((1 << w) - 1)) - TOTAL
-        at += w
-    return bytes(out)
+        got = (word[np.minimum(pos >> 3, len(word) - 1)] >> (48 - (pos & 7) - w)) & ((1 << w) - 1)
+        state = (before[state] << w | got) - TOTAL
+        pos += w
+    return out.T.tobytes()[:n]
 
 
 def sparse_encode(b: bytes) -> bytes:
