@@ -3,14 +3,15 @@
 `dedup_substrings` finds every byte of every text that is covered by a `min_len`-byte string which also starts in a
 text of a smaller id.  The work goes in four steps, each a table of bounded rows:
 
-1. pack: texts are gathered into batches of about 4 MB (a longer text stands alone), compressed.
+1. pack: texts are gathered into batches of about 16 MB, in pieces of about 4 MB (a longer text stands alone), compressed.
 2. anchors: every `min_len`-byte window names its smallest hashed k-gram (its minimiser).  Neighbouring windows of one
-   minimiser form a context; equal windows have equal minimisers, so they meet in the same bucket.  A batch sends a
+   minimiser form a context; equal windows have equal minimisers, so they meet in the same bucket.  A piece sends a
    context as thirteen bytes (minimiser, hash of the whole context; 103 bits) once, for its smallest id.  A bucket finds
    contexts that are copies of a smaller id's, which this settles, and the minimisers that different contexts of two texts
    share.  With `verify` it settles nothing: copies go through the index, too.
 3. index: each different context of a shared minimiser goes, as text, to its bucket (copies, with `verify`, as references to
-   it).  There the texts are laid in one string, whose Burrows-Wheeler transform is kept by runs with sampled run ends
+   it).  A bucket's texts are dealt to INDEX_BUCKETS parts.  Of each part the texts are laid in one string, whose
+   Burrows-Wheeler transform is kept by runs with sampled run ends
    (`RunLengthIndex`).  The texts stream through the index backwards, which gives the row of each byte's suffix; the run
    ends give the place of the suffix one row above, and the bytes at both places say whether the match is `min_len` long.
    Rows that match the row above stand together, and the smallest id among them is the least owner of their string.  A
@@ -18,6 +19,9 @@ text of a smaller id.  The work goes in four steps, each a table of bounded rows
    Contexts of a minimiser with very many different contexts are dealt by single windows, and copies by their hash.
 4. mark: batches join what step 3 says of them, and give spans and what remains of each text.
 
+Steps 2 and 3 exchange a row for each batch and bucket.  Both grow with the input, so rows grow with its square: batches are
+of several pieces, a bucket's parts share rows, and nothing but cutting and compressing is done for a row of its own.
+
 Null text: empty.  Null id: after all other ids, never earlier than another text.  Repeated ids: not earlier than each
 other.  Texts under `min_len` bytes and empty tables: nothing is removed.
 """
@@ -38,15 +42,16 @@ from .common import NULL_ID, Rolling, ids_of, materialize, mix, new_name, partit
 
 MIN_LEN = 50
 GRAM = 24
-BATCH_BYTES = 4 << 20
+PIECE_BYTES = 4 << 20
+BATCH_BYTES = 16 << 20
 BUCKET_BYTES = 8 << 20
-#: Buckets of the index to one of the contexts: an index takes about a hundred bytes of memory a byte of text.
+#: Parts of a bucket, indexed one after the other: an index takes about a hundred bytes of memory a byte of text.
 INDEX_BUCKETS = 8
 CHUNK = 1 << 17
 #: A minimiser with more different contexts than this is dealt by single windows.
 HOT_CONTEXTS = 2048
 
-_PACKED = "batch long, nbytes long, ids binary, lens binary, text binary, carry binary"
+_PACKED = "batch long, nbytes long, ids array<binary>, lens array<binary>, text array<binary>, carry array<binary>"
 _PART = "batch long, kind int, bucket int, payload binary"
 
 
@@ -59,18 +64,27 @@ def _unz(x: bytes) -> bytes:
 
 
 def _pack(id_col: str, text_col: str, carry: list[str]):
+    parts = ("ids", "lens", "text", "carry")
+    schema = pa.schema([("batch", pa.int64()), ("nbytes", pa.int64()), *((x, pa.list_(pa.binary())) for x in parts)])
+
     def run(batches):
-        part, seq = TaskContext.get().partitionId(), 0
-        for b in slices(batches, text_col, BATCH_BYTES):
+        part, seq, size, pieces = TaskContext.get().partitionId(), 0, 0, []
+
+        def packed():
+            return pa.RecordBatch.from_pylist([{"batch": (part << 32) + seq, "nbytes": size} | {x: [p[x] for p in pieces] for x in parts}], schema=schema)
+
+        for b in slices(batches, text_col, PIECE_BYTES):
             buf, offs = text_bytes(b.column(text_col))
+            if pieces and size + len(buf) > BATCH_BYTES:
+                yield packed()
+                seq, size, pieces = seq + 1, 0, []
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, b.select(carry).schema) as w:
                 w.write_batch(b.select(carry))
-            yield pa.RecordBatch.from_pylist(
-                [{"batch": (part << 32) + seq, "nbytes": len(buf), "ids": ids_of(b.column(id_col)).tobytes(), "lens": np.diff(offs).astype("<i8").tobytes(), "text": _z(buf.tobytes(), 3), "carry": _z(sink.getvalue().to_pybytes())}],
-                schema=pa.schema([("batch", pa.int64()), ("nbytes", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("text", pa.binary()), ("carry", pa.binary())]),
-            )
-            seq += 1
+            pieces.append({"ids": ids_of(b.column(id_col)).tobytes(), "lens": np.diff(offs).astype("<i8").tobytes(), "text": _z(buf.tobytes(), 3), "carry": _z(sink.getvalue().to_pybytes())})
+            size += len(buf)
+        if pieces:
+            yield packed()
 
     return run
 
@@ -79,6 +93,19 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())]))
 
 
+def _together(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    """Rows in record batches of about a MB: one costs as much as many small rows."""
+    made, size = [], 0
+    for row in rows:
+        made.append(row)
+        size += len(row["payload"])
+        if len(made) >= 512 or size >= 1 << 20:
+            yield _rows(made)
+            made, size = [], 0
+    if made:
+        yield _rows(made)
+
+
 def _window_minima(key: np.ndarray, w: int) -> np.ndarray:
     c = 1
     while c * 2 <= w:
@@ -137,47 +164,57 @@ def _eight(x: np.ndarray) -> bytes:
 def _anchor(n_buckets: int, min_len: int, k: int):
     """A batch's contexts: kind 0 says of each context how long it is and which bucket decides it; kind 1 goes there."""
 
-    def run(batches):
+    def contexts(row: dict):
+        """Of all contexts in order of place: windows, whether they are sent, and of others the context that they copy; of
+        those sent: minimiser, hash (its last bit: has copies here), id."""
+        out, before = [], 0
+        for text, lens, ids in zip(row["text"], row["lens"], row["ids"], strict=True):
+            lens, ids = np.frombuffer(lens, "<i8"), np.frombuffer(ids, "<i8")
+            a, m, hm, hr = contexts_of(np.frombuffer(_unz(text), np.uint8), lens, min_len, k)
+            if not len(a):
+                continue
+            did = ids[np.searchsorted(np.cumsum(lens), a, side="right")]
+            # a piece sends a context for its smallest id; its copies here go by what is said of that one
+            o = np.lexsort((did, hr, hm))
+            first = np.ones(len(o), bool)
+            first[1:] = (hm[o][1:] != hm[o][:-1]) | (hr[o][1:] != hr[o][:-1])
+            at, group = np.flatnonzero(first), np.cumsum(first) - 1
+            rep, copied, least = np.empty(len(o), bool), np.empty(len(o), bool), np.empty(len(o), np.int64)
+            rep[o] = did[o] == did[o][at][group]
+            copied[o] = (did[o][np.append(at[1:], len(o)) - 1] > did[o][at])[group]
+            least[o] = o[at][group]
+            told = hr & ~np.uint64(1) | copied.astype(np.uint64)
+            out.append((m.astype(np.uint8), rep, (least[~rep] + before).astype("<u4"), hm[rep], told[rep], did[rep]))
+            before += len(a)
+        return [np.concatenate(x) for x in zip(*out, strict=True)] if out else None
+
+    def rows(batches):
         for b in batches:
             for row in b.to_pylist():
-                buf = np.frombuffer(_unz(row["text"]), np.uint8)
-                lens, ids = np.frombuffer(row["lens"], "<i8"), np.frombuffer(row["ids"], "<i8")
-                a, m, hm, hr = contexts_of(buf, lens, min_len, k)
-                if not len(a):
+                got = contexts(row)
+                if got is None:
                     continue
-                doc = np.searchsorted(np.cumsum(lens), a, side="right")
-                did = ids[doc]
-                # a batch sends a context for its smallest id; its copies here go by what is said of that one
-                o = np.lexsort((did, hr, hm))
-                first = np.ones(len(o), bool)
-                first[1:] = (hm[o][1:] != hm[o][:-1]) | (hr[o][1:] != hr[o][:-1])
-                at, group = np.flatnonzero(first), np.cumsum(first) - 1
-                rep, copied, least = np.empty(len(o), bool), np.empty(len(o), bool), np.empty(len(o), np.int64)
-                rep[o] = did[o] == did[o][at][group]
-                copied[o] = (did[o][np.append(at[1:], len(o)) - 1] > did[o][at])[group]
-                least[o] = o[at][group]
-                bucket = ((hm >> np.uint64(32)) % np.uint64(INDEX_BUCKETS * n_buckets)).astype(np.int64)
-                state = (m.astype(np.uint8) | np.where(rep, 0, 128).astype(np.uint8)).tobytes()
-                own = _z(struct.pack("<q", len(a)) + state + bucket[rep].astype("<u4").tobytes() + least[~rep].astype("<u4").tobytes())
-                yield _rows([{"batch": row["batch"], "kind": 0, "bucket": row["batch"] % n_buckets, "payload": own}])
-                at = np.flatnonzero(rep)
-                bucket %= n_buckets
-                at = at[np.argsort(bucket[at], kind="stable")]
-                told = hr & ~np.uint64(1) | copied.astype(np.uint64)
-                cuts = np.searchsorted(bucket[at], np.arange(n_buckets + 1))
-                made = []
-                for x in np.flatnonzero(np.diff(cuts)):
-                    mine = at[cuts[x] : cuts[x + 1]]
-                    docs, count = np.unique(doc[mine], return_counts=True)  # in order of place, so grouped by text
-                    made.append({"batch": row["batch"], "kind": 1, "bucket": int(x), "payload": struct.pack("<ii", len(docs), len(mine)) + ids[docs].tobytes() + count.astype("<i4").tobytes() + _five(hm[mine]) + _eight(told[mine])})
-                    if len(made) >= 64:
-                        yield _rows(made)
-                        made = []
-                if made:
-                    yield _rows(made)
+                m, rep, least, hm, told, did = got
+                bucket = ((hm >> np.uint64(32)) % np.uint64(INDEX_BUCKETS * n_buckets)).astype("<u4")
+                own = struct.pack("<q", len(m)) + (m | np.where(rep, 0, 128).astype(np.uint8)).tobytes() + bucket.tobytes() + least.tobytes()
+                yield {"batch": row["batch"], "kind": 0, "bucket": row["batch"] % n_buckets, "payload": _z(own)}
+                bucket %= np.uint32(n_buckets)
+                o = np.argsort(bucket, kind="stable")
+                bucket, hm, told, did = bucket[o], hm[o], told[o], did[o]
+                new = np.ones(len(o), bool)  # ids by runs: in order of place contexts of one text stand together
+                new[1:] = (bucket[1:] != bucket[:-1]) | (did[1:] != did[:-1])
+                run = np.flatnonzero(new)
+                ids, count = did[run], np.diff(np.append(run, len(o))).astype("<i4")
+                five = _five(hm)
+                cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
+                docs = np.searchsorted(run, cuts)
+                del o, new, run, hm, did, own
+                for x in np.flatnonzero(np.diff(cuts)).tolist():
+                    i, j, p, q = cuts[x], cuts[x + 1], docs[x], docs[x + 1]
+                    yield {"batch": row["batch"], "kind": 1, "bucket": x, "payload": struct.pack("<ii", q - p, j - i) + ids[p:q].tobytes() + count[p:q].tobytes() + five[5 * i : 5 * j] + _eight(told[i:j])}
         trim()
 
-    return run
+    return lambda batches: _together(rows(batches))
 
 
 #: What a bucket says of a context: of no other text; a copy, to be looked up; to be indexed; to be indexed by windows, as a
@@ -188,12 +225,12 @@ NONE, COPY, WHOLE, WINDOWS, BOTH, HOT_COPY, SETTLED = range(7)
 def _settle(hot: int, verify: bool):
     """Per bucket: a code for each context sent."""
 
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches):
         src, K, R, D = [], [], [], []
         for b in batches:
             for row in b.to_pylist():
                 if row["kind"] == 0:
-                    yield _rows([row])
+                    yield row
                     continue
                 p = row["payload"]
                 nd, n = struct.unpack_from("<ii", p)
@@ -242,16 +279,19 @@ def _settle(hot: int, verify: bool):
                 code[o] = np.where(d > low[run_of], SETTLED, np.where(open_[group], np.where(is_hot, WINDOWS, WHOLE), NONE))
         at = 0
         for batch, bucket, n in src:
-            yield _rows([{"batch": batch, "kind": 1, "bucket": bucket, "payload": _z(code[at : at + n].tobytes())}])
+            yield {"batch": batch, "kind": 1, "bucket": bucket, "payload": _z(code[at : at + n].tobytes())}
             at += n
         del K, R, D, code, o
         trim()
 
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _together(rows(batches))
+
     return run
 
 
 def _codes(parts: list[dict], n_buckets: int):
-    """A batch's contexts again: windows, code and index bucket of each, and of its copies within the batch the context that
+    """A batch's contexts again: windows, code and part of the index of each, and of its copies within a piece the context that
     they copy (of others, itself)."""
     own = next((_unz(p["payload"]) for p in parts if p["kind"] == 0), None)
     if own is None:
@@ -264,13 +304,8 @@ def _codes(parts: list[dict], n_buckets: int):
     bucket[at] = np.frombuffer(own, "<u4", len(at), 8 + n)
     of[~rep] = np.frombuffer(own, "<u4", -1, 8 + n + 4 * len(at))
     code = np.zeros(n, np.uint8)
-    coarse = bucket[at] % n_buckets
-    order = at[np.argsort(coarse, kind="stable")]
-    cuts = np.sort(coarse)
-    for p in parts:
-        if p["kind"] == 1:
-            lo, hi = np.searchsorted(cuts, [p["bucket"], p["bucket"] + 1])
-            code[order[lo:hi]] = np.frombuffer(_unz(p["payload"]), np.uint8)
+    told = sorted(((p["bucket"], p["payload"]) for p in parts if p["kind"] == 1))
+    code[at[np.argsort(bucket[at] % n_buckets, kind="stable")]] = np.frombuffer(b"".join(_unz(p) for _, p in told), np.uint8)
     return m, code, bucket, of
 
 
@@ -286,15 +321,15 @@ def _send(n_buckets: int, min_len: int):
     """Texts of the contexts that are to be indexed and references of copies, one payload for each batch and bucket."""
     fine = INDEX_BUCKETS * n_buckets
 
-    def run(batches):
+    def rows(batches):
         for b in batches:
             for row in b.to_pylist():
                 got = _codes(row["parts"] or [], n_buckets)
                 if got is None or not ((got[1] != NONE) & (got[1] != SETTLED)).any():
                     continue
                 m, code, bucket, of = got
-                buf = np.frombuffer(_unz(row["text"]), np.uint8)
-                lens, ids = np.frombuffer(row["lens"], "<i8"), np.frombuffer(row["ids"], "<i8")
+                buf = np.frombuffer(b"".join(_unz(x) for x in row["text"]), np.uint8)
+                lens, ids = np.frombuffer(b"".join(row["lens"]), "<i8"), np.frombuffer(b"".join(row["ids"]), "<i8")
                 a = _places(lens, m, min_len)
                 copied = np.zeros(len(m), bool)
                 copied[of[of != np.arange(len(of))]] = True
@@ -312,25 +347,30 @@ def _send(n_buckets: int, min_len: int):
                     if len(mine):
                         s = start[mine] - c
                         key[mine] = mix(Rolling(buf[c : c + CHUNK + 2 * min_len]).raw(s, s + size[mine]) + (size[mine] - min_len + 1).astype(np.uint64))
-                # a context's bucket is its minimiser's; of hot ones and of windows, that of their own hash
+                # a context's part of the index is its minimiser's; of hot ones and of windows, that of their own hash
                 hashed = np.arange(len(start)) >= len(sent)
                 hashed[: len(sent)] = np.isin(code[sent], (BOTH, HOT_COPY))
                 where = np.where(hashed, ((key >> np.uint64(32)) % np.uint64(fine)).astype(np.int64), bucket[ordinal])
                 key = key & ~np.uint64(1) | copied[ordinal].astype(np.uint64)
                 key[len(sent) :] = 0  # a window is no copy's text
-                doc = np.searchsorted(np.cumsum(lens), start, side="right")
-                o = np.lexsort((ref, where))
-                cuts = np.searchsorted(where[o], np.arange(fine + 1))
-                for x in np.flatnonzero(np.diff(cuts)):
-                    q = o[cuts[x] : cuts[x + 1]]
-                    t = q[~ref[q]]
-                    n = size[t]
-                    src = np.repeat(start[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    head = struct.pack("<ii", len(q), len(t)) + ids[doc[q]].tobytes() + ordinal[q].astype("<i4").tobytes() + _eight(key[q]) + off[t].astype(np.uint8).tobytes() + n.astype(np.uint8).tobytes()
-                    yield _rows([{"batch": row["batch"], "kind": 2, "bucket": int(x), "payload": _z(head + buf[src].tobytes())}])
+                owner = ids[np.searchsorted(np.cumsum(lens), start, side="right")]
+                o = np.lexsort((ref, where % n_buckets))
+                where, ref, start, size = where[o], ref[o], start[o], size[o]
+                head = (owner[o], ordinal[o].astype("<i4"), key[o], (where // n_buckets).astype(np.uint8))
+                off, size8 = off[o].astype(np.uint8), size.astype(np.uint8)
+                cuts = np.searchsorted(where % n_buckets, np.arange(n_buckets + 1))
+                texts = np.append(0, np.cumsum(~ref))  # a bucket's texts come before its references
+                del owner, ordinal, key, where, ref, o
+                for x in np.flatnonzero(np.diff(cuts)).tolist():
+                    i, j = cuts[x], cuts[x + 1]
+                    t = texts[j] - texts[i]
+                    n = size[i : i + t]
+                    src = np.repeat(start[i : i + t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    payload = b"".join((struct.pack("<ii", j - i, t), *(h[i:j].tobytes() for h in head), off[i : i + t].tobytes(), size8[i : i + t].tobytes(), buf[src].tobytes()))
+                    yield {"batch": row["batch"], "kind": 2, "bucket": x, "payload": _z(payload)}
         trim()
 
-    return run
+    return lambda batches: _together(rows(batches))
 
 
 class RunLengthIndex:
@@ -482,103 +522,119 @@ def matches(buf: np.ndarray, lens: np.ndarray, owner: np.ndarray, min_len: int)
 
 
 def _index(min_len: int):
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def masks(least: np.ndarray, begin: np.ndarray, lens: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """A bit for each window of the texts whose least owner is smaller than `of`."""
+        out = np.zeros(len(begin), np.uint32)
+        for j in range(32):
+            on = np.flatnonzero(lens >= min_len + j)
+            out[on] |= (least[begin[on] + j] < of[on]).astype(np.uint32) << np.uint32(j)
+        return out
+
+    def rows(batches):
         src, parts, refs = [], [], []
         for b in batches:
             for row in b.to_pylist():
                 p = _unz(row["payload"])
                 n, t = struct.unpack_from("<ii", p)
-                ids, ordinal, key_ = np.frombuffer(p, "<i8", n, 8), np.frombuffer(p, "<i4", n, 8 + 8 * n), np.frombuffer(p, "<u8", n, 8 + 12 * n)
-                at = 8 + 20 * n
+                head = [np.frombuffer(p, kind, n, 8 + n * at) for kind, at in (("<i8", 0), ("<i4", 8), ("<u8", 12), ("u1", 20))]
+                at = 8 + 21 * n
                 src.append((row["batch"], row["bucket"], t, n - t))
-                parts.append((ids[:t], ordinal[:t], key_[:t], np.frombuffer(p, np.uint8, t, at), np.frombuffer(p, np.uint8, t, at + t).astype(np.int64), np.frombuffer(p, np.uint8, -1, at + 2 * t)))
-                refs.append((ids[t:], ordinal[t:], key_[t:]))
-        owner, ordinal, named, off, lens, buf = (np.concatenate(x) for x in zip(*parts, strict=True))
-        ref_owner, ref_ordinal, ref_key = (np.concatenate(x) for x in zip(*refs, strict=True))
+                parts.append((*(x[:t] for x in head), np.frombuffer(p, np.uint8, t, at), np.frombuffer(p, np.uint8, t, at + t), np.frombuffer(p, np.uint8, -1, at + 2 * t)))
+                refs.append([x[t:] for x in head])
+        owner, ordinal, named, part, off, lens, buf = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ref_owner, ref_ordinal, ref_key, ref_part = (np.concatenate(x) for x in zip(*refs, strict=True))
         del parts, refs
-        least = least_owners(buf, lens, owner, min_len)
-        trim()
+        lens = lens.astype(np.int64)
         begin = np.cumsum(lens) - lens
-
-        def masks(text: np.ndarray, of: np.ndarray) -> np.ndarray:
-            """A bit for each window of the texts whose least owner is smaller than `of`."""
-            out = np.zeros(len(text), np.uint32)
-            for j in range(32):
-                on = np.flatnonzero(lens[text] >= min_len + j)
-                out[on] |= (least[begin[text[on]] + j] < of[on]).astype(np.uint32) << np.uint32(j)
-            return out
-
-        mask = masks(np.arange(len(lens)), owner) << off.astype(np.uint32)
-        answered = (mask > 0) | (named & np.uint64(1) > 0)  # the copies within its batch wait for it
-        o = np.argsort(named & ~np.uint64(1), kind="stable")
-        sorted_ = (named & ~np.uint64(1))[o]
-        want = ref_key & ~np.uint64(1)
-        at = np.minimum(np.searchsorted(sorted_, want), max(len(o) - 1, 0))
-        ref_mask = np.zeros(len(want), np.uint32)
-        found = np.flatnonzero(sorted_[at] == want) if len(o) else np.zeros(0, np.int64)
-        ref_mask[found] = masks(o[at[found]], ref_owner[found])
+        mask, ref_mask = np.zeros(len(lens), np.uint32), np.zeros(len(ref_owner), np.uint32)
+        for x in np.unique(part):  # references name texts of their own part
+            mine = np.flatnonzero(part == x)
+            size = lens[mine]
+            first = np.cumsum(size) - size
+            least = least_owners(buf[np.repeat(begin[mine] - first, size) + np.arange(size.sum())], size, owner[mine], min_len)
+            mask[mine] = masks(least, first, size, owner[mine]) << off[mine].astype(np.uint32)
+            theirs = np.flatnonzero(ref_part == x)
+            if len(theirs):
+                key = named[mine] & ~np.uint64(1)
+                o = np.argsort(key, kind="stable")
+                want = ref_key[theirs] & ~np.uint64(1)
+                at = o[np.minimum(np.searchsorted(key[o], want), len(o) - 1)]
+                found = np.flatnonzero(key[at] == want)
+                at = at[found]
+                ref_mask[theirs[found]] = masks(least, first[at], size[at], ref_owner[theirs[found]])
+            del least
+            trim()
+        answered = (mask > 0) | (named & np.uint64(1) > 0)  # the copies within its piece wait for it
         i = j = 0
         for batch, bucket, t, r in src:
             keep, kept = i + np.flatnonzero(answered[i : i + t]), j + np.flatnonzero(ref_mask[j : j + r])
             if len(keep) or len(kept):
-                who, what = np.concatenate((ordinal[keep], ref_ordinal[kept])), np.concatenate((mask[keep], ref_mask[kept]))
-                yield _rows([{"batch": batch, "kind": 2, "bucket": bucket, "payload": struct.pack("<i", len(who)) + who.astype("<i4").tobytes() + what.astype("<u4").tobytes()}])
+                yield {"batch": batch, "kind": 2, "bucket": bucket, "payload": b"".join((struct.pack("<i", len(keep) + len(kept)), ordinal[keep].tobytes(), ref_ordinal[kept].tobytes(), mask[keep].tobytes(), ref_mask[kept].tobytes()))}
             i, j = i + t, j + r
 
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _together(rows(batches))
+
     return run
 
 
 def _mark(n_buckets: int, min_len: int, schema: pa.Schema, names: tuple[str, str, str], verify: bool):
+    def hits(row: dict, lens: np.ndarray) -> np.ndarray:
+        """1 for each window of a batch that is found, by first byte."""
+        hit = np.zeros(lens.sum() + 1, np.uint8)
+        got = _codes(row["parts"] or [], n_buckets)
+        if got is None:
+            return hit
+        m, code, _, of = got
+        a = _places(lens, m, min_len)
+        answered = np.zeros(len(m), bool)
+        told = [(struct.unpack_from("<i", p["payload"])[0], p["payload"]) for p in row["parts"] if p["kind"] == 2]
+        if told:
+            o, mask = (np.concatenate([np.frombuffer(p, kind, k, 4 + k * at) for k, p in told]) for kind, at in (("<i4", 0), ("<u4", 4)))
+            answered[o] = True
+            for j in range(32):
+                hit[a[o[(mask >> np.uint32(j)) & 1 == 1]] + j] = 1
+        # copies within a piece are of larger ids than the context that the index found
+        on = np.flatnonzero((of != np.arange(len(of))) & (answered[of] | (not verify)) | (code == SETTLED))
+        for j in range(int(m[on].max()) if len(on) else 0):
+            on = on[m[on] > j]
+            hit[a[on] + j] = 1
+        return hit
+
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                text = _unz(row["text"])
-                buf = np.frombuffer(text, np.uint8)
-                lens = np.frombuffer(row["lens"], "<i8")
-                n = len(buf)
-                hit = np.zeros(n + 1, np.int32)  # windows found, by first byte
-                got = _codes(row["parts"] or [], n_buckets)
-                if got is not None:
-                    m, code, _, of = got
-                    a = _places(lens, m, min_len)
-                    answered = np.zeros(len(m), bool)
-                    for p in row["parts"]:
-                        if p["kind"] == 2:
-                            k = struct.unpack_from("<i", p["payload"])[0]
-                            o, mask = np.frombuffer(p["payload"], "<i4", k, 4), np.frombuffer(p["payload"], "<u4", k, 4 + 4 * k)
-                            answered[o] = True
-                            for j in range(32):
-                                hit[a[o[(mask >> np.uint32(j)) & 1 == 1]] + j] = 1
-                    # copies within the batch are of larger ids than the context that the index found
-                    on = np.flatnonzero((of != np.arange(len(of))) & (answered[of] | (not verify)) | (code == SETTLED))
-                    w = np.repeat(a[on], m[on]) + (np.arange(m[on].sum()) - np.repeat(np.cumsum(m[on]) - m[on], m[on]))
-                    hit[w] = 1
-                w = np.flatnonzero(hit)
-                cover = np.zeros(n + 1, np.int32)
-                cover[w] += 1
-                cover -= np.bincount(w + min_len, minlength=n + 1)[: n + 1].astype(np.int32)
-                gone = np.cumsum(cover)[:n] > 0
-                ends = np.cumsum(lens)
-                begin = ends - lens
-                edge = np.zeros(n + 1, bool)
-                edge[begin] = True
-                s = np.flatnonzero(gone & ~(np.append(False, gone[:-1]) & ~edge[:n])) if n else np.zeros(0, np.int64)
-                e = np.flatnonzero(gone & ~(np.append(gone[1:], False) & ~edge[1:])) + 1 if n else s
-                doc = np.searchsorted(ends, s, side="right")
-                cuts = np.searchsorted(doc, np.arange(len(lens) + 1))
-                spans, kept = [], []
-                for i in range(len(lens)):
-                    lo, hi, at = cuts[i], cuts[i + 1], begin[i]
-                    if lo == hi:
-                        spans.append([])
-                        kept.append(text[at : ends[i]])
-                        continue
-                    spans.append([{"start": int(x - at), "stop": int(y - at)} for x, y in zip(s[lo:hi], e[lo:hi], strict=True)])
-                    edges = [at, *np.ravel(np.column_stack((s[lo:hi], e[lo:hi]))), ends[i]]
-                    kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
-                carry = pa.ipc.open_stream(_unz(row["carry"])).read_all()
-                cols = [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in carry.columns]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(lens, pa.int64()), pa.array(spans, schema.field("spans").type), pa.array(kept, pa.binary())], names=[*carry.schema.names, *names])
+                sizes = [np.frombuffer(x, "<i8") for x in row["lens"]]
+                hit, at_ = hits(row, np.concatenate(sizes)), 0
+                for text, lens, carry in zip(map(_unz, row["text"]), sizes, row["carry"], strict=True):
+                    n = len(text)
+                    w = np.flatnonzero(hit[at_ : at_ + n])
+                    at_ += n
+                    cover = np.zeros(n + 1, np.int32)
+                    cover[w] += 1
+                    cover -= np.bincount(w + min_len, minlength=n + 1)[: n + 1].astype(np.int32)
+                    gone = np.cumsum(cover)[:n] > 0
+                    ends = np.cumsum(lens)
+                    begin = ends - lens
+                    edge = np.zeros(n + 1, bool)
+                    edge[begin] = True
+                    s = np.flatnonzero(gone & ~(np.append(False, gone[:-1]) & ~edge[:n])) if n else np.zeros(0, np.int64)
+                    e = np.flatnonzero(gone & ~(np.append(gone[1:], False) & ~edge[1:])) + 1 if n else s
+                    doc = np.searchsorted(ends, s, side="right")
+                    cuts = np.searchsorted(doc, np.arange(len(lens) + 1))
+                    spans, kept = [], []
+                    for i in range(len(lens)):
+                        lo, hi, at = cuts[i], cuts[i + 1], begin[i]
+                        if lo == hi:
+                            spans.append([])
+                            kept.append(text[at : ends[i]])
+                            continue
+                        spans.append([{"start": int(x - at), "stop": int(y - at)} for x, y in zip(s[lo:hi], e[lo:hi], strict=True)])
+                        edges = [at, *np.ravel(np.column_stack((s[lo:hi], e[lo:hi]))), ends[i]]
+                        kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
+                    carried = pa.ipc.open_stream(_unz(carry)).read_all()
+                    cols = [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in carried.columns]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(lens, pa.int64()), pa.array(spans, schema.field("spans").type), pa.array(kept, pa.binary())], names=[*carried.schema.names, *names])
         trim()
 
     return run

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tensorloom.llm import cover_tree, decontaminate, importance, licences, minhash_dedup, mixing, suffix_dedup, token_counts, warc, wrapper
+from tensorloom.llm import common, cover_tree, decontaminate, importance, licences, minhash_dedup, mixing, suffix_dedup, token_counts, warc, wrapper
 from tensorloom.llm.common import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket int, n_bytes_ string"
@@ -147,6 +147,49 @@ def test_suffix_dedup_needs_the_index(spark, docs, monkeypatch):
     assert not any(r.spans for r in suffix_dedup.dedup_substrings(df, verify=True).collect())
 
 
+@pytest.mark.parametrize("verify", [False, True])
+def test_suffix_dedup_rows_exchanged(spark, monkeypatch, verify):
+    """A row for each batch and bucket at most, in few record batches: both grow with the input, so their costs by its square."""
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 1 << 14)
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 1 << 12, raising=False)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1 << 12)
+    rng = random.Random(7)
+    passages = [words(rng, 40) for _ in range(30)]
+    rows = [(i, " ".join(rng.choice(passages)[rng.randrange(60) :] if rng.random() < 0.6 else words(rng, 20) for _ in range(rng.randrange(6)))) for i in range(300)]
+    rows += [(300, words(rng, 9000)), (301, None), (302, rows[7][1]), (None, rows[8][1]), (7, rows[9][1])]
+    kept = {}
+
+    def keep(df, tag):
+        kept[tag] = common.materialize(df, tag)
+        return kept[tag]
+
+    monkeypatch.setattr(suffix_dedup, "materialize", keep)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    big = 1 << 62
+    texts = [(big if i is None else i, (t or "").encode()) for i, t in rows]
+    of = {}
+    for i, t in texts:
+        for j in range(len(t) - 49):
+            of[t[j : j + 50]] = min(of.get(t[j : j + 50], big), i)
+    want = collections.Counter()
+    for i, t in texts:
+        gone = bytearray(len(t))
+        for j in range(len(t) - 49):
+            if of[t[j : j + 50]] < i:
+                gone[j : j + 50] = b"\1" * 50
+        want[None if i == big else i, bytes(c for c, g in zip(t, gone, strict=True) if not g)] += 1
+    assert collections.Counter((r.doc_id, bytes(r.kept)) for r in suffix_dedup.dedup_substrings(df, verify=verify).collect()) == want
+    total = sum(len(t) for _, t in texts)
+    batches, buckets = kept["packed"].count(), max(4, -(-total // (1 << 12)))
+    assert batches > 5 and buckets > 30
+    assert 100 < kept["found"].count() <= batches * buckets  # not one for each part of a bucket's index
+    for tag in ("codes", "found"):
+        assert kept[tag].groupBy("batch", "kind", "bucket").count().where("count > 1").count() == 0
+    sent = [pa.RecordBatch.from_pylist([r.asDict() for r in kept["packed"].select("batch", "ids", "lens", "text").collect()])]
+    got = list(suffix_dedup._anchor(buckets, 50, 24)(sent))
+    assert sum(b.num_rows for b in got) > 100 and len(got) <= 1 + sum(b.num_rows for b in got) // 64
+
+
 def test_dedup_stage(spark):
     passage = "äb" * 40
     rows = [(1, "x " + passage, 82, "a", 1), (2, passage + " y", 82, "b", 2), (3, None, 7, "c", 3), (4, "", 0, None, None)]
