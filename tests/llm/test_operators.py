@@ -77,6 +77,26 @@ def test_hot_contexts(spark, docs, monkeypatch):
     test_suffix_dedup(spark, docs)
 
 
+def test_hot_windows_that_come_once_need_no_index(monkeypatch):
+    """A line between different neighbours: windows of its own come from all texts, those over its ends from one each."""
+    rng, indexed = random.Random(7), []
+    line = "".join(rng.choice("abcdefgh") for _ in range(56))
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(60)) + line + "".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(80)]
+    least = suffix_dedup.least_owners
+    monkeypatch.setattr(suffix_dedup, "least_owners", lambda buf, *a: indexed.append(len(buf)) or least(buf, *a))
+    told = []
+    for batch in range(2):  # of 40 texts each
+        mine = {"batch": batch, "ids": [np.arange(40 * batch, 40 * batch + 40).tobytes()], "lens": [np.full(40, 176).tobytes()], "text": [suffix_dedup._z("".join(texts[40 * batch : 40 * batch + 40]).encode())]}
+        told.append((mine, [r for b in suffix_dedup._anchor(1, 50, 24)([pa.RecordBatch.from_pylist([mine])]) for r in b.to_pylist()]))
+    codes = [r for b in suffix_dedup._settle(1, False)((), iter([suffix_dedup._rows([r for _, rows in told for r in rows])])) for r in b.to_pylist()]
+    sent = []
+    for mine, _ in told:
+        sent += suffix_dedup._send(1, 50)([pa.RecordBatch.from_pylist([mine | {"parts": [r for r in codes if r["batch"] == mine["batch"]]}])])
+    found = [r for b in suffix_dedup._index(50)((), iter(sent)) for r in b.to_pylist()]
+    assert 0 < sum(indexed) < 10_000  # bytes; most windows are of one text
+    assert sum(struct.unpack_from("<i", r["payload"])[0] for r in found) >= 79 * 7  # each window of the line, in all texts but the first
+
+
 def _least_owner_brute(texts, owner, n):
     of = {}
     for t, o in zip(texts, owner, strict=True):
