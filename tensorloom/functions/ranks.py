@@ -52,6 +52,17 @@ def every_nth(df: DataFrame, keys: list[str], order: str, most: int) -> DataFram
     return got.join(n, same).where((F.col("_place") - 1) % F.ceil(F.col("_n") / most) == 0).select(*df.columns)
 
 
+def in_chunks(df: DataFrame, keys: list[str], order: list[str], size: int, name: str = "chunk_idx") -> DataFrame:
+    """Adds the number (from 0) of each row's chunk: rows of a key in order, `size` a chunk; the last has up to twice as many."""
+    got = running(df, keys, order, range_of(df, order[0]), F.lit(1), "_place")
+    n = df.groupBy(*keys).agg(F.count("*").alias("_n")).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_n")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    last = F.greatest(F.floor(F.col("_n") / size) - 1, F.lit(0))
+    return got.join(n, same).select(*df.columns, F.least(F.floor((F.col("_place") - 1) / size), last).cast("int").alias(name))
+
+
 def registry_of(df: DataFrame, key: str, order: str, id_name: str = "chain_id") -> DataFrame:
     """(key, id): what occurs, numbered by its first occurrence.  For keys that are few, such as chains."""
     first = df.groupBy(key).agg(F.min(order).alias("_first"))

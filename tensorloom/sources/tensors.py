@@ -336,19 +336,25 @@ def name_hash(names: DataFrame, column: str = "name") -> DataFrame:
     return names.withColumn("name_hash", F.pandas_udf(run, "long")(F.col(column)))
 
 
-def packed_bytes(df: DataFrame, id_col: str, value_cols: list[str] | str, kind: str = "<f4") -> DataFrame:
-    """(tensor_id, raw): little-endian bytes of an array column, or of number columns side by side, a tensor a row."""
+def packed_bytes(df: DataFrame, id_col: str, value_cols: list[str] | str, kind: str = "<f4", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(tensor_id, carried..., raw): little-endian bytes of an array column, or of number columns side by side, a tensor a row."""
     cols = [value_cols] if isinstance(value_cols, str) else value_cols
 
+    def one(v: pa.ListScalar) -> bytes:
+        if not v.is_valid:
+            return b""
+        return np.asarray(v.as_py() if v.values.null_count else v.values.to_numpy(zero_copy_only=False), kind).tobytes()
+
     def run(batches):
         for b in batches:
             if len(cols) == 1 and pa.types.is_list(b.column(cols[0]).type):
-                raw = [np.asarray([] if v is None else v, kind).tobytes() for v in b.column(cols[0]).to_pylist()]
+                raw = [one(v) for v in b.column(cols[0])]
             else:
                 raw = [np.asarray(v, kind).tobytes() for v in zip(*(b.column(c).to_pylist() for c in cols), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), pa.array(raw, pa.binary())], names=["tensor_id", "raw"])
+            yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), *(b.column(c) for c in carry), pa.array(raw, pa.binary())], names=["tensor_id", *carry, "raw"])
 
-    return df.select(id_col, *cols).mapInArrow(run, "tensor_id long, raw binary")
+    carried = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in carry)
+    return df.select(id_col, *carry, *cols).mapInArrow(run, f"tensor_id long, {carried}raw binary")
 
 
 def elements(shape: list[int]) -> int:
