@@ -49,6 +49,30 @@ def test_codecs_over_lanes():
     assert len(codecs.rans_encode(b)) < 1.02 * 40_000
 
 
+@pytest.mark.parametrize(("name", "most"), [("context_mixing", 130), ("neural", 130), ("group_codebook", 50), ("arithmetic0", 30)])
+def test_codecs_hold_little(name, most):
+    """Bytes held at once for a byte of the plane."""
+    import tracemalloc
+
+    n = 16_384 if name in ("context_mixing", "neural") else 1 << 18
+    b = np.random.default_rng(8).integers(0, 16, n).astype(np.uint8).tobytes()
+    tracemalloc.start()
+    codecs.CODECS[name].encode(b, codecs.Info("value", nibble=True))
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held - (4 << 20) * (name == "context_mixing") < most * n  # its tables are of a fixed size
+
+
+def test_tensors_in_chunks(spark):
+    """Chunks are of bounded size, none is small, and hold all rows in order."""
+    rows = [(t, (i * 7919) % n) for t, n in ((1, 5), (2, 20), (3, 47)) for i in range(n)]
+    got = ranks.in_chunks(spark.createDataFrame(rows, "t long, v long"), ["t"], ["v"], 10).collect()
+    of = {}
+    for r in sorted(got):
+        of.setdefault((r.t, r.chunk_idx), []).append(r.v)
+    assert {k: (v[0], len(v)) for k, v in of.items()} == {(1, 0): (0, 5), (2, 0): (0, 10), (2, 1): (10, 10), (3, 0): (0, 10), (3, 1): (10, 10), (3, 2): (20, 10), (3, 3): (30, 17)}
+
+
 def test_sizes_are_those_of_payloads(spark):
     rng = np.random.default_rng(6)
     planes = [rng.integers(0, 256, 700), rng.geometric(0.4, 1001) % 200, np.zeros(64), rng.integers(0, 3, 5), np.repeat(2 ** np.arange(8), 2 ** np.arange(8)), np.concatenate([np.full(int(1.7**k), k) for k in range(16)])]
